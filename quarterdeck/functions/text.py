@@ -146,9 +146,13 @@ def round_to_tenth(number: Column) -> Column:
     return F.when(number.isNull(), None).otherwise((floor + F.when(up, 1.0).otherwise(0.0)) / 10.0)
 
 
+def in_billions(amount: Column) -> Column:
+    """A plain amount in billions, not yet rounded; zero counts as missing."""
+    return F.nullif(amount.cast("double"), F.lit(0.0)) / 1e9
+
+
 def to_billions(amount: Column) -> Column:
-    """Billions with one decimal; zero counts as missing."""
-    return round_to_tenth(F.nullif(amount.cast("double"), F.lit(0.0)) / 1e9)
+    return round_to_tenth(in_billions(amount))
 
 
 def upper_ticker(ticker: Column) -> Column:

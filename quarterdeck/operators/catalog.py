@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck import schemas as S
 from quarterdeck.functions import text as X
@@ -130,31 +131,25 @@ def fetcher_block(tier: int, method: str, model: str, note: str) -> Column:
 
 
 def assemble_company(
-    info: DataFrame,
-    quarters: DataFrame,
-    news: DataFrame | None = None,
-    annual: DataFrame | None = None,
-    last_updated: Column | None = None,
-    fetcher: Column | None = None,
+    info: DataFrame, *lists: DataFrame, last_updated: Column | None = None, fetcher: Column | None = None
 ) -> DataFrame:
-    """Company documents from info and the collected lists (one row per ticker each)."""
-    docs = info.join(quarters, "ticker", "left")
-    for part in (news, annual):
-        if part is not None:
-            docs = docs.join(part, "ticker", "left")
+    """Company documents from info and tables of collected lists (one row per ticker each).
+
+    A list that a company has no row for is empty; a list that no table brings
+    is left out (null), as in documents that never had it.
+    """
+    docs = info
+    for part in lists:
+        docs = docs.join(part, "ticker", "left")
     made = {
-        "last_updated": (F.current_date() if last_updated is None else last_updated).cast("string"),
+        "last_updated": F.current_date() if last_updated is None else last_updated,
         "fetcher": F.lit(None) if fetcher is None else fetcher,
     }
 
     def column(field):
-        if field.name in made:
-            value = made[field.name]
-        else:
-            value = F.col(field.name) if field.name in docs.columns else F.lit(None)
-        value = value.cast(field.dataType)
-        listed = field.name == "transcripts" or field.name == "news" and news is not None
-        if listed or field.name == "annual_filings" and annual is not None:
+        brought = field.name in docs.columns
+        value = made.get(field.name, F.col(field.name) if brought else F.lit(None)).cast(field.dataType)
+        if isinstance(field.dataType, T.ArrayType) and (brought or field.name == "transcripts"):
             value = F.coalesce(value, F.array().cast(field.dataType))
         return value.alias(field.name)
 

@@ -12,13 +12,24 @@ from quarterdeck.operators.shared import ordered_list
 
 
 def latest_filings(filings: DataFrame, form: str, n: int) -> DataFrame:
-    """Newest n filings of a form per company; ``filing_no`` 1 is the newest.
+    """Newest n filings of a form per company; ``filing_no`` 1 is the newest."""
+    return latest_of_forms(filings, {form: n})
 
-    Each task keeps n rows per company before the shuffle.
+
+def latest_of_forms(filings: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Newest filings of several forms per company, each form with its own number.
+
+    One pass for all forms: each task keeps the largest of the numbers per
+    company and form before the shuffle.
     """
-    newest = Window.partitionBy("ticker").orderBy(F.col("filing_date").desc(), F.col("accession").desc())
-    of_form = filings.filter(F.col("form") == form)
-    return of_form.withColumn("filing_no", F.row_number().over(newest)).filter(F.col("filing_no") <= n)
+    newest = Window.partitionBy("ticker", "form").orderBy(F.col("filing_date").desc(), F.col("accession").desc())
+    ranked = filings.filter(F.col("form").isin(list(sizes))).withColumn("filing_no", F.row_number().over(newest))
+    if len(sizes) == 1:
+        return ranked.filter(F.col("filing_no") <= next(iter(sizes.values())))
+    keep = F.lit(False)
+    for form, n in sizes.items():
+        keep = keep | ((F.col("form") == form) & (F.col("filing_no") <= n))
+    return ranked.filter((F.col("filing_no") <= max(sizes.values())) & keep)
 
 
 def classify_facts(facts: DataFrame) -> DataFrame:
@@ -76,63 +87,75 @@ def classify_facts(facts: DataFrame) -> DataFrame:
 
 
 def with_facts(filings: DataFrame, classified: DataFrame) -> DataFrame:
-    """Filings with their figures; a filing without usable facts stays."""
+    """Filings with their facts; a filing without usable facts stays."""
     return filings.join(classified, "accession", "left")
 
 
-def _figure(name: str, value: Column) -> Column:
-    return F.struct(F.lit(name).alias("key"), X.float_text(value).alias("value"))
-
+def with_figures(filings: DataFrame, classified: DataFrame) -> DataFrame:
+    """Filings with ``revenue_bn``, ``net_income_bn`` and ``eps``: billions with one decimal, zero as missing.
 
-def _figures(always: list, if_known: list) -> Column:
-    """A map that keeps the ``always`` figures as nulls and leaves out unknown others."""
-    entries = F.array(*[_figure(n, v) for n, v in always + if_known])
-    kept = F.filter(
-        entries, lambda e: e["value"].isNotNull() | e["key"].isin([n for n, _ in always]) if always
-        else e["value"].isNotNull()
+    The numbers are made in steps, so that no step repeats the work of another.
+    """
+    scaled = with_facts(filings, classified).select(
+        *filings.columns, X.in_billions(F.col("revenue")).alias("_revenue"),
+        X.in_billions(F.col("net_income")).alias("_net_income"),
+        F.nullif("eps_diluted", F.lit(0.0)).alias("eps"),
+    )
+    return scaled.select(
+        *filings.columns, X.round_to_tenth(F.col("_revenue")).alias("revenue_bn"),
+        X.round_to_tenth(F.col("_net_income")).alias("net_income_bn"), "eps",
     )
-    return F.map_from_entries(kept).cast(S.FIGURES)
+
+
+def figures_map(always: list, if_known: list) -> Column:
+    """A map of figures as text: ``always`` keeps nulls, ``if_known`` leaves them out."""
+    pairs = [*always, *if_known]
+    whole = F.create_map(*[x for name, column in pairs for x in (F.lit(name), X.float_text(F.col(column)))])
+    names = [name for name, _ in always]
+    return F.map_filter(whole, lambda k, v: v.isNotNull() | k.isin(names) if names else v.isNotNull())
 
 
 def quarterly_financials() -> Column:
     """Figures of a 10-Q: revenue and EPS may be null, net income is there only when known."""
-    eps = F.nullif("eps_diluted", F.lit(0.0))
-    return _figures(
-        [("revenue_bn", X.to_billions(F.col("revenue"))), ("eps_reported", eps)],
-        [("net_income_bn", X.to_billions(F.col("net_income")))],
+    return figures_map(
+        [("revenue_bn", "revenue_bn"), ("eps_reported", "eps")], [("net_income_bn", "net_income_bn")]
     )
 
 
 def annual_financials() -> Column:
     """Figures of a 10-K: only those that are known."""
-    return _figures([], [
-        ("revenue_bn", X.to_billions(F.col("revenue"))),
-        ("eps_diluted", F.nullif("eps_diluted", F.lit(0.0))),
-        ("net_income_bn", X.to_billions(F.col("net_income"))),
-    ])
+    return figures_map([], [("revenue_bn", "revenue_bn"), ("eps_diluted", "eps"), ("net_income_bn", "net_income_bn")])
 
 
-def quarter_records(filings: DataFrame, classified: DataFrame, n: int = V.QUARTERS) -> DataFrame:
-    """Latest n 10-Q filings of each company as quarter records (``filing_no`` 1 newest)."""
-    chosen = with_facts(latest_filings(filings, "10-Q", n), classified)
+def quarter_of_filing() -> Column:
+    """A 10-Q with figures as a quarter record."""
     named = Q.filing_quarter(F.col("period_of_report"), F.col("filing_date"))
     none, no_quotes = F.array().cast(S.TEXTS), F.array().cast(S.QUARTER["key_quotes"].dataType)
-    record = quarter_record(
+    return quarter_record(
         quarter=named["quarter"], fiscal_year=named["fiscal_year"], date=F.col("filing_date"),
         period_end=F.col("period_of_report"), speakers=none, financials=quarterly_financials(), key_quotes=no_quotes,
         key_themes=none, risks=none, tone=F.lit(""), source=F.lit(V.QUARTERLY_SOURCE),
     )
-    return chosen.select("ticker", "accession", "filing_no", record.alias("record"))
 
 
-def annual_records(filings: DataFrame, classified: DataFrame, n: int = V.ANNUALS) -> DataFrame:
-    """Latest n 10-K filings of each company as annual records."""
-    chosen = with_facts(latest_filings(filings, "10-K", n), classified)
-    record = F.struct(
+def annual_of_filing() -> Column:
+    """A 10-K with figures as an annual record."""
+    return F.struct(
         F.col("form"), F.col("filing_date").cast("string").alias("filing_date"),
         F.col("period_of_report").cast("string").alias("period_end"), annual_financials().alias("financials"),
     )
-    return chosen.select("ticker", "accession", "filing_no", record.alias("record"))
+
+
+def quarter_records(filings: DataFrame, classified: DataFrame, n: int = V.QUARTERS) -> DataFrame:
+    """Latest n 10-Q filings of each company as quarter records (``filing_no`` 1 newest)."""
+    chosen = with_figures(latest_filings(filings, "10-Q", n), classified)
+    return chosen.select("ticker", "accession", "filing_no", quarter_of_filing().alias("record"))
+
+
+def annual_records(filings: DataFrame, classified: DataFrame, n: int = V.ANNUALS) -> DataFrame:
+    """Latest n 10-K filings of each company as annual records."""
+    chosen = with_figures(latest_filings(filings, "10-K", n), classified)
+    return chosen.select("ticker", "accession", "filing_no", annual_of_filing().alias("record"))
 
 
 def oldest_first(records: DataFrame, name: str) -> DataFrame:
@@ -168,12 +191,9 @@ def event_tags(codes: Column) -> Column:
     return F.concat(codes, F.array(*[F.lit(t) for t in V.EVENT_TAGS]))
 
 
-def news_from_filings(filings: DataFrame, companies: DataFrame, n: int = V.EVENTS) -> DataFrame:
-    """Latest n 8-K filings of each company as news items (``filing_no`` 1 newest)."""
-    chosen = latest_filings(filings, "8-K", n).join(companies.select("ticker", "company"), "ticker", "inner")
-    codes = item_codes(F.col("items"))
-    return chosen.select("ticker", "accession", "filing_no", "company", "filing_date", "items", codes.alias("codes")).select(
-        "ticker", "accession", "filing_no",
+def news_of_filing() -> Column:
+    """An 8-K with company name and ``codes`` as a news item."""
+    return F.struct(
         F.col("filing_date").cast("string").alias("date"),
         F.lit(V.EVENT_SOURCE).alias("source"),
         event_headline(F.col("company"), describe_codes(F.col("codes"))).alias("headline"),
@@ -182,7 +202,37 @@ def news_from_filings(filings: DataFrame, companies: DataFrame, n: int = V.EVENT
     )
 
 
+def news_from_filings(filings: DataFrame, companies: DataFrame, n: int = V.EVENTS) -> DataFrame:
+    """Latest n 8-K filings of each company as news items (``filing_no`` 1 newest)."""
+    chosen = latest_filings(filings, "8-K", n).join(companies.select("ticker", "company"), "ticker", "inner")
+    coded = chosen.withColumn("codes", item_codes(F.col("items")))
+    return coded.select("ticker", "accession", "filing_no", news_of_filing().alias("item")).select(
+        "ticker", "accession", "filing_no", "item.*"
+    )
+
+
 def collect_news(news: DataFrame, ord_by: str) -> DataFrame:
     """News items of a company as one list. Limit the items first."""
     item = F.struct("date", "source", "headline", "snippet", "tags")
     return news.groupBy("ticker").agg(ordered_list(F.col(ord_by), item).alias("news"))
+
+
+def document_lists(
+    filings: DataFrame, facts: DataFrame, companies: DataFrame, n_quarters: int = V.QUARTERS,
+    n_years: int = V.ANNUALS, n_events: int = V.EVENTS,
+) -> DataFrame:
+    """(ticker, transcripts, annual_filings, news) of each company with filings.
+
+    All three lists come from one pass over the filings, one join to the facts
+    and one grouping of the few filings that are kept.
+    """
+    chosen = latest_of_forms(filings, {"10-Q": n_quarters, "10-K": n_years, "8-K": n_events})
+    figured = with_figures(chosen, classify_facts(facts))
+    named = figured.join(companies.select("ticker", "company"), "ticker", "inner")
+    coded = named.withColumn("codes", item_codes(F.col("items")))
+    no, form = F.col("filing_no"), F.col("form")
+    return coded.groupBy("ticker").agg(
+        ordered_list(-no, quarter_of_filing(), form == "10-Q").alias("transcripts"),
+        ordered_list(-no, annual_of_filing(), form == "10-K").alias("annual_filings"),
+        ordered_list(no, news_of_filing(), form == "8-K").alias("news"),
+    )

@@ -29,7 +29,7 @@ def latest_quarters(quarters: DataFrame, n: int = 2, by: str = "date") -> DataFr
 
 def newest_first(records: Column, n: int) -> Column:
     """Last n elements of a list, latest first."""
-    return F.reverse(F.slice(records, -F.least(F.lit(n), F.size(records)), n))
+    return F.reverse(F.slice(records, -F.greatest(F.lit(1), F.least(F.lit(n), F.size(records))), n))
 
 
 def pair_latest(quarters: DataFrame, by: str = "date") -> DataFrame:

@@ -4,13 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_list(ord_by: Column, value: Column) -> Column:
+def ordered_list(ord_by: Column, value: Column, where: Column | None = None) -> Column:
     """Aggregate: values as a list by an order key (the value may hold maps).
 
     Callers limit the rows of a group first (latest n, first k), so that a list
     stays small whatever the group size was.
     """
-    rows = F.collect_list(F.struct(ord_by.alias("o"), value.alias("v")))
+    row = F.struct(ord_by.alias("o"), value.alias("v"))
+    rows = F.collect_list(row if where is None else F.when(where, row))
     by_key = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
     return F.transform(by_key, lambda r: r["v"])
 

@@ -15,15 +15,11 @@ def seed_companies(
 ) -> DataFrame:
     """Documents with the latest 10-Q quarters, 10-K years and 8-K news of each company.
 
-    ``companies`` has (ticker, company, sector, industry); the document's sector
-    is the industry when there is one.
+    ``companies`` has (ticker, company, sector).
     """
-    classified = FL.classify_facts(facts)
-    quarters = FL.oldest_first(FL.quarter_records(filings, classified, n_quarters), "transcripts")
-    annual = FL.oldest_first(FL.annual_records(filings, classified), "annual_filings")
-    news = FL.collect_news(FL.news_from_filings(filings, companies), "filing_no")
     info = companies.select(X.upper_ticker(F.col("ticker")).alias("ticker"), "company", "sector")
-    return C.assemble_company(info, quarters, news, annual, last_updated)
+    lists = FL.document_lists(filings, facts, info, n_quarters)
+    return C.assemble_company(info, lists, last_updated=last_updated)
 
 
 def registry_updates(docs: DataFrame, update_no: Column) -> DataFrame:

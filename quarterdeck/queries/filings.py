@@ -42,17 +42,8 @@ def classified_facts(spark, folder):
     SELECT f.accession, form, revenue_bn, eps, net_income_bn
     FROM {f_filing} f LEFT JOIN figures g ON g.accession = f.accession""")
 def filing_financials(spark, folder):
-    filed = FL.with_facts(table(spark, folder, "f_filing"), FL.classify_facts(table(spark, folder, "f_fact")))
-    figures = F.when(F.col("form") == "10-K", FL.annual_financials()).otherwise(FL.quarterly_financials())
-
-    def number(*names):
-        found = [F.try_element_at("figures", F.lit(n)) for n in names]
-        return F.coalesce(*found).cast("double")
-
-    return filed.select("accession", "form", figures.alias("figures")).select(
-        "accession", "form", number("revenue_bn").alias("revenue_bn"),
-        number("eps_reported", "eps_diluted").alias("eps"), number("net_income_bn").alias("net_income_bn"),
-    )
+    filed = FL.with_figures(table(spark, folder, "f_filing"), FL.classify_facts(table(spark, folder, "f_fact")))
+    return filed.select("accession", "form", "revenue_bn", "eps", "net_income_bn")
 
 
 @query("""
@@ -62,9 +53,7 @@ def filing_financials(spark, folder):
     WHERE n <= CASE form WHEN '10-Q' THEN 8 WHEN '10-K' THEN 3 ELSE 6 END""")
 def latest_filings(spark, folder):
     filings = table(spark, folder, "f_filing")
-    parts = [FL.latest_filings(read_filings(filings, form), form, n) for form, n in
-             (("10-Q", 8), ("10-K", 3), ("8-K", 6))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+    return FL.latest_of_forms(filings, {"10-Q": 8, "10-K": 3, "8-K": 6}).select(
         "ticker", "accession", "form", F.col("filing_date").cast("string").alias("filing_date"),
         F.col("filing_no").cast("long").alias("filing_no"),
     )
