@@ -136,7 +136,7 @@ VIEWS = {
     # hits: ten pages share one company and quarter, as two searches of five hits
     "f_hit": """
         SELECT 'C' || lpad(cast(cast(floor(page_id / 10) AS bigint) AS string), 9, '0') AS ticker, 2001 AS year,
-               cast(floor(page_id / 10) AS bigint) % 4 + 1 AS q, page_id % 10 AS n,
+               cast(floor(page_id / 10) AS bigint) % 4 + 1 AS q,
                CASE WHEN page_id % 10 < 5 THEN 1 ELSE 2 END AS query_no, page_id % 5 + 1 AS rank,
                url || CASE WHEN page_id % 3 = 0
                    THEN '/Q' || cast(cast(floor(page_id / 10) AS bigint) % 4 + 1 AS string) || '-2001-call'
