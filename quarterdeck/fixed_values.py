@@ -95,6 +95,11 @@ CALL_QUESTIONS_START = "|".join([
 REVENUE_FIGURE = r"revenue of \$?([\d,.]+)\s*(billion|million|B|M)"
 EPS_FIGURE = r"(?:earnings per share|EPS|diluted earnings).*?\$?([\d.]+)"
 
+# capitals of which a text must have one before a pattern can match (fixed values)
+QUESTIONS_NEED = ["QUEST", "Q&A", "Q & A"]
+REVENUE_NEEDS = ["REVENUE OF "]
+EPS_NEEDS = ["EARN", "EPS"]
+
 # --- patterns over transcript pages (fixed values) -------------------------
 PARTICIPANTS_BLOCK = (
     r"(?:CALL PARTICIPANTS|Call Participants)((?s:.*?))"

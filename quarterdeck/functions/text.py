@@ -4,6 +4,9 @@ Java options used with the patterns: ``d`` makes a dot stop at newline only,
 ``U`` gives Unicode classes, ``i`` ignores case.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from quarterdeck import fixed_values as V
 WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 PLAIN = "(?dU)"
 ANY_CASE = "(?idU)"
+ANY_CASE_ASCII = "(?id)"
+# letters outside ASCII that equal an ASCII letter when case is ignored (fixed values)
+FOLDING_LETTERS = ["ſ", "ı", "İ", "K"]
 
 
 def strip(text: Column) -> Column:
@@ -28,34 +34,43 @@ def rest_from(text: Column, pattern: str, options: str = PLAIN) -> Column:
     return F.regexp_extract(text, f"{options}(?:{pattern})(?s:.*)", 0)
 
 
-def split_sections(text: Column, questions_start: str) -> Column:
+def _has_any(text: Column, parts: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def split_sections(text: Column, questions_start: str, needs: list[str]) -> Column:
     """Struct of remarks and questions, cut at the leftmost questions marker.
 
     The cut is found as the length of what remains, so it counts characters and
-    does not drift after characters outside the basic plane.
+    does not drift after characters outside the basic plane. ``needs`` are
+    capitals of which every marker has one: texts without them are not searched.
+    Case is ignored the quick way unless a text has one of the few letters for
+    which that makes a difference.
     """
-    rest = rest_from(text, questions_start, ANY_CASE)
-    return F.when(
-        rest == "", F.struct(text.alias("prepared_remarks"), F.lit("").alias("questions_and_answers"))
-    ).otherwise(
-        F.struct(
-            strip(F.substring(text, F.lit(1), F.length(text) - F.length(rest))).alias("prepared_remarks"),
+    slow, quick = rest_from(text, questions_start, ANY_CASE), rest_from(text, questions_start, ANY_CASE_ASCII)
+    rest = F.when(~_has_any(F.upper(text), needs), F.lit("")).when(_has_any(text, FOLDING_LETTERS), slow).otherwise(quick)
+
+    def cut(rest: Column) -> Column:
+        remarks = strip(F.substring(text, F.lit(1), F.length(text) - F.length(rest)))
+        return F.struct(
+            F.when(rest == "", text).otherwise(remarks).alias("prepared_remarks"),
             strip(rest).alias("questions_and_answers"),
         )
-    )
+
+    # a list of one, so that the search is written and done once
+    return F.get(F.transform(F.array(rest), cut), F.lit(0))
 
 
 def page_sections(text: Column) -> Column:
-    return split_sections(text, V.PAGE_QUESTIONS_START)
+    return split_sections(text, V.PAGE_QUESTIONS_START, V.QUESTIONS_NEED)
 
 
 def call_sections(text: Column) -> Column:
-    return split_sections(text, V.CALL_QUESTIONS_START)
+    return split_sections(text, V.CALL_QUESTIONS_START, V.QUESTIONS_NEED)
 
 
 def _names(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(PLAIN + pattern), F.lit(1))
-    return F.transform(found, strip)
+    return F.regexp_extract_all(text, F.lit(PLAIN + pattern), F.lit(1))
 
 
 def _short(names: Column) -> Column:
@@ -78,9 +93,10 @@ def page_speakers(text: Column) -> Column:
 
 def call_speakers(text: Column) -> Column:
     """Names handed over to, thanked, or introduced with a title early on, sorted."""
+    thanked = F.transform(_names(text, V.THANKED), strip)
     return distinct_sorted(
         _short(_names(text, V.HANDED_OVER_TO)),
-        _short(F.filter(_names(text, V.THANKED), lambda n: F.contains(n, F.lit(" ")))),
+        _short(F.filter(thanked, lambda n: F.contains(n, F.lit(" ")))),
         _short(_names(clip(text, V.INTRO_LENGTH), V.NAME_AND_TITLE)),
     )
 
@@ -108,15 +124,23 @@ def float_text(number: Column) -> Column:
 
 
 def key_numbers(text: Column) -> Column:
-    """Map of the first revenue figure and the first early EPS figure; absent keys left out."""
+    """Map of the first revenue figure and the first early EPS figure; absent keys left out.
+
+    The long text is searched once per figure, and only if it has the words; the
+    parts of a figure are then read from the short match.
+    """
     pattern = ANY_CASE + V.REVENUE_FIGURE
-    figure = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
-    unit = F.upper(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
-    revenue = F.when(unit != "", F.concat(F.lit("$"), float_text(figure), unit))
-    eps = F.regexp_extract(clip(text, V.EPS_SEARCH_LENGTH), ANY_CASE + V.EPS_FIGURE, 1)
+    said = F.when(_has_any(F.upper(text), V.REVENUE_NEEDS), F.regexp_extract(text, pattern, 0))
+
+    def revenue(said: Column) -> Column:
+        number = F.replace(F.regexp_extract(said, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+        return F.concat(F.lit("$"), float_text(number), F.upper(F.substring(F.regexp_extract(said, pattern, 2), 1, 1)))
+
+    early = clip(text, V.EPS_SEARCH_LENGTH)
+    eps = F.when(_has_any(F.upper(early), V.EPS_NEEDS), F.regexp_extract(early, ANY_CASE + V.EPS_FIGURE, 1))
     found = F.create_map(
-        F.lit("revenue_mentioned"), revenue,
-        F.lit("eps_mentioned"), F.when(eps != "", F.concat(F.lit("$"), eps)),
+        F.lit("revenue_mentioned"), F.get(F.transform(F.array(F.nullif(said, F.lit(""))), revenue), F.lit(0)),
+        F.lit("eps_mentioned"), F.nullif(F.concat(F.lit("$"), eps), F.lit("$")),
     )
     return F.map_filter(found, lambda _, v: v.isNotNull())
 

@@ -1,5 +1,8 @@
 """Filings: statement facts, latest filings, quarter and annual records, 8-K news."""
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +47,8 @@ def classify_facts(facts: DataFrame) -> DataFrame:
     """
     label, val, row = F.lower("label"), F.col("val"), F.col("ord")
 
-    def any_of(words):
-        return F.array_contains(F.array(*[F.contains(label, F.lit(w)) for w in words]), True)
+    def has(words):
+        return [F.contains(label, F.lit(w)) for w in words]
 
     usable = (
         ~F.coalesce("abstract", F.lit(False))
@@ -53,9 +56,9 @@ def classify_facts(facts: DataFrame) -> DataFrame:
         & val.isNotNull()
         & ~F.isnan(val)
     )
-    revenue_like = any_of(V.REVENUE_WORDS)
+    revenue_like = reduce(or_, has(V.REVENUE_WORDS))
     net_income = X.strip(label).isin(V.NET_INCOME_LABELS)
-    eps = ~F.array_contains(F.array(*[F.contains(label, F.lit(w)) for w in V.DILUTED_EPS_WORDS]), False)
+    eps = reduce(and_, has(V.DILUTED_EPS_WORDS))
 
     rows = facts.filter(F.col("period").rlike("^[0-9]")).select(
         "accession", "period", "period_pos", val.alias("val"), row.alias("ord"),
@@ -68,8 +71,8 @@ def classify_facts(facts: DataFrame) -> DataFrame:
     def when(flag):
         return F.when(F.col(flag), F.col("ord"))
 
-    per_period = rows.groupBy("accession", "period_pos").agg(
-        F.any_value("period").alias("period"),
+    # numbers only in the aggregate buffers, so that they are hashed and not sorted
+    per_period = rows.groupBy("accession", "period_pos", "period").agg(
         F.min_by("val", when("is_revenue")).alias("revenue"),
         F.max_by("val", when("is_net_income")).alias("net_income"),
         F.max_by("val", when("is_eps")).alias("any_eps"),

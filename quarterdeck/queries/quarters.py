@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import quarters as Q
+from quarterdeck.functions import text as X
 from quarterdeck.operators import quarters as QT
 from quarterdeck.queries.catalog import RECORDS_SQL, as_of, documents
 from quarterdeck.queries.registry import query
@@ -17,7 +18,7 @@ def rich_quarters(spark, folder):
         F.array(F.concat("company", F.lit(" (CEO)")), F.concat("sector", F.lit(" Desk (CFO)"))).alias("speakers"),
         F.create_map(
             F.lit("lines"), F.col("n_lines").cast("string"),
-            F.lit("revenue_bn"), F.when(F.col("n_lines") > 1, F.col("revenue").cast("string")),
+            F.lit("revenue_bn"), F.when(F.col("n_lines") > 1, X.float_text(F.col("revenue"))),
             F.lit("missed"), (F.col("n_lines") > 4).cast("string"),
             F.lit("note"), F.concat(F.lit("“"), "sector", F.lit('" mix')),
         ).alias("financials"),
@@ -35,7 +36,7 @@ def rich_quarters(spark, folder):
 @query("""
     SELECT ticker, pos, 'lines' AS name, n_lines::double AS num, NULL::string AS flag, NULL::string AS text
       FROM {f_quarter}
-    UNION ALL SELECT ticker, pos, 'revenue_bn', CASE WHEN n_lines > 1 THEN revenue::double END, NULL, NULL
+    UNION ALL SELECT ticker, pos, 'revenue_bn', CASE WHEN n_lines > 1 THEN revenue END, NULL, NULL
       FROM {f_quarter}
     UNION ALL SELECT ticker, pos, 'missed', NULL, cast(n_lines > 4 AS string), NULL FROM {f_quarter}
     UNION ALL SELECT ticker, pos, 'note', NULL, NULL, '“' || sector || '" mix' FROM {f_quarter}""")
@@ -73,13 +74,13 @@ def speakers_flat(spark, folder):
 
 
 LATEST = """
-    SELECT * FROM (SELECT ticker, quarter, date, revenue::double AS revenue,
+    SELECT * FROM (SELECT ticker, quarter, date, revenue,
         row_number() OVER (PARTITION BY ticker ORDER BY {order}) AS rank FROM {{f_quarter}}) r WHERE rank <= 2"""
 
 
 def _latest(spark, folder, by):
     latest = QT.latest_quarters(table(spark, folder, "f_quarter"), 2, by)
-    return latest.select("ticker", "quarter", "date", F.col("revenue").cast("double").alias("revenue"),
+    return latest.select("ticker", "quarter", "date", "revenue",
                          F.col("rank").cast("long").alias("rank"))
 
 
@@ -95,13 +96,13 @@ def latest_by_date(spark, folder):
 
 @query("""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC, pos DESC) AS n FROM {f_quarter})
-    SELECT c.ticker, c.company, c.quarter, c.revenue::double AS revenue, p.quarter AS previous_quarter,
-           p.revenue::double AS previous_revenue, c.revenue::double / p.revenue::double - 1 AS growth
+    SELECT c.ticker, c.company, c.quarter, c.revenue, p.quarter AS previous_quarter,
+           p.revenue AS previous_revenue, c.revenue / p.revenue - 1 AS growth
     FROM r c LEFT JOIN r p ON p.ticker = c.ticker AND p.n = 2 WHERE c.n = 1""")
 def quarter_pairs(spark, folder):
     """The latest quarter of every company against the one before."""
     quarters = table(spark, folder, "f_quarter").select(
-        "ticker", "company", "pos", "quarter", "date", F.col("revenue").cast("double").alias("revenue")
+        "ticker", "company", "pos", "quarter", "date", "revenue"
     )
     pairs = QT.pair_latest(quarters, by="date")
     return pairs.select(
