@@ -147,7 +147,11 @@ def _decoded(text: Column) -> Column:
 
 
 def flat_text(html: Column) -> Column:
-    """Body text by pattern: each block from its opening tag to the next closing tag."""
+    """Body text by pattern: each block from its opening tag to the next closing tag.
+
+    The body ends with its article or with the page, since a pattern cannot
+    count nested elements; blocks are neither nested nor left open.
+    """
     body = F.coalesce(
         F.nullif(F.regexp_extract(html, BODY_BY_ID, 0), F.lit("")),
         F.nullif(F.regexp_extract(html, BODY_BY_CLASS, 0), F.lit("")),
