@@ -45,8 +45,9 @@ def complete(
     ``fn(system, user)`` gives the reply, or (reply, tokens in, tokens out). A
     failing call is tried again after ``wait`` seconds, then twice that and so
     on; when all fail the reply is an empty text. ``parallelism`` spreads the
-    prompts evenly and limits how many calls run at once. A lost task calls
-    ``fn`` again for its rows, so settle costly replies before reusing them.
+    prompts evenly over so many tasks, and no more calls than that run at once.
+    A lost task calls ``fn`` again for its rows: many small tasks lose little,
+    and costly replies should be settled before they are used twice.
     """
     names = [*prompts.columns, *[f.name for f in OUTCOME]]
 

@@ -20,9 +20,13 @@ def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     """Rows that are computed once: a Parquet table when a path is given, else a checkpoint.
 
     Used after calls to a model, which must not run again when a later stage
-    retries. The checkpoint folder is the one the session names.
+    retries. The checkpoint folder is the shared one that the session names in
+    ``spark.checkpoint.dir``; without any the checkpoint is an error.
     """
     if path:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -216,18 +216,19 @@ def registry_upsert(spark, folder):
 
 
 @query("""
-    SELECT ticker, CASE WHEN pos % 3 = 0 THEN company WHEN pos % 5 = 0 THEN ticker ELSE 'Short ' || company END AS company,
-           CASE WHEN pos % 7 = 0 OR pos % 5 = 0 AND pos % 3 <> 0 THEN 'Unknown' ELSE sector END AS sector,
-           CASE WHEN pos % 5 = 0 AND pos % 3 <> 0 THEN 'Unknown' ELSE industry END AS industry
+    SELECT ticker, CASE WHEN balance < 0 THEN ticker WHEN sector = 'MACHINERY' THEN company
+                        ELSE 'Short ' || company END AS company,
+           CASE WHEN balance < 0 OR sector = 'BUILDING' THEN 'Unknown' ELSE sector END AS sector,
+           CASE WHEN balance < 0 THEN 'Unknown' ELSE industry END AS industry
     FROM {f_company}""")
 def company_infos(spark, folder):
-    """Every third company has a long name, every fifth of the others no information at all."""
+    """One sector has long names, one has no sector given; companies in debt have no information at all."""
     company = table(spark, folder, "f_company")
-    pos = F.col("pos")
-    info = company.filter((pos % 3 == 0) | (pos % 5 != 0)).select(
+    sector = F.col("sector")
+    info = company.filter("balance >= 0").select(
         "ticker",
-        F.when(pos % 3 == 0, F.col("company")).otherwise(F.lit("")).alias("longName"),
+        F.when(sector == "MACHINERY", F.col("company")).otherwise(F.lit("")).alias("longName"),
         F.concat(F.lit("Short "), "company").alias("shortName"),
-        F.when(pos % 7 != 0, F.col("sector")).alias("sector"), "industry",
+        F.when(sector != "BUILDING", sector).alias("sector"), "industry",
     )
     return company_info(company.select("ticker"), info)

@@ -159,7 +159,7 @@ def searched_only(spark, folder):
 @query("""
     SELECT ticker, year, q, kind, query FROM (
     WITH grid AS (SELECT ticker, company, year(d)::bigint AS year, quarter(d)::bigint AS q FROM (
-        SELECT *, DATE '2002-01-01' - INTERVAL 3 MONTH * i AS d FROM {f_company}, (SELECT unnest([1, 2]) AS i)) x)
+        SELECT *, DATE '2002-01-01' - INTERVAL 3 MONTH * i AS d FROM {f_company}, (SELECT unnest(range(1, 9)) AS i)) x)
     SELECT *, 'quarter' AS kind, company || ' ' || ticker || ' Q' || q || ' ' || year
         || ' earnings call transcript highlights key quotes' AS query FROM grid
     UNION ALL SELECT *, 'page 1', 'site:example.com ' || company || ' Q' || q || ' ' || year
@@ -169,7 +169,7 @@ def searched_only(spark, folder):
     UNION ALL SELECT ticker, company, 2002, 1, 'news', company || ' ' || ticker || ' news 2002' FROM {f_company}) u""")
 def search_queries(spark, folder):
     companies = table(spark, folder, "f_company").select("ticker", "company")
-    grid = QT.quarter_grid(companies, as_of(), 2)
+    grid = QT.quarter_grid(companies, as_of(), 8)
 
     def shown(queries, kind):
         return queries.select("ticker", F.col("year").cast("long").alias("year"), F.col("q").cast("long").alias("q"),

@@ -51,7 +51,7 @@ def read_search_hits(hits: DataFrame, k: int = V.HITS_PER_QUARTER, query: list[s
 def read_pages(pages: DataFrame) -> DataFrame:
     """Fetched pages; a failed fetch has no html. Bytes are read as UTF-8, bad ones left out."""
     if dict(pages.dtypes)["html"] == "binary":
-        text = F.replace(F.decode(F.col("html"), "UTF-8"), F.lit("�"), F.lit(""))
+        text = F.replace(F.make_valid_utf8(F.col("html").cast("string")), F.lit("\ufffd"), F.lit(""))
         pages = pages.withColumn("html", text)
     return pages.filter(F.col("html").isNotNull())
 

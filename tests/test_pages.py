@@ -80,8 +80,8 @@ def test_gate_gives_the_first_reason(spark):
 
 def test_read_page_of_bytes(spark):
     from quarterdeck.sources.tables import read_pages
-    rows = spark.createDataFrame([("a", bytearray("é<p>".encode())), ("b", None)], "url string, html binary")
-    assert [(r.url, r.html) for r in read_pages(rows).collect()] == [("a", "é<p>")]
+    rows = spark.createDataFrame([("a", bytearray("é<p>".encode())), ("b", None), ("c", bytearray(b"x\xff\xe9y"))], "url string, html binary")
+    assert [(r.url, r.html) for r in read_pages(rows).collect()] == [("a", "é<p>"), ("c", "xy")]
 
 
 def test_unclosed_markup_does_not_stop(spark):
