@@ -69,11 +69,10 @@ def page_quarter_prompts(quarters: DataFrame) -> DataFrame:
 
 
 def assemble_brief(memos: DataFrame, at: Column) -> DataFrame:
-    """The nine result fields; ``at`` is the time that names the memo file."""
-    seconds = F.col("spent") + F.coalesce("latency", F.lit(0.0))
+    """The nine result fields; ``at`` is the time that names the memo file, ``spent`` the seconds of the calls."""
     return memos.select(
         "company", "ticker", "quarter", "previous_quarter", "earnings_analysis", "sentiment_analysis",
-        F.col("reply").alias("memo"),
+        "memo",
         X.memo_file(F.col("ticker"), at).alias("memo_file"),
-        X.round_to_tenth(seconds).alias("elapsed_seconds"),
+        X.round_to_tenth(F.col("spent")).alias("elapsed_seconds"),
     )

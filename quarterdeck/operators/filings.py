@@ -110,10 +110,16 @@ def with_figures(filings: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
+def with_figure_texts(figured: DataFrame) -> DataFrame:
+    """Adds the figures as texts, once each, for the maps below."""
+    names = ("revenue_bn", "net_income_bn", "eps")
+    return figured.select("*", *[X.float_text(F.col(n)).alias(f"{n}_text") for n in names])
+
+
 def figures_map(always: list, if_known: list) -> Column:
     """A map of figures as text: ``always`` keeps nulls, ``if_known`` leaves them out."""
     pairs = [*always, *if_known]
-    whole = F.create_map(*[x for name, column in pairs for x in (F.lit(name), X.float_text(F.col(column)))])
+    whole = F.create_map(*[x for name, column in pairs for x in (F.lit(name), F.col(f"{column}_text"))])
     names = [name for name, _ in always]
     return F.map_filter(whole, lambda k, v: v.isNotNull() | k.isin(names) if names else v.isNotNull())
 
@@ -151,13 +157,13 @@ def annual_of_filing() -> Column:
 
 def quarter_records(filings: DataFrame, classified: DataFrame, n: int = V.QUARTERS) -> DataFrame:
     """Latest n 10-Q filings of each company as quarter records (``filing_no`` 1 newest)."""
-    chosen = with_figures(latest_filings(filings, "10-Q", n), classified)
+    chosen = with_figure_texts(with_figures(latest_filings(filings, "10-Q", n), classified))
     return chosen.select("ticker", "accession", "filing_no", quarter_of_filing().alias("record"))
 
 
 def annual_records(filings: DataFrame, classified: DataFrame, n: int = V.ANNUALS) -> DataFrame:
     """Latest n 10-K filings of each company as annual records."""
-    chosen = with_figures(latest_filings(filings, "10-K", n), classified)
+    chosen = with_figure_texts(with_figures(latest_filings(filings, "10-K", n), classified))
     return chosen.select("ticker", "accession", "filing_no", annual_of_filing().alias("record"))
 
 
@@ -194,22 +200,23 @@ def event_tags(codes: Column) -> Column:
     return F.concat(codes, F.array(*[F.lit(t) for t in V.EVENT_TAGS]))
 
 
-def news_of_filing() -> Column:
-    """An 8-K with company name and ``codes`` as a news item."""
+def news_of_filing(company: Column, filing_date: Column, items: Column) -> Column:
+    """An 8-K as a news item."""
+    codes = item_codes(items)
     return F.struct(
-        F.col("filing_date").cast("string").alias("date"),
+        filing_date.cast("string").alias("date"),
         F.lit(V.EVENT_SOURCE).alias("source"),
-        event_headline(F.col("company"), describe_codes(F.col("codes"))).alias("headline"),
-        event_snippet(F.col("filing_date"), F.col("items")).alias("snippet"),
-        event_tags(F.col("codes")).alias("tags"),
+        event_headline(company, describe_codes(codes)).alias("headline"),
+        event_snippet(filing_date, items).alias("snippet"),
+        event_tags(codes).alias("tags"),
     )
 
 
 def news_from_filings(filings: DataFrame, companies: DataFrame, n: int = V.EVENTS) -> DataFrame:
     """Latest n 8-K filings of each company as news items (``filing_no`` 1 newest)."""
     chosen = latest_filings(filings, "8-K", n).join(companies.select("ticker", "company"), "ticker", "inner")
-    coded = chosen.withColumn("codes", item_codes(F.col("items")))
-    return coded.select("ticker", "accession", "filing_no", news_of_filing().alias("item")).select(
+    item = news_of_filing(F.col("company"), F.col("filing_date"), F.col("items"))
+    return chosen.select("ticker", "accession", "filing_no", item.alias("item")).select(
         "ticker", "accession", "filing_no", "item.*"
     )
 
@@ -221,21 +228,27 @@ def collect_news(news: DataFrame, ord_by: str) -> DataFrame:
 
 
 def document_lists(
-    filings: DataFrame, facts: DataFrame, companies: DataFrame, n_quarters: int = V.QUARTERS,
+    companies: DataFrame, filings: DataFrame, facts: DataFrame | None = None, n_quarters: int = V.QUARTERS,
     n_years: int = V.ANNUALS, n_events: int = V.EVENTS,
 ) -> DataFrame:
-    """(ticker, transcripts, annual_filings, news) of each company with filings.
+    """``companies`` with their transcripts, annual filings and news.
 
-    All three lists come from one pass over the filings, one join to the facts
-    and one grouping of the few filings that are kept.
+    All lists come from one pass over the filings, one join to the facts and one
+    grouping of the few filings that are kept; news items are worded after the
+    join to the company. Without facts all figures are missing.
     """
     chosen = latest_of_forms(filings, {"10-Q": n_quarters, "10-K": n_years, "8-K": n_events})
-    figured = with_figures(chosen, classify_facts(facts))
-    named = figured.join(companies.select("ticker", "company"), "ticker", "inner")
-    coded = named.withColumn("codes", item_codes(F.col("items")))
+    if facts is None:
+        unknown = [F.lit(None).cast("string").alias(f"{n}_text") for n in ("revenue_bn", "net_income_bn", "eps")]
+        figured = chosen.select("*", *unknown)
+    else:
+        figured = with_figure_texts(with_figures(chosen, classify_facts(facts)))
     no, form = F.col("filing_no"), F.col("form")
-    return coded.groupBy("ticker").agg(
+    event = F.struct("filing_date", "items")
+    lists = figured.groupBy("ticker").agg(
         ordered_list(-no, quarter_of_filing(), form == "10-Q").alias("transcripts"),
         ordered_list(-no, annual_of_filing(), form == "10-K").alias("annual_filings"),
-        ordered_list(no, news_of_filing(), form == "8-K").alias("news"),
+        ordered_list(no, event, form == "8-K").alias("events"),
     )
+    news = F.transform("events", lambda e: news_of_filing(F.col("company"), e["filing_date"], e["items"]))
+    return companies.join(lists, "ticker", "left").withColumn("news", news).drop("events")

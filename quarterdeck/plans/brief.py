@@ -3,25 +3,54 @@
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from quarterdeck.functions import prompts as P
 from quarterdeck.operators import briefs as B
-from quarterdeck.operators import catalog as C
 from quarterdeck.operators import quarters as QT
-from quarterdeck.operators.completion import complete
+from quarterdeck.operators.completion import OUTCOME, complete
+
+
+def _answered(asked: DataFrame, label: str, system: str, user: Column, answer: str, fn, settle, completion) -> DataFrame:
+    """Rows with one more answer; the seconds it took are added to ``spent``."""
+    prompts = asked.select("*", F.lit(label).alias("label"), F.lit(system).alias("system"), user.alias("user"))
+    replies = settle(complete(prompts, fn, **completion))
+    spent = F.col("spent") + F.coalesce("latency", F.lit(0.0))
+    done = replies.withColumn("spent", spent).withColumnRenamed("reply", answer)
+    outcome = [f.name for f in OUTCOME if f.name != "reply"]
+    return done.drop("label", "system", "user", "result_chars", *outcome)
 
 
 def brief_companies(
     docs: DataFrame, fn: Callable, at: Column, by: str = "date", settle: Callable[[DataFrame], DataFrame] | None = None,
     **completion,
 ) -> DataFrame:
-    """One brief per document. The two analyses are independent branches of one job.
+    """One brief per document with quarters: earnings, then sentiment, then the memo over both.
 
-    ``settle`` (for instance ``operators.shared.settled``) is put on the replies
-    of each step, so that costly calls are made once even when tasks are lost.
+    A document has all its prompts need, so the three calls follow each other in
+    its own row and nothing is shuffled or joined. ``settle`` (for instance
+    ``operators.shared.settled``) is put on the replies of each step, so that
+    costly calls are made once even when tasks are lost.
     """
     settle = settle or (lambda df: df)
-    pairs = QT.pair_latest(C.quarters_of(docs), by)
-    earnings = settle(complete(B.earnings_prompts(pairs), fn, **completion))
-    sentiment = settle(complete(B.sentiment_prompts(docs), fn, **completion))
-    memos = settle(complete(B.memo_prompts(earnings, sentiment), fn, **completion))
-    return B.assemble_brief(memos, at)
+    calls = {"fn": fn, "settle": settle, "completion": completion}
+    two = docs.select("company", "ticker", "news", QT.latest_records(F.col("transcripts"), 2, by).alias("two"))
+    now, before = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    asked = two.filter(F.size("two") > 0).select(
+        "company", "ticker", now["quarter"].alias("quarter"), before["quarter"].alias("previous_quarter"),
+        P.earnings_prompt(now, before).alias("earnings_user"),
+        P.sentiment_prompt(F.col("company"), F.col("ticker"), F.col("news")).alias("sentiment_user"),
+        F.lit(0.0).alias("spent"),
+    )
+    analysed = _answered(
+        asked, "earnings-analyzer", P.EARNINGS_SYSTEM, F.col("earnings_user"), "earnings_analysis", **calls
+    ).drop("earnings_user")
+    sensed = _answered(
+        analysed, "sentiment-narrative", P.SENTIMENT_SYSTEM, F.col("sentiment_user"), "sentiment_analysis", **calls
+    ).drop("sentiment_user")
+    question = P.memo_prompt(
+        F.col("company"), F.col("ticker"), F.col("earnings_analysis"), F.col("sentiment_analysis")
+    )
+    return B.assemble_brief(
+        _answered(sensed, "memo-generator", P.MEMO_SYSTEM, question, "memo", **calls), at
+    )

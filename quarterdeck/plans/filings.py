@@ -10,7 +10,7 @@ from quarterdeck.operators import filings as FL
 
 
 def seed_companies(
-    companies: DataFrame, filings: DataFrame, facts: DataFrame, n_quarters: int = V.QUARTERS,
+    companies: DataFrame, filings: DataFrame, facts: DataFrame | None, n_quarters: int = V.QUARTERS,
     last_updated: Column | None = None,
 ) -> DataFrame:
     """Documents with the latest 10-Q quarters, 10-K years and 8-K news of each company.
@@ -18,8 +18,7 @@ def seed_companies(
     ``companies`` has (ticker, company, sector).
     """
     info = companies.select(X.upper_ticker(F.col("ticker")).alias("ticker"), "company", "sector")
-    lists = FL.document_lists(filings, facts, info, n_quarters)
-    return C.assemble_company(info, lists, last_updated=last_updated)
+    return C.assemble_company(FL.document_lists(info, filings, facts, n_quarters), last_updated=last_updated)
 
 
 def registry_updates(docs: DataFrame, update_no: Column) -> DataFrame:

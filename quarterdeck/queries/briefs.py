@@ -88,7 +88,7 @@ SENSED_SQL = NEWS_SQL + """,
 
 @query("WITH " + SENSED_SQL + " SELECT ticker, company, user FROM sensed")
 def sentiment_prompts(spark, folder):
-    return B.sentiment_prompts(documents(spark, folder)).select("ticker", "company", "user")
+    return B.sentiment_prompts(documents(spark, folder, figures=False)).select("ticker", "company", "user")
 
 
 def _about_sql(company="company", ticker="ticker"):
@@ -186,6 +186,28 @@ def run_stats(spark, folder):
     return stats_of(_completed(spark, folder)).drop("elapsed_seconds", "average_seconds", "slowest_seconds")
 
 
+@query(f"""
+    WITH said AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked,
+                  arg_min(text, turn) FILTER (role = 'assistant') AS told FROM {{f_turn}} GROUP BY conv_id)
+    SELECT cast(conv_id AS string) AS ticker, '# Research Inputs for Talk (' || conv_id || ')' || chr(10) || chr(10)
+        || '## Earnings Transcript Analysis' || chr(10) || asked || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+        || '## Sentiment & Narrative Analysis' || chr(10) || told || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+        || 'Please synthesize the above into a single IC memo.' AS user
+    FROM said WHERE asked IS NOT NULL AND told IS NOT NULL""")
+def memo_prompts(spark, folder):
+    """The first words of both sides of each conversation, joined as two analyses of one company."""
+    turns = table(spark, folder, "f_turn")
+
+    def first(role):
+        mine = turns.filter(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias("reply"))
+        return mine.select(
+            F.col("conv_id").cast("string").alias("ticker"), F.lit("Talk").alias("company"), F.lit("Q1").alias("quarter"),
+            F.lit(None).cast("string").alias("previous_quarter"), "reply", F.lit(0.0).alias("latency"),
+        )
+
+    return B.memo_prompts(first("user"), first("assistant")).select("ticker", "user")
+
+
 BRIEF_SQL = RECORDS_SQL + "," + SENSED_SQL + """,
     q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC, filing_no ASC) AS n FROM records
           WHERE form = '10-Q'),

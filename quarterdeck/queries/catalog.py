@@ -15,11 +15,11 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
-def documents(spark, folder):
-    """The filing documents of all companies, with their file names."""
-    companies = table(spark, folder, "f_company").select("ticker", "company", "sector", "industry")
-    docs = seed_companies(companies, table(spark, folder, "f_filing"), table(spark, folder, "f_fact"),
-                          last_updated=as_of())
+def documents(spark, folder, figures=True):
+    """The filing documents of all companies, with their file names; listings do without the figures."""
+    companies = table(spark, folder, "f_company").select("ticker", "company", "sector")
+    facts = table(spark, folder, "f_fact") if figures else None
+    docs = seed_companies(companies, table(spark, folder, "f_filing"), facts, last_updated=as_of())
     return docs.withColumn("file", F.concat(F.lower("ticker"), F.lit(".json")))
 
 
@@ -69,7 +69,7 @@ LIST_SIZES = """
            coalesce(n_news, 0) AS news_count
     FROM {f_company} c JOIN {f_registry} r ON c.file = r.file LEFT JOIN sizes s ON s.ticker = c.ticker""")
 def company_detail(spark, folder):
-    return C.company_detail(table(spark, folder, "f_registry"), documents(spark, folder))
+    return C.company_detail(table(spark, folder, "f_registry"), documents(spark, folder, figures=False))
 
 
 @query("""
@@ -125,7 +125,7 @@ NEWS_SQL = """
 @query("WITH " + NEWS_SQL + """
     SELECT ticker, filing_no - 1 AS pos, date, source, headline, snippet, tags FROM event_news""")
 def news_flat(spark, folder):
-    news = C.news_of(documents(spark, folder))
+    news = C.news_of(documents(spark, folder, figures=False))
     return news.select("ticker", F.col("pos").cast("long").alias("pos"), "date", "source", "headline", "snippet",
                        F.array_join("tags", "|").alias("tags"))
 
@@ -204,7 +204,7 @@ def assembled_companies(spark, folder):
            coalesce(u.q, 0) AS transcript_count, coalesce(u.n, 0) AS news_items
     FROM {f_registry} r FULL JOIN updates u ON r.ticker = u.ticker""")
 def registry_upsert(spark, folder):
-    docs = documents(spark, folder).filter(F.col("sector") != "FURNITURE")
+    docs = documents(spark, folder, figures=False).filter(F.col("sector") != "FURNITURE")
     updates = registry_updates(docs, F.substring("ticker", 2, 9).cast("long")).withColumn(
         "name", F.concat("name", F.lit(" Inc."))
     )

@@ -130,7 +130,7 @@ def quarter_gaps(spark, folder):
         WHERE form = '10-Q' AND filing_no <= 2 GROUP BY ticker) r ON r.ticker = c.ticker""")
 def newest_first(spark, folder):
     newest = QT.newest_first(F.col("transcripts"), 2)
-    return documents(spark, folder).select(
+    return documents(spark, folder, figures=False).select(
         "ticker", F.array_join(F.transform(newest, lambda r: r["quarter"]), "; ").alias("newest")
     )
 

@@ -191,11 +191,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
     Reading text patterns costs far more than moving a few rows, so a file with
     a single split should not keep one core busy while the others wait. Only a
-    table of at most a quarter as many splits as cores is moved, so that what is
+    table of at most half as many splits as cores is moved, so that what is
     moved stays small against the cluster.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 4 <= cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

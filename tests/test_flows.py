@@ -132,7 +132,7 @@ def test_brief_calls_the_model_three_times(spark, tmp_path):
 
     made = brief_companies(seeded(spark), fn, F.lit("2024-07-15 01:02:03").cast("timestamp"), settle=settled, wait=0)
     rows = made.collect()
-    assert len(rows) == 1 and len(list(tmp_path.iterdir())) == 2 + 1 + 1  # BBB has news prompts but no quarter
+    assert len(rows) == 1 and len(list(tmp_path.iterdir())) == 3  # BBB has no quarter and is not asked about
     brief = rows[0]
     assert (brief.company, brief.quarter, brief.previous_quarter) == ("Alpha", "Q2 2024", "Q1 2024")
     assert brief.memo_file == "AAA_memo_20240715_010203.md" and brief.elapsed_seconds == 0.0

@@ -80,6 +80,17 @@ def test_latest_by_position_and_by_date(spark):
         QT.latest_quarters(quarters, 2, "size")
 
 
+def test_latest_records_inside_a_document(spark):
+    docs = documents(spark)
+    for by in ("position", "date"):
+        nested = {r.ticker: [q.quarter for q in r.two] for r in docs.select(
+            "ticker", QT.latest_records(F.col("transcripts"), 2, by).alias("two")).collect() if r.two}
+        flat = {}
+        for r in QT.latest_quarters(C.quarters_of(docs), 2, by).orderBy("rank").collect():
+            flat.setdefault(r.ticker, []).append(r.quarter)
+        assert nested == flat
+
+
 def test_gaps_to_the_record_before(spark):
     rows = QT.previous_quarters(C.quarters_of(documents(spark))).orderBy("ticker", "pos").collect()
     assert [(r.ticker, r.quarter, r.previous_quarter, r.gap_quarters) for r in rows] == [
@@ -204,7 +215,7 @@ def test_records_of_filings(spark):
         ("Acme: SEC Filing (8-K)", "8-K filed on 2024-11-02. Items: N/A.", ["8-K", "SEC Filing"]),
         ("Acme: Submission of Matters to a Vote of Security Holders, Financial Statements and Exhibits, Item 6.99",
          "8-K filed on 2024-11-02. Items: 5.07, 9.01,,6.99 .", ["5.07", "9.01", "6.99", "8-K", "SEC Filing"])]
-    lists = FL.document_lists(filings, facts, names, 2).first()
+    lists = FL.document_lists(names, filings, facts, 2).first()
     assert [q.quarter for q in lists.transcripts] == ["Q2 2024", "Filing 2024-11-01"]
     assert [n.headline for n in lists.news] == [n.headline for n in news] and len(lists.annual_filings) == 1
 
