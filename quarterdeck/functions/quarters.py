@@ -28,8 +28,7 @@ def report_month_start(start: Column) -> Column:
 
 def quarter_label(ticker: Column, year: Column, q: Column) -> Column:
     """``Q2 2024``; ``Q2 FY2024`` for fiscal-year tickers, one year on if it ends in January."""
-    ends = F.create_map(*[F.lit(x) for pair in V.FISCAL_YEAR_END_MONTH.items() for x in pair])
-    end_month = F.try_element_at(ends, ticker)
+    end_month = X.lookup_default(V.FISCAL_YEAR_END_MONTH, ticker, F.lit(None).cast("int"))
     year = year.cast("int")
     shown = F.when(end_month.isNull(), year.cast("string")).otherwise(
         F.concat(F.lit("FY"), F.when(end_month == 1, year + 1).otherwise(year).cast("string"))

@@ -179,6 +179,12 @@ def to_billions(amount: Column) -> Column:
     return round_to_tenth(in_billions(amount))
 
 
+def lookup_default(table: dict, key: Column, default: Column) -> Column:
+    """A key's value in a small fixed table, or the default when it has none."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), default)
+
+
 def upper_ticker(ticker: Column) -> Column:
     return F.upper(ticker)
 

@@ -180,9 +180,8 @@ def item_codes(items: Column) -> Column:
 
 def describe_codes(codes: Column) -> Column:
     """Description of each code in place; ``Item <code>`` for an unknown one."""
-    table = F.create_map(*[F.lit(x) for pair in V.ITEM_DESCRIPTIONS.items() for x in pair])
     return F.transform(
-        codes, lambda c: F.coalesce(F.try_element_at(table, c), F.concat(F.lit("Item "), c))
+        codes, lambda c: X.lookup_default(V.ITEM_DESCRIPTIONS, c, F.concat(F.lit("Item "), c))
     )
 
 

@@ -74,11 +74,15 @@ def quality_gate(quarters: DataFrame) -> DataFrame:
 def with_pages(grid: DataFrame, picked: DataFrame, pages: DataFrame, rule: str = "tree") -> DataFrame:
     """Quarter grid with the chosen page and its text; quarters without one stay, with a reason.
 
-    Pages nobody chose are dropped before their html is read into a tree.
+    Pages nobody chose are dropped before their html is read into a tree, and a
+    page that many quarters chose is read once. Quarters without a page get a
+    key of their own, or they would all meet in one task as null keys.
     """
-    chosen = grid.join(picked, ["ticker", "year", "q"], "left")
+    own = F.concat_ws(" ", "ticker", F.col("year").cast("string"), F.col("q").cast("string"))
+    chosen = grid.join(picked, ["ticker", "year", "q"], "left").withColumn("_page", F.coalesce("url", own))
     wanted = pages.join(picked.select("url").distinct(), "url", "left_semi")
-    return quality_gate(chosen.join(page_texts(wanted, rule), "url", "left"))
+    texts = page_texts(wanted, rule).withColumnRenamed("url", "_page")
+    return quality_gate(chosen.join(texts, "_page", "left").drop("_page"))
 
 
 def page_facts(passed: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import re
+from html import unescape
+
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import html as H
@@ -30,6 +34,67 @@ def test_tree(spark):
     assert [ours[i] for i in range(len(TREE_CASES))] == [t for _, t in TREE_CASES]
 
 
+def tree_model(html):
+    """A whole tree first, then its text: slower and written apart from the reader."""
+    root = {"tag": "", "attrs": "", "nodes": [], "up": None}
+    at = root
+    for token in re.findall(r"<!--.*?-->|</?\w+[^>]*>|[^<]+", html, re.S):
+        name = re.match(r"<(/?)(\w+)([^>]*)>", token)
+        if token.startswith("<!--"):
+            at["nodes"].append(None)
+        elif not name:
+            at["nodes"].append(unescape(token))
+        elif name[1]:
+            up = at
+            while up is not None and up["tag"] != name[2]:
+                up = up["up"]
+            at = up["up"] if up is not None and up is not root else at
+            at["nodes"].append(None)
+        else:
+            node = {"tag": name[2], "attrs": name[3], "nodes": [], "up": at}
+            at["nodes"].append(node)
+            at = at if name[2] in ("br", "img") else node
+
+    def walk(node):
+        for child in node["nodes"]:
+            if isinstance(child, dict):
+                yield child
+                yield from walk(child)
+
+    def strings(node):
+        run = ""
+        for child in [*node["nodes"], None]:
+            if isinstance(child, str):
+                run += child
+                continue
+            yield run
+            run = ""
+            if isinstance(child, dict) and child["tag"] not in ("script", "style", "aside", "figure", "img"):
+                yield from strings(child)
+
+    def outside(node):
+        return node is None or node["tag"] not in ("script", "style", "aside", "figure") and outside(node["up"])
+
+    nodes = list(walk(root))
+    body = next((n for n in nodes if 'id="article-body-transcript"' in n["attrs"]), None) or next(
+        (n for n in nodes if re.search('class="[^"]*article-body', n["attrs"])), None)
+    if body is None:
+        return None
+    texts = ["".join(s.strip() for s in strings(n)) for n in walk(body) if n["tag"] in ("p", "h2", "h3") and outside(n["up"])]
+    return "\n\n".join(t for t in texts if t) or None
+
+
+def test_tree_against_a_whole_tree():
+    rng = random.Random(13)
+    parts = ["<p>", "</p>", "<b>", "</b>", "<br>", "<h2>", "</h2>", "<aside>", "</aside>", "<figure>", "</figure>", "<div>",
+             "</div>", " a ", "b", "&amp;", "<!-- c -->", "\n", "</h3>", "<h3>", "<img src='x'>", "</i>", "<i>"]
+    for _ in range(3000):
+        inner = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        mark = rng.choice(['id="article-body-transcript"', 'class="x article-body y"', ""])
+        html = f"<body><p>out</p><article {mark}>{inner}</article><p>out</p></body>"
+        assert H.read_page(html)[0] == tree_model(html), html
+
+
 def test_flat_agrees_on_well_formed_pages(spark):
     well_formed = [TREE_CASES[i] for i in (0, 2, 3, 4, 6, 9, 11)]
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(well_formed)], "i int, html string")
