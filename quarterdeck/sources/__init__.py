@@ -1 +1 @@
-"""Readers. Files have declared schemas; tables get the reference limits and drops."""
+"""Readers. Files have declared schemas; stored tables come with their limits and drops."""
