@@ -8,6 +8,7 @@ from quarterdeck.functions import text as X
 
 LINES = "(?mdU)"
 QUOTES = "array<struct<speaker:string,theme:string,text:string>>"
+NUMBER = r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 NEWS = "array<struct<date:string,source:string,headline:string,snippet:string,tags:array<string>>>"
 
 
@@ -73,7 +74,8 @@ def json_text(value: Column) -> Column:
 
 
 def metric_number(value: Column) -> Column:
-    return value.try_cast("double")
+    """A figure as a number when it is written as JSON writes numbers (``NaN`` or ``4680d`` are texts)."""
+    return F.when(value.rlike(NUMBER), value.try_cast("double"))
 
 
 def metric_flag(value: Column) -> Column:
@@ -85,11 +87,19 @@ def metric_text(value: Column) -> Column:
 
 
 def figures_json(figures_map: Column) -> Column:
-    """Figures as JSON with two blanks of indent, keys in their own order, nulls kept."""
+    """Figures as JSON with two blanks of indent, keys in their own order, nulls kept.
+
+    Numbers with a point are shown the shortest way: 0.50 as 0.5.
+    """
 
     def line(entry: Column) -> Column:
-        bare = (entry["value"].isNull()) | metric_text(entry["value"]).isNull()
-        shown = F.when(bare, F.coalesce(entry["value"], F.lit("null"))).otherwise(json_text(entry["value"]))
+        value = entry["value"]
+        shown = (
+            F.when(value.isNull(), F.lit("null"))
+            .when(metric_number(value).isNotNull() & value.rlike("[.eE]"), X.float_text(value))
+            .when(metric_text(value).isNull(), value)
+            .otherwise(json_text(value))
+        )
         return F.concat(F.lit("  "), json_text(entry["key"]), F.lit(": "), shown)
 
     lines = F.transform(F.map_entries(figures_map), line)

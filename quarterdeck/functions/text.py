@@ -103,7 +103,7 @@ def call_speakers(text: Column) -> Column:
 
 def float_text(number: Column) -> Column:
     """A double as the shortest text with a decimal point: 5.0, 12345678.0, 1e+16."""
-    number = number.cast("double")
+    number = number.try_cast("double")
     size = F.abs(number)
     plain = F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     parts = F.split(number.cast("string"), "E")

@@ -81,6 +81,10 @@ def test_figures_json_is_as_printed_by_python(spark):
     rows = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "i int, t string").select(
         "i", F.from_json("t", "map<string,string>").alias("m")
     )
+    spelled = spark.sql("SELECT map('a', '0.50', 'b', '1E3', 'c', 'NaN', 'd', '4680d', 'e', '-7') AS m")
+    assert json.loads(spelled.select(R.figures_json(F.col("m"))).first()[0]) == {
+        "a": 0.5, "b": 1000.0, "c": "NaN", "d": "4680d", "e": -7}
+    assert '"a": 0.5,' in spelled.select(R.figures_json(F.col("m"))).first()[0]
     ours = [r.o for r in rows.select("i", R.figures_json(F.col("m")).alias("o")).orderBy("i").collect()]
     assert ours == [json.dumps(c, indent=2) for c in cases]
 
