@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import packing, token_files, warc
+from quarterdeck.llm import decontamination, line_dedup, packing, token_files, warc
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,59 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, vocabulary("byte_bpe_50k.json"), 2)
     return token_files.token_digests(token_files.read_token_files(spark, folder))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that stand earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+ORACLES["op10_line_dedup"] = r"""
+with docs as (select distinct doc_id, text from documents where text is not null),
+cut as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from docs
+), worded as (
+  select *, row_number() over (partition by doc_id, text order by pos) as k from cut where regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows as (
+  select a.doc_id, a.text, a.pos as first, c.pos as last, a.line as l1, b.line as l2, c.line as l3
+  from worded a join worded b on a.doc_id = b.doc_id and a.text = b.text and b.k = a.k + 1
+  join worded c on a.doc_id = c.doc_id and a.text = c.text and c.k = a.k + 2
+), ranked as (
+  select *, row_number() over (partition by l1, l2, l3 order by doc_id, first) as r from windows
+), kept as (
+  select c.doc_id, c.text, c.line, c.pos,
+    exists (select 1 from ranked w where w.r > 1 and w.doc_id = c.doc_id and w.text = c.text and c.pos between w.first and w.last) as gone
+  from cut c
+), made as (
+  select doc_id, text, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as clean, count(*) as n_lines,
+    count(*) filter (where gone) as n_removed
+  from kept group by doc_id, text
+)
+select d.doc_id, case when d.text is null then null else m.clean end as text, coalesce(m.n_lines, 0) as n_lines, coalesce(m.n_removed, 0) as n_removed
+from documents d left join made m on d.doc_id = m.doc_id and d.text = m.text
+"""
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that stand in documents, a row a pair."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_shingles", "shared_shingles")
+
+
+ORACLES["op1_decontamination"] = r"""
+with cut as (
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from (select distinct doc_id, text from documents)
+  union all
+  select 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') from benchmark
+), shingles as (
+  select distinct kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+    else [array_to_string(w, ' ')] end) as s
+  from cut where len(w) > 0
+), sizes as (select id, count(*) as n from shingles where kind = 'i' group by id)
+select d.id as doc_id, i.id as item_id, any_value(n) as item_shingles, count(*) as shared_shingles
+from shingles d join shingles i on d.kind = 'd' and i.kind = 'i' and d.s = i.s join sizes on sizes.id = i.id
+group by d.id, i.id having count(*) >= 0.75 * any_value(n)
+"""
