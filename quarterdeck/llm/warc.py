@@ -195,5 +195,6 @@ def read_warc(spark: SparkSession, folder: str, selected: DataFrame, tasks: int
 
     assert names == [f.name for f in schema]
     dealt = selected.select("file", "offset", "length")
-    dealt = dealt.repartition(tasks, "file") if tasks else dealt.repartition("file")
-    return dealt.sortWithinPartitions("file", "offset").mapInArrow(read, result)
+    if tasks is None:  # by the archives' number: the index itself is so small that its size says nothing
+        tasks = max(dealt.select("file").distinct().count(), 1)
+    return dealt.repartition(tasks, "file").sortWithinPartitions("file", "offset").mapInArrow(read, result)
