@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import decontamination, line_dedup, packing, token_files, warc
+from quarterdeck.llm import decontamination, line_dedup, ngram_join, packing, token_files, warc
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ select d.id as doc_id, i.id as item_id, any_value(n) as item_shingles, count(*)
 from shingles d join shingles i on d.kind = 'd' and i.kind = 'i' and d.s = i.s join sizes on sizes.id = i.id
 group by d.id, i.id having count(*) >= 0.75 * any_value(n)
 """
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of linked documents that each document is in."""
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
