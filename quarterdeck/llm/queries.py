@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import decontamination, line_dedup, ngram_join, packing, token_files, warc
+from quarterdeck.llm import decontamination, html_text, line_dedup, ngram_join, packing, quality_rules, token_files, warc
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,16 @@ group by d.id, i.id having count(*) >= 0.75 * any_value(n)
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of linked documents that each document is in."""
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's statistics and whether it is kept."""
+    held = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
