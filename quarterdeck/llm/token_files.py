@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quarterdeck.llm.tokens import ChunkTokenizer, crc32
 
-#: Bytes of text that one file's documents should have about.
-FILE_TEXT_BYTES = 64 << 20
+#: Documents of one file, about.
+FILE_ROWS = 6_000
 
 
 @lru_cache(maxsize=2)
@@ -41,8 +41,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, done = tokenizer(vocabulary, spaced), 0
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
                 ids, counts = coder.encode(batch.column(1), end_id)
                 stop = np.cumsum(counts, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids.view(np.int32)))
@@ -65,21 +65,19 @@ def write_token_files(
     passed: tuple[str, ...] = (),
     encoding: str = "dictionary",
     files: int | None = None,
-    row_group_bytes: int = 32 << 20,
+    row_group_bytes: int = 16 << 20,
     page_rows: int = 1000,
 ) -> None:
     """Writes the ids of all rows to folder, one file a partition, files and rows in ascending doc_id order.
 
     Null doc_id comes first; rows with one doc_id stand in the order of their texts (equal rows in any order).
-    files: number of files, else by the texts' size. A lost executor costs the tasks it had: Spark's commit protocol
+    files: number of files, else by the number of rows. A lost executor costs the tasks it had: Spark's commit protocol
     leaves the files of whole tasks only.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
     if files is None:
-        size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-        files = size // FILE_TEXT_BYTES + 1
-        files = max(files, min(docs.sparkSession.sparkContext.defaultParallelism, size // (1 << 20) + 1))
+        files = docs.count() // FILE_ROWS + 1
     ordered = docs.repartitionByRange(files, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     coded = encode_documents(ordered, vocabulary, end_id, spaced, passed).withColumn("part", F.spark_partition_id())
     writer = (
@@ -93,8 +91,7 @@ def write_token_files(
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All columns of the files and `start`: the ids of all documents before it, over all files.
 
-    The sums over files have one row a file and are broadcast (a file holds FILE_TEXT_BYTES of text, so 100 TB make
-    about two million rows of 16 bytes)."""
+    The sums over files have one row of 16 bytes a file."""
     rows = spark.read.parquet(folder)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

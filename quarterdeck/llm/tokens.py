@@ -17,13 +17,16 @@ import pyarrow as pa
 from quarterdeck.llm.words import Run, runs
 
 #: Chunks whose ids a worker remembers (about 40 bytes each).
-CACHE_CHUNKS = 3_000_000
+CACHE_CHUNKS = 1_500_000
 
 #: White space of the byte-level cutting pattern that is not a single byte in UTF-8, and U+001C to U+001F, which some
 #: libraries count as white space. A text with any of them is handed over whole.
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_PLAIN = re.compile(r"( ?)([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
-_MARKS = {" ": "Ġ"}
+#: Letters of ASCII and Latin-1, then marks of ASCII other than the apostrophe.
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_KEPT_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: How byte-level vocabularies spell bytes: those that print as themselves, the others by characters from U+0100 on.
+_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT_BYTES)}
 
 
 class ChunkTokenizer:
@@ -49,11 +52,12 @@ class ChunkTokenizer:
         if ids is None:
             if len(self.pieces) >= self.cache_chunks // 10:
                 self.pieces.clear()
-            ids = self.pieces[text] = tuple(t.id for t in self.model.tokenize(text))
+            spelt = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(_SPELT)
+            ids = self.pieces[text] = tuple([t.id for t in self.model.tokenize(spelt)])
         return ids
 
     def _chunk_ids(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Letters followed by marks, all ASCII, go to the merges at once; anything else takes the whole tokenizer."""
+        """Plain letters followed by plain marks go to the merges at once; anything else takes the whole tokenizer."""
         out: list = [None] * len(chunks)
         other = []
         for k, chunk in enumerate(chunks):
@@ -63,7 +67,6 @@ class ChunkTokenizer:
                 continue
             space, letters, marks = plain.groups()
             if self.spaced:
-                space = _MARKS.get(space, "")
                 if letters:
                     out[k] = self._piece(space + letters) + (self._piece(marks) if marks else ())
                 elif marks:
@@ -128,6 +131,7 @@ class ChunkTokenizer:
                 ids, counts = self._whole(run, column, ids, counts, end_id)
             all_ids.append(ids)
             all_counts.append(counts)
+        pa.default_memory_pool().release_unused()
         if not all_ids:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(all_ids), np.concatenate(all_counts)
