@@ -4,10 +4,12 @@
 2. How many classes have a shingle is counted by ranges of hash values, in packed arrays of a few bytes an entry. Only
    shingles of two classes or more go on; a class that has not three quarters of its shingles among these links with none.
 3. The sets left are ordered globally, rare shingles first. Two sets that link share a shingle of both their prefixes.
-4. The sets of one prefix shingle are compared. First each with the smallest class there, which joins most of a group
-   of near copies with one row a copy. Where a prefix shingle still has sets of different components, these are stored in a
-   prefix tree and all probed through it at once, level by level: sets with a common beginning share its overlap, and a
-   subtree goes when its remaining length cannot reach the overlap that a link takes. Large groups are cut into blocks.
+4. The sets of one prefix shingle are compared. First each with the most ordinary one there (that with the fewest
+   shingles of its own), which joins most of a group of near copies with one row a copy. Where a prefix shingle still has
+   sets of different components, the sets that such shingles hold together make a cluster; all of it is stored in
+   prefix trees, and the sets outside its largest component are probed through them, level by level: sets with a common
+   beginning share its overlap, and a subtree goes when its remaining length cannot reach the overlap that a link
+   takes. Both sides of a cluster are cut into blocks, so a task has a bounded number of sets.
 5. Links make components by repeated minima over neighbours and grandparents.
 
 Nothing is left out to save work: a pair is skipped only if its documents are in one component already.
@@ -183,52 +185,53 @@ def needed(size):
     return (3 * size + 3) // 4
 
 
-def tree_links(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that join different groups, as few as join what they join.
+def tree_links(
+    probes: list[np.ndarray], probe_sizes: np.ndarray, probe_group: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray
+) -> list[tuple[int, int]]:
+    """Links (probe, set) that join different groups, as few as join what they join.
 
-    sets: tokens in global order, without those of one set only; sizes: of the whole sets; group: component of each; side: if
-    given, only pairs of sides 0 and 1 are compared.
+    Each is given by its tokens in global order (without those that no other set has), the size of the whole set, and the group
+    it is in already. The sets are rows sorted as a tree's leaves are; a node is known by the first row below it.
     """
-    count = len(sets)
-    order = sorted(range(count), key=lambda k: sets[k].tolist())
+    order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
     length = np.array([len(sets[k]) for k in order])
-    common = np.zeros(count, np.int64)  # tokens at the beginning shared with the set before in the tree
-    for k in range(1, count):
+    common = np.zeros(len(sets), np.int64)  # tokens at the beginning shared with the row before
+    for k in range(1, len(sets)):
         a, b = sets[order[k - 1]], sets[order[k]]
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[:n] != b[:n])
         common[k] = differ[0] if len(differ) else n
     own, own_group = sizes[order], group[order]
     # an overlap o is enough if 100 o >= 75 (x + y - o)
-    need = -(-3 * (own[:, None] + own[None, :]) // 7)
-    alive = own_group[:, None] != own_group[None, :]
-    alive &= np.minimum(own[:, None], own[None, :]) * 4 >= 3 * np.maximum(own[:, None], own[None, :])
-    if side is not None:
-        alive &= side[order][:, None] != side[order][None, :]
+    need = -(-3 * (probe_sizes[:, None] + own[None, :]) // 7)
+    alive = probe_group[:, None] != own_group[None, :]
+    alive &= np.minimum(probe_sizes[:, None], own[None, :]) * 4 >= 3 * np.maximum(probe_sizes[:, None], own[None, :])
     flat = np.concatenate([sets[k] for k in order])
-    owner = np.repeat(np.arange(count), length)
     values, code = np.unique(flat, return_inverse=True)
-    by_value = np.argsort(code, kind="stable")
-    having, first = owner[by_value], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
     start = np.cumsum(length) - length
-    overlap = np.zeros((count, count), np.int32)  # probe by tree node; a node is known by the first row below it
-    found: list[tuple[int, int]] = []
-    for depth in range(int(length.max()) if count else 0):
+    # which probes have a token
+    tokens, prober = np.concatenate(probes), np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
+    known = values[at] == tokens
+    at, prober = at[known], prober[known]
+    by_value = np.argsort(at, kind="stable")
+    having, first = prober[by_value], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(values)))])
+    overlap = np.zeros((len(probes), len(sets)), np.int32)
+    for depth in range(int(length.max())):
         rows = np.flatnonzero((length > depth) & alive.any(axis=0))
         if not len(rows):
             break
-        # rows below one node follow each other: a node begins where less than depth + 1 tokens are shared
-        begins = np.maximum.accumulate(np.where(common <= depth, np.arange(count), 0))
+        # rows below one node follow each other: a node begins where depth tokens at most are shared
+        begins = np.maximum.accumulate(np.where(common <= depth, np.arange(len(sets)), 0))
         nodes, below = np.unique(begins[rows], return_inverse=True)
         token = code[start[rows[np.searchsorted(below, np.arange(len(nodes)))]] + depth]
-        gained = np.zeros((count, len(nodes)), bool)
+        gained = np.zeros((len(probes), len(nodes)), bool)
         for k, t in enumerate(token):
             gained[having[first[t] : first[t + 1]], k] = True
         overlap[:, rows] += gained[:, below]
         left = length[rows] - depth - 1
         alive[:, rows] &= overlap[:, rows] + left >= need[:, rows]
-    for x, y in zip(*np.nonzero(np.triu((overlap >= need) & alive, 1)), strict=True):
-        found.append((int(x), int(y)))
+    found = list(zip(*(x.tolist() for x in np.nonzero((overlap >= need) & alive)), strict=True))
     # a spanning forest of the links over the groups
     root: dict[int, int] = {}
 
@@ -240,10 +243,10 @@ def tree_links(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, sid
 
     kept = []
     for x, y in found:
-        a, b = top(int(own_group[x])), top(int(own_group[y]))
+        a, b = top(int(probe_group[x])), top(int(own_group[y]))
         if a != b:
             root[max(a, b)] = min(a, b)
-            kept.append((order[x], order[y]))
+            kept.append((x, order[y]))
     return kept
 
 
@@ -298,37 +301,58 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         .select("set_key", "n", F.col("tokens.token").alias("tokens"))
     )
     least = F.expr("(3 * n + 3) div 4").cast("int")
-    prefixes = written(sets.select("set_key", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("token")))
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)
+    prefixes = written(sets.select("set_key", (F.col("n") - F.size("tokens")).alias("alone"), F.explode(prefix).alias("token")))
 
-    # each set with the smallest of its prefix shingles
-    hubs = prefixes.groupBy("token").agg(F.min("set_key").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    pairs = joined_on_groups(prefixes, hubs, "token").where("set_key <> hub").select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
+    # each set with the most ordinary one of its prefix shingles
+    hubs = prefixes.groupBy("token").agg(F.min(F.struct("alone", "set_key")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    pairs = joined_on_groups(prefixes, hubs, "token").where("set_key <> hub.set_key").select(F.col("set_key").alias("a"), F.col("hub.set_key").alias("b"))
     first_links = written(verified(written(pairs.distinct()), sets))
     joined = components(first_links)
 
-    # all pairs of prefix shingles that still have several components
-    placed = prefixes.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    open_groups = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-    open_groups = open_groups.where("low <> high and members > 2").select("token", "members", F.col("members").alias("size"))
-    rows = joined_on_groups(placed, open_groups, "token")
-    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("set_key", "root", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    full = rows.join(sets, "set_key")
+    # clusters by prefix shingles that still have several components
+    placed = written(
+        prefixes.drop("alone").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    )
+    open_tokens = placed.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("set_key").alias("hub"), F.count("*").alias("members")
+    ).where("low <> high and members > 2").drop("low", "high")
+    held = written(joined_on_groups(placed, open_tokens, "token").select("set_key", "root", "hub").distinct())
+    clusters = components(held.select(F.col("set_key").alias("a"), F.col("hub").alias("b"))).toDF("set_key", "cluster")
+    members = written(held.select("set_key", "root").distinct().join(clusters, "set_key").join(sets.select("set_key", "n"), "set_key"))
+    parts = members.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("members"))
+    largest = largest.select("cluster", "members", F.col("members").alias("all"), F.col("most.root").alias("main"), (F.col("members") - F.col("most.size")).alias("rest"))
+    dealt = joined_on_groups(members, largest, "cluster")
+    blocks = dealt.select(
+        "set_key", "root", "cluster", (F.col("root") != F.col("main")).alias("probe"),
+        F.ceil(F.col("rest") / BLOCK_SETS).cast("int").alias("probe_blocks"), F.ceil(F.col("all") / BLOCK_SETS).cast("int").alias("blocks"),
+    )
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("set_key"), F.greatest(F.col(count), F.lit(1))).cast("int")
+
+    as_sets = blocks.where("probe_blocks > 0").select(
+        "set_key", "root", "cluster", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)).alias("i"), block("blocks").alias("j")
+    )
+    as_probes = blocks.where("probe").select(
+        "set_key", "root", "cluster", "probe", block("probe_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    )
+    full = as_sets.unionByName(as_probes).join(sets, "set_key")
 
     def compare(group: pa.Table) -> pa.Table:
-        keys = np.asarray(group.column("set_key"))
+        keys, roots, sizes = (np.asarray(group.column(c)) for c in ("set_key", "root", "n"))
         lists = group.column("tokens").combine_chunks()
         values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-        # tokens come in the global order of the group's sets, which is the order of no number: rank them as they come
-        members = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        side = None if i == j else (np.asarray(group.column("block")) == j).astype(np.int64)
-        found = tree_links(members, np.asarray(group.column("n")), np.asarray(group.column("root")), side)
-        return pa.table({"a": pa.array([keys[x] for x, _ in found], pa.int64()), "b": pa.array([keys[y] for _, y in found], pa.int64())})
-
-    last_links = full.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+        tokens = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        probe = np.asarray(group.column("probe").combine_chunks().cast(pa.int8())).astype(bool)
+        p, t = np.flatnonzero(probe), np.flatnonzero(~probe)
+        if not len(p) or not len(t):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = tree_links([tokens[k] for k in p], sizes[p], roots[p], [tokens[k] for k in t], sizes[t], roots[t])
+        return pa.table({"a": pa.array([keys[p[x]] for x, _ in found], pa.int64()), "b": pa.array([keys[t[y]] for _, y in found], pa.int64())})
+
+    last_links = full.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
     links = written(first_links.union(last_links.distinct()))
     roots = components(links).withColumnRenamed("node", "set_key")
     placed_classes = classes.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
