@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarterdeck.llm import decontamination, html_text, line_dedup, ngram_join, packing, quality_rules, token_files, warc
+from quarterdeck.llm import decontamination, html_text, line_dedup, ngram_join, packing, quality_rules, resampling, token_files, warc
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +144,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling takes."""
+    taken = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return taken.select("doc_id", "n_features", "log_weight", "key", F.lit(True).alias("kept"))
