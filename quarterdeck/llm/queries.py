@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import decontamination, html_text, line_dedup, ngram_join, packing, quality_rules, resampling, token_files, warc
+from quarterdeck.llm import decontamination, html_text, line_dedup, lm_scoring, ngram_join, packing, quality_rules, resampling, token_files, warc
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op6_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling takes."""
     taken = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return taken.select("doc_id", "n_features", "log_weight", "key", F.lit(True).alias("kept"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' log-likelihoods."""
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
