@@ -5,18 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarterdeck.llm import packing
+from quarterdeck.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
 from quarterdeck.llm.queries import table, vocabulary
 from quarterdeck.llm.shared import shared_folder, written
 
 
+def _matched(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """docs with or without (left_semi, left_anti) rows of verdicts (doc_id, text_hash). Columns of docs stay."""
+    keys = verdicts.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["of_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["of_hash"])
+    return docs.join(keys, same, how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject."""
+    return _matched(docs, quality_rules.judged(docs).where("not kept").select("doc_id", "text_hash").distinct(), "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages stay where they stand first; a document of which no word is left goes. n_chars follows the text."""
+    made = line_dedup.dedup_lines(docs)
+    made = made.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, that with the smallest doc_id; of equal rows with that id, one."""
+    others = ngram_join.linked_documents(docs).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+    ids = others.select(F.col("doc_id").alias("of_id")).distinct()
+    stay = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["of_id"]), "left_anti")
+    return stay.dropDuplicates(["doc_id", "text"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a benchmark item stands in."""
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _matched(docs, found.select("doc_id", "text_hash").distinct(), "left_anti")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packed)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
 
 #: The rules' covariance estimates and the tokenizer are beyond SQL.
 ORACLE_SQL = None
