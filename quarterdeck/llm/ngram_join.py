@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.shared import joined_on_groups, written
-from quarterdeck.llm.words import mix, runs, shingles
+from quarterdeck.llm.words import mix, release, runs, shingles
 
 #: Shingles counted by one task at a time.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 1_000_000
 #: Sets of a prefix shingle that are compared in one task.
 BLOCK_SETS = 500
 #: Shingles that so large a share of a sample of so many documents has come last in the order, uncounted. This bounds what one
@@ -97,17 +97,18 @@ def shared_shingles(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
         for batch in batches:
             seen: set[int] = set()
             keys, sets, held = [], [], 0
-            groups = list(document_sets(batch.column(0)))
-            for at, (_, run) in enumerate(groups):
+            for _, run in document_sets(batch.column(0)):
                 for hashes in run:
                     if len(hashes) and (key := set_key(hashes)) not in seen:
                         seen.add(key)
                         keys.append(key)
                         sets.append(hashes)
                         held += len(hashes)
-                if keys and (held >= 2_000_000 or at == len(groups) - 1):
+                if held >= 1_000_000:
                     yield from packed_rows(np.array(keys, np.int64), sets)
                     keys, sets, held = [], [], 0
+            if keys:
+                yield from packed_rows(np.array(keys, np.int64), sets)
 
     def packed_rows(keys: np.ndarray, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -174,6 +175,7 @@ def shared_shingles(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
         _, place, df = np.unique(low, return_inverse=True, return_counts=True)
         df = df[place]
         low, key, df = low[df > 1], key[df > 1], df[df > 1]
+        release()
         token = (np.int64(bucket) << 32) | low.astype(np.int64)
         return pa.table({"set_key": key, "token": token, "df": df.astype(np.int32)})
 

@@ -131,7 +131,6 @@ class ChunkTokenizer:
                 ids, counts = self._whole(run, column, ids, counts, end_id)
             all_ids.append(ids)
             all_counts.append(counts)
-        pa.default_memory_pool().release_unused()
         if not all_ids:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(all_ids), np.concatenate(all_counts)

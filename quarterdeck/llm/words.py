@@ -7,6 +7,7 @@ random values of the bytes, read off running sums, so that hashing costs a few o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,10 +37,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Hands memory that is no longer used back to the machine: workers live on after a large batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: it has its own ways
+        return
+
+
 class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):  # tasks make their own
+        return _Powers, ()
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
             size = max(n, RUN_BYTES + 1)
@@ -124,6 +137,7 @@ def runs(column: pa.Array) -> Iterator[Run]:
         row = np.searchsorted(own, start, "right") - 1
         yield Run(first, part, own, start, end, row)
         first = last
+    release()
 
 
 def shingles(words: np.ndarray, row: np.ndarray, rows: int, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
