@@ -82,8 +82,7 @@ TITLES = [
     r"(?:Vice President|VP)",
     r"(?:Analyst|Managing Director)",
 ]
-FULL_NAME = r"([A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+)"
-NAME_AND_TITLE = FULL_NAME + r"(?:,| —| -) (?:" + "|".join(TITLES) + ")"
+NAME_AND_TITLE = r"([A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+)(?:,| —| -) (?:" + "|".join(TITLES) + ")"
 CALL_QUESTIONS_START = "|".join([
     r"(?:we(?:'ll| will) (?:now )?(?:open|begin|take|move to).*(?:question|Q&A|Q & A))",
     r"(?:open (?:the )?(?:call|floor|line).*(?:question|Q&A))",

@@ -139,7 +139,7 @@ def memo_prompt(company: Column, ticker: Column, earnings: Column, sentiment: Co
     return _text(
         "# Research Inputs for ", company, " (", ticker, ")\n\n## Earnings Transcript Analysis\n", earnings,
         "\n\n---\n\n## Sentiment & Narrative Analysis\n", sentiment,
-        "\n\n---\n\nPlease synthesize the above into a single IC memo.",
+        "\n\n---\n\nWrite one investment committee memo from both analyses.",
     )
 
 

@@ -18,8 +18,22 @@ def strip_fences(reply: Column) -> Column:
 
 
 def _parsed_as(reply: Column, kind: str) -> Column:
-    value = F.try_parse_json(strip_fences(reply))
-    return F.when(F.schema_of_variant(value).startswith(kind), value)
+    """The reply's only JSON value, if it is of the kind.
+
+    The parser stops after a first value, so the reply is parsed inside a list, where a second value or any other
+    text breaks it, and inside an object, which a reply that closes the list itself breaks. A repeated key and a bare
+    ``NaN`` are errors as well.
+    """
+
+    def only(body: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+        keyed = F.try_parse_json(F.concat(F.lit('{"k":'), body, F.lit("}")))
+        value = F.try_variant_get(listed, "$[0]", "variant")
+        alone = keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+        return F.when(alone & F.schema_of_variant(value).startswith(kind), value)
+
+    # a list of one binds the text, which is used twice
+    return F.get(F.transform(F.array(strip_fences(reply)), only), F.lit(0))
 
 
 def as_object(reply: Column) -> Column:

@@ -1,6 +1,6 @@
 """Earnings calls: raw transcript records and the index of a company's calls."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck import fixed_values as V
@@ -56,12 +56,15 @@ def raw_transcripts(calls: DataFrame, fetched_at: Column | None = None) -> DataF
     )
 
 
-def transcript_index(raw: DataFrame, ord_by: str = "event_no") -> DataFrame:
-    """Per company: how many calls, and a short entry for each in source order.
+def transcript_index(raw: DataFrame, n: int = V.QUARTERS) -> DataFrame:
+    """Per company: how many calls, and a short entry for each of the first n in source order.
 
-    Calls were cut to the first n of a company when read, so the list is short;
-    the long texts are not among its columns.
+    Stored records without ``event_no`` are in the order of year and quarter. The long texts are not among the columns.
     """
+    order = [*(["event_no"] if "event_no" in raw.columns else []), "year", "quarter"]
+    place = Window.partitionBy("ticker").orderBy(*order)
+    raw = raw.drop("full_text", "prepared_remarks", "questions_and_answers")
+    raw = raw.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n)
     entry = F.struct(
         "quarter_label", "conference_date", "speakers", "transcript_length", "key_numbers",
         X.transcript_file(F.col("year"), F.col("quarter")).alias("file"),
@@ -70,5 +73,5 @@ def transcript_index(raw: DataFrame, ord_by: str = "event_no") -> DataFrame:
         F.min("company").alias("company"),
         F.max("fetched_at").alias("fetched_at"),
         F.count("*").alias("total_transcripts"),
-        ordered_list(F.col(ord_by), entry).alias("transcripts"),
+        ordered_list(F.col("_place"), entry).alias("transcripts"),
     )

@@ -36,7 +36,12 @@ def lookup_batch(registry: DataFrame, keys: DataFrame, key: str = "key") -> Data
     The registry side has one row per key, so the join neither multiplies rows
     nor needs an OR condition; keys without a match stay with ``found = false``.
     """
-    found = keys.withColumn("lookup_key", F.lower(key)).join(_by_key(registry), "lookup_key", "left")
+    named = keys.withColumn("lookup_key", F.lower(key))
+    # missing keys match nothing and would all meet in one task
+    some, none = named.filter("lookup_key is not null"), named.filter("lookup_key is null")
+    found = some.join(_by_key(registry), "lookup_key", "left")
+    entry = found.schema["entry"].dataType
+    found = found.unionByName(none.withColumn("entry", F.lit(None).cast(entry)))
     return found.drop("lookup_key").select(
         *keys.columns, "entry.*", F.col("entry").isNotNull().alias("found")
     )

@@ -89,6 +89,11 @@ def classify_facts(facts: DataFrame) -> DataFrame:
     return first.select("accession", "found.*")
 
 
+def facts_of(facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """The facts of the given filings only, so that no others are shuffled and grouped."""
+    return facts.join(filings.select("accession"), "accession", "left_semi")
+
+
 def with_facts(filings: DataFrame, classified: DataFrame) -> DataFrame:
     """Filings with their facts; a filing without usable facts stays."""
     return filings.join(classified, "accession", "left")
@@ -155,15 +160,17 @@ def annual_of_filing() -> Column:
     )
 
 
-def quarter_records(filings: DataFrame, classified: DataFrame, n: int = V.QUARTERS) -> DataFrame:
+def quarter_records(filings: DataFrame, facts: DataFrame, n: int = V.QUARTERS) -> DataFrame:
     """Latest n 10-Q filings of each company as quarter records (``filing_no`` 1 newest)."""
-    chosen = with_figure_texts(with_figures(latest_filings(filings, "10-Q", n), classified))
+    latest = latest_filings(filings, "10-Q", n)
+    chosen = with_figure_texts(with_figures(latest, classify_facts(facts_of(facts, latest))))
     return chosen.select("ticker", "accession", "filing_no", quarter_of_filing().alias("record"))
 
 
-def annual_records(filings: DataFrame, classified: DataFrame, n: int = V.ANNUALS) -> DataFrame:
+def annual_records(filings: DataFrame, facts: DataFrame, n: int = V.ANNUALS) -> DataFrame:
     """Latest n 10-K filings of each company as annual records."""
-    chosen = with_figure_texts(with_figures(latest_filings(filings, "10-K", n), classified))
+    latest = latest_filings(filings, "10-K", n)
+    chosen = with_figure_texts(with_figures(latest, classify_facts(facts_of(facts, latest))))
     return chosen.select("ticker", "accession", "filing_no", annual_of_filing().alias("record"))
 
 
@@ -241,7 +248,8 @@ def document_lists(
         unknown = [F.lit(None).cast("string").alias(f"{n}_text") for n in ("revenue_bn", "net_income_bn", "eps")]
         figured = chosen.select("*", *unknown)
     else:
-        figured = with_figure_texts(with_figures(chosen, classify_facts(facts)))
+        statements = chosen.filter(F.col("form").isin("10-Q", "10-K"))
+        figured = with_figure_texts(with_figures(chosen, classify_facts(facts_of(facts, statements))))
     no, form = F.col("filing_no"), F.col("form")
     event = F.struct("filing_date", "items")
     lists = figured.groupBy("ticker").agg(

@@ -187,25 +187,28 @@ def run_stats(spark, folder):
 
 
 @query(f"""
-    WITH said AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked,
-                  arg_min(text, turn) FILTER (role = 'assistant') AS told FROM {{f_turn}} GROUP BY conv_id)
+    WITH said AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS asked,
+                  string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant') AS told
+                  FROM {{f_turn}} GROUP BY conv_id)
     SELECT cast(conv_id AS string) AS ticker, '# Research Inputs for Talk (' || conv_id || ')' || chr(10) || chr(10)
         || '## Earnings Transcript Analysis' || chr(10) || asked || chr(10) || chr(10) || '---' || chr(10) || chr(10)
         || '## Sentiment & Narrative Analysis' || chr(10) || told || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-        || 'Please synthesize the above into a single IC memo.' AS user
+        || 'Write one investment committee memo from both analyses.' AS user
     FROM said WHERE asked IS NOT NULL AND told IS NOT NULL""")
 def memo_prompts(spark, folder):
-    """The first words of both sides of each conversation, joined as two analyses of one company."""
+    """All that each side of a conversation says, in order, as two analyses of one company."""
     turns = table(spark, folder, "f_turn")
 
-    def first(role):
-        mine = turns.filter(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias("reply"))
+    def said(role):
+        each = turns.filter((F.col("role") == role) & F.col("text").isNotNull())
+        in_order = F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n")
+        mine = each.groupBy("conv_id").agg(in_order.alias("reply"))
         return mine.select(
             F.col("conv_id").cast("string").alias("ticker"), F.lit("Talk").alias("company"), F.lit("Q1").alias("quarter"),
             F.lit(None).cast("string").alias("previous_quarter"), "reply", F.lit(0.0).alias("latency"),
         )
 
-    return B.memo_prompts(first("user"), first("assistant")).select("ticker", "user")
+    return B.memo_prompts(said("user"), said("assistant")).select("ticker", "user")
 
 
 BRIEF_SQL = RECORDS_SQL + "," + SENSED_SQL + """,
@@ -229,7 +232,7 @@ BRIEF_SQL = RECORDS_SQL + "," + SENSED_SQL + """,
     memo AS (SELECT *, '# Research Inputs for ' || company || ' (' || ticker || ')' || chr(10) || chr(10)
         || '## Earnings Transcript Analysis' || chr(10) || earnings_analysis || chr(10) || chr(10) || '---' || chr(10)
         || chr(10) || '## Sentiment & Narrative Analysis' || chr(10) || sentiment_analysis || chr(10) || chr(10) || '---'
-        || chr(10) || chr(10) || 'Please synthesize the above into a single IC memo.' AS user FROM analysed)"""
+        || chr(10) || chr(10) || 'Write one investment committee memo from both analyses.' AS user FROM analysed)"""
 
 
 @query("WITH " + BRIEF_SQL + """

@@ -54,6 +54,10 @@ def key_numbers(spark, folder):
     )
 
 
+EIGHT_SQL = """WHERE event_no IN (SELECT event_no FROM (
+        SELECT event_no, row_number() OVER (PARTITION BY ticker ORDER BY event_no) AS n FROM {f_call}) e WHERE n <= 8)"""
+
+
 def _events_and_texts(spark, folder):
     calls = table(spark, folder, "f_call")
     return (
@@ -79,7 +83,7 @@ def transcript_events(spark, folder):
     SELECT company, ticker, year::bigint AS year, quarter::bigint AS quarter,
            'Q' || quarter || ' ' || year AS quarter_label, coalesce(conference_date, '') AS conference_date,
            array_to_string(names, '; ') AS speakers, length(full_text) AS transcript_length, full_text, {SECTIONS_SQL},
-           'earningscall' AS source, {FIGURES_SQL}""")
+           'earningscall' AS source, {FIGURES_SQL} {EIGHT_SQL}""")
 def raw_transcripts(spark, folder):
     raw = call_records(*_events_and_texts(spark, folder), fetched_at=F.lit("2002-01-01").cast("timestamp"))
     numbers = F.col("key_numbers")
@@ -97,7 +101,7 @@ def raw_transcripts(spark, folder):
            string_agg('Q' || quarter || ' ' || year || ' ' || coalesce(conference_date, '') || ' '
                || length(full_text) || ' ' || array_to_string({NAMES_SQL}, ',') || ' Q' || quarter || '_' || year
                || '.json', '; ' ORDER BY event_no) AS calls
-    FROM {{f_call}} GROUP BY ticker""")
+    FROM {{f_call}} {EIGHT_SQL} GROUP BY ticker""")
 def transcript_index(spark, folder):
     raw = call_records(*_events_and_texts(spark, folder), fetched_at=F.lit("2002-01-01").cast("timestamp"))
     index = CA.transcript_index(raw)

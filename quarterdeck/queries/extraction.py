@@ -41,13 +41,25 @@ def _shown(parsed):
 @query("WITH " + PARSED_SQL + f"""
     SELECT {QUARTER_SQL}, CASE WHEN o IS NULL THEN 'low' ELSE o->>'$.data_quality' END AS data_quality,
            CASE WHEN o IS NULL THEN 'LLM parse failed' END AS error,
-           coalesce(o->>'$.financials.revenue_bn', '') AS revenue_bn FROM objects""")
+           coalesce(array_to_string(cast(o->'$.risks' AS string[]), '; '), '') AS risks,
+           coalesce(array_to_string(list_transform(cast(o->'$.key_quotes' AS json[]),
+               lambda q: concat_ws('|', q->>'$.speaker', q->>'$.theme', q->>'$.text')), '; '), '') AS quotes,
+           coalesce(array_to_string(list_sort(list_transform(json_keys(o, '$.financials'),
+               lambda k: k || '=' || coalesce(o->'$.financials'->>k, 'none'))), '; '), '') AS figures
+    FROM objects""")
 def replies_quarter(spark, folder):
     """Replies of the snippet kind, with fallback records for those that cannot be read."""
     parsed = E.parse_quarter_replies(table(spark, folder, "f_reply"), "label", tier=1)
     p = F.col("parsed")
-    return parsed.select(*_shown(parsed), p["data_quality"].alias("data_quality"), p["error"].alias("error"),
-                         F.coalesce(F.try_element_at(p["financials"], F.lit("revenue_bn")), F.lit("")).alias("revenue_bn"))
+    quotes = F.transform(p["key_quotes"], lambda q: F.concat_ws("|", q["speaker"], q["theme"], q["text"]))
+    figures = F.transform(
+        F.map_entries(p["financials"]), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("none")))
+    )
+    return parsed.select(
+        *_shown(parsed), p["data_quality"].alias("data_quality"), p["error"].alias("error"),
+        F.array_join(p["risks"], "; ").alias("risks"), F.array_join(quotes, "; ").alias("quotes"),
+        F.array_join(F.array_sort(figures), "; ").alias("figures"),
+    )
 
 
 @query("WITH " + PARSED_SQL + """

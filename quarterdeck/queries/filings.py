@@ -69,7 +69,7 @@ def _figure(record, name):
                                  ELSE 'eps_reported,net_income_bn,revenue_bn' END AS keys
     FROM records WHERE form = '10-Q'""")
 def quarter_records(spark, folder):
-    made = FL.quarter_records(table(spark, folder, "f_filing"), FL.classify_facts(table(spark, folder, "f_fact")))
+    made = FL.quarter_records(table(spark, folder, "f_filing"), table(spark, folder, "f_fact"))
     return made.select(
         "ticker", "accession", F.col("filing_no").cast("long").alias("filing_no"), "record.quarter",
         "record.fiscal_year", "record.date", "record.period_end", _figure("record", "revenue_bn").alias("revenue_bn"),
@@ -82,7 +82,7 @@ def quarter_records(spark, folder):
     SELECT ticker, accession, filing_no, form, date AS filing_date, period_end, revenue_bn, eps, net_income_bn
     FROM records WHERE form = '10-K'""")
 def annual_records(spark, folder):
-    made = FL.annual_records(table(spark, folder, "f_filing"), FL.classify_facts(table(spark, folder, "f_fact")))
+    made = FL.annual_records(table(spark, folder, "f_filing"), table(spark, folder, "f_fact"))
     return made.select(
         "ticker", "accession", F.col("filing_no").cast("long").alias("filing_no"), "record.form",
         "record.filing_date", "record.period_end", _figure("record", "revenue_bn").alias("revenue_bn"),

@@ -14,8 +14,6 @@ TABLES = (
     "conversations"
 ).split()
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
 AS_OF = "2002-01-01"
 
 VIEWS = {
@@ -96,11 +94,11 @@ VIEWS = {
                CASE WHEN event_type <> 'error' THEN cast(cast(ts AS date) AS string) END AS date, event_type AS source,
                'Event ' || cast(event_id AS string) || ' by ' || event_type AS headline, props AS snippet
         FROM {events}""",
-    # call texts: whole documents with an opening and an end that vary
+    # call texts: twelve whole documents a company, with an opening and an end that vary
     "f_call": """
-        SELECT 'D' || lpad(cast(cast(floor(doc_id / 5) AS bigint) AS string), 9, '0') AS ticker,
+        SELECT 'D' || lpad(cast(cast(floor(doc_id / 12) AS bigint) AS string), 9, '0') AS ticker,
                'Source ' || source || ' Group' AS company,
-               doc_id AS event_no, cast(2000 + doc_id % 5 AS int) AS year, cast(doc_id % 4 + 1 AS int) AS quarter,
+               doc_id AS event_no, cast(2000 + floor((doc_id % 12) / 4) AS int) AS year, cast(doc_id % 4 + 1 AS int) AS quarter,
                CASE WHEN doc_id % 3 <> 0 THEN '2001-0' || cast(doc_id % 4 + 1 AS string) || '-15' END
                    AS conference_date,
                CASE doc_id % 6
@@ -137,23 +135,26 @@ VIEWS = {
                         || ' billion.</p>' ELSE '' END) AS html,
                html AS source_html
         FROM {pages}""",
-    # hits: ten pages share one company and quarter, as two searches of five hits
+    # hits: forty pages share one company and quarter, as two searches of twenty hits
     "f_hit": """
-        SELECT 'C' || lpad(cast(cast(floor(page_id / 10) AS bigint) AS string), 9, '0') AS ticker, 2001 AS year,
-               cast(floor(page_id / 10) AS bigint) % 4 + 1 AS q,
-               CASE WHEN page_id % 10 < 5 THEN 1 ELSE 2 END AS query_no, page_id % 5 + 1 AS rank,
+        SELECT 'C' || lpad(cast(cast(floor(page_id / 40) AS bigint) AS string), 9, '0') AS ticker, 2001 AS year,
+               cast(floor(page_id / 40) AS bigint) % 4 + 1 AS q,
+               CASE WHEN page_id % 40 < 20 THEN 1 ELSE 2 END AS query_no, page_id % 20 + 1 AS rank,
                url || CASE WHEN page_id % 3 = 0
-                   THEN '/Q' || cast(cast(floor(page_id / 10) AS bigint) % 4 + 1 AS string) || '-2001-call'
+                   THEN '/Q' || cast(cast(floor(page_id / 40) AS bigint) % 4 + 1 AS string) || '-2001-call'
                    ELSE '' END AS href,
                CASE WHEN page_id % 4 = 0
-                    THEN 'q' || cast(cast(floor(page_id / 10) AS bigint) % 4 + 1 AS string) || ' 2001 results'
+                    THEN 'q' || cast(cast(floor(page_id / 40) AS bigint) % 4 + 1 AS string) || ' 2001 results'
                     WHEN page_id % 4 = 1 THEN NULL ELSE 'Other' END AS title,
-               url AS page_url, CASE WHEN page_id % 11 = 5 THEN NULL ELSE substr(html, 1, 200) END AS body
+               url AS page_url, CASE WHEN page_id % 11 = 5 THEN NULL ELSE html END AS body
         FROM {pages}""",
-    # replies: fenced, bare, broken, empty, an array, one with nulls and missing keys
+    # replies: fenced, bare, broken, empty, an array, one with nulls and missing keys, three with closing remarks
     "f_reply": """
         SELECT doc_id, 'Q' || cast(doc_id % 4 + 1 AS string) || ' 2001' AS label,
-               CASE doc_id % 6
+               CASE doc_id % 9
+                   WHEN 6 THEN body || ' Note: from the call.'
+                   WHEN 7 THEN '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'Let me know.'
+                   WHEN 8 THEN '[' || news || '] hope it helps'
                    WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```'
                    WHEN 1 THEN body
                    WHEN 2 THEN substr(body, 2)
@@ -165,7 +166,8 @@ VIEWS = {
                 '{{"quarter": "Q9 2001", "date": "2001-05-0' || cast(doc_id % 9 + 1 AS string) || '", "speakers": ["'
                 || source || ' (CEO)"], "key_themes": ["' || lang || '", "growth"], "risks": [], "tone": "calm",'
                 || ' "key_quotes": [{{"speaker": "' || source || '", "theme": "text", "text": "' ||
-                translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9), '     ')
+                replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)),
+                chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')
                 || '"}}], "financials": {{"revenue_bn": ' || cast(n_chars AS string) || '.5, "beat": true,'
                 || ' "note": "ok", "eps": null}}, "data_quality": "high"}}' AS body,
                 '{{"date": "2001-02-03", "source": "' || source || '", "headline": "Doc ' || cast(doc_id AS string)
@@ -186,23 +188,10 @@ def needed(name: str) -> list[str]:
     return order + [name] if name in VIEWS else order
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small text table over all cores; a table with enough splits is left as it is.
-
-    Reading text patterns costs far more than moving a few rows, so a file with
-    a single split should not keep one core busy while the others wait. Only a
-    table of at most half as many splits as cores is moved, so that what is
-    moved stays small against the cluster.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table or a view over it."""
     if name in TABLES:
-        rows = spark.read.parquet(f"{folder}/{name}.parquet")
-        return spread(rows) if name in TEXT_TABLES else rows
+        return spark.read.parquet(f"{folder}/{name}.parquet")
     under = {n: table(spark, folder, n) for n in set(_NAME.findall(VIEWS[name]))}
     return spark.sql(VIEWS[name], **under)
 

@@ -33,7 +33,7 @@ RAW_TRANSCRIPT = _struct(
     company=T.StringType, ticker=T.StringType, year=T.IntegerType, quarter=T.IntegerType,
     quarter_label=T.StringType, conference_date=T.StringType, speakers=TEXTS, transcript_length=T.LongType,
     key_numbers=FIGURES, full_text=T.StringType, prepared_remarks=T.StringType,
-    questions_and_answers=T.StringType, fetched_at=T.TimestampType, source=T.StringType,
+    questions_and_answers=T.StringType, fetched_at=T.TimestampType, source=T.StringType, event_no=T.LongType,
 )
 FACT = _struct(
     accession=T.StringType, ord=T.LongType, label=T.StringType, abstract=T.BooleanType, dim=T.StringType,

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck import schemas as S
+
 
 def _replace(df: DataFrame, *partitions: str):
     """Rows of a partition go to one place first, or every task would write a file per company."""
@@ -22,6 +24,24 @@ def write_company_table(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").parquet(path)
 
 
+def write_registry(registry: DataFrame, path: str) -> None:
+    """The registry as one JSON document, entries in the order of ``read_registry``, appended ones last.
+
+    The registry is one file by its format, with a short entry for each company; this is its one writer.
+    """
+    fields = S.REGISTRY_FILE["companies"].dataType.elementType.names
+    place = [F.coalesce("appended", F.lit(False)).alias("appended")] if "appended" in registry.columns else []
+    entry = F.struct(*[F.col(c) for c in fields])
+    rows = registry.select(F.struct(*place, "pos").alias("place"), entry.alias("entry"))
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("place", "entry")))["entry"].alias("companies"))
+    listed.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_transcript_index(index: DataFrame, path: str) -> None:
+    """The index of each company's calls as JSON in the folder ``key=<ticker in lower case>``."""
+    _replace(index.withColumn("key", F.lower("ticker")), "key").json(path)
+
+
 def write_raw_transcripts(raw: DataFrame, path: str) -> None:
     """Raw calls as JSON, by company, year and quarter.
 

@@ -7,13 +7,16 @@ from quarterdeck import schemas as S
 
 
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
-    """One row per company document, with the file name it came from.
+    """One row per company document, with the file name that the registry knows it by.
 
     JSON documents are whole-file objects and cannot be split or pruned; write
     them once to Parquet (``sinks.write_company_table``) for repeated queries.
     """
     docs = spark.read.schema(S.COMPANY_DOC).option("multiLine", True).json(path)
-    return docs.select("*", F.col("_metadata.file_name").alias("file")).filter(F.col("ticker").isNotNull())
+    # a document that ``sinks.write_companies`` wrote is known by its folder, any other by its own name
+    folder = F.regexp_extract("_metadata.file_path", "/key=([^/]+)/[^/]*$", 1)
+    file = F.when(folder != "", F.concat(folder, F.lit(".json"))).otherwise(F.col("_metadata.file_name"))
+    return docs.select(*S.COMPANY_DOC.names, file.alias("file")).filter(F.col("ticker").isNotNull())
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

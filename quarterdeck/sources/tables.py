@@ -60,12 +60,16 @@ def read_transcript_events(events: DataFrame, transcripts: DataFrame, n: int = V
     """First n events of a company in source order, with the call text of each.
 
     Events are cut to n before the join; an event without text drops out after
-    the cut, so a company may keep fewer than n.
+    the cut, so a company may keep fewer than n. Of several texts of a call the first by text counts. Texts of other
+    calls go before anything is done with them.
     """
     in_order = Window.partitionBy("ticker").orderBy("event_no")
     first = events.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") <= n).drop("_n")
-    with_text = transcripts.filter(F.length("full_text") > 0)
-    return first.join(with_text, ["ticker", "year", "quarter"], "inner")
+    call = ["ticker", "year", "quarter"]
+    wanted = transcripts.filter(F.length("full_text") > 0).join(first.select(*call), call, "left_semi")
+    others = [c for c in wanted.columns if c not in call]
+    one = wanted.groupBy(*call).agg(F.min(F.struct("full_text", *[c for c in others if c != "full_text"])).alias("_text"))
+    return first.join(one.select(*call, *[F.col(f"_text.{c}").alias(c) for c in others]), call, "inner")
 
 
 def company_info(tickers: DataFrame, info: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from quarterdeck.operators import catalog as C
 from quarterdeck.operators.completion import complete, run_stats
 from quarterdeck.operators.shared import settled
 from quarterdeck.plans.brief import brief_companies
+from quarterdeck.operators import calls as CA
 from quarterdeck.plans.filings import registry_updates, seed_companies
 from quarterdeck.plans.pages import pages_to_documents, snippets_to_documents
 from quarterdeck.sinks import files
@@ -166,6 +167,17 @@ def test_documents_round_trip(spark, tmp_path):
     assert set(ours) == set(theirs) and all(
         [q["quarter"] for q in ours[t]["transcripts"]] == [q["quarter"] for q in theirs[t]["transcripts"]] for t in ours)
     assert ours["AAA"]["news"] == theirs["AAA"]["news"]
+    # what was written can be looked up, also after the registry has been written back
+    entries = [(0, "Alpha", "AAA", "aaa.json")]
+    registry = spark.createDataFrame(entries, "pos long, name string, ticker string, file string").select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.REGISTRY_ENTRY.fields if f.name not in ("name", "ticker", "file")])
+    assert [r.ticker for r in C.company_document(registry, read, "alpha").collect()] == ["AAA"]
+    update = spark.createDataFrame([("BBB", "Beta", 1, 0, 1)], "ticker string, name string, transcript_count long, news_items long, update_no long")
+    files.write_registry(C.upsert_registry(registry, update), str(tmp_path / "registry"))
+    again = D.read_registry(spark, str(tmp_path / "registry"))
+    assert [(r.pos, r.ticker) for r in again.orderBy("pos").collect()] == [(0, "AAA"), (1, "BBB")]
+    assert [r.ticker for r in C.company_document(again, read, "beta").collect()] == ["BBB"]
+    assert C.registered(again, read).count() == 2
     # writing one company again replaces it alone
     files.write_companies(docs.filter("ticker = 'AAA'").withColumn("sector", F.lit("New")), path)
     again = {r.ticker: r.sector for r in D.read_companies(spark, path + "/*/*.json").collect()}
@@ -197,6 +209,10 @@ def test_raw_transcripts_and_memos_round_trip(spark, tmp_path):
     read = D.read_raw_transcripts(spark, str(tmp_path / "raw" / "*" / "*" / "*"))
     assert sorted((r.ticker, r.year, r.quarter, r.full_text) for r in read.collect()) == [
         ("AAA", 2024, 1, "t1"), ("AAA", 2024, 2, "t2")]
+    index = CA.transcript_index(read)
+    files.write_transcript_index(index, str(tmp_path / "index"))
+    entry = spark.read.json(str(tmp_path / "index")).first()
+    assert (entry.total_transcripts, [t.file for t in entry.transcripts]) == (2, ["Q1_2024.json", "Q2_2024.json"])
     memos = spark.createDataFrame([("AAA", "AAA_memo_1.md", "# Memo\n\ntext"), ("BBB", "BBB_memo_1.md", "x")],
                                   "ticker string, memo_file string, memo string")
     files.write_memos(memos, str(tmp_path / "memos"))

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from quarterdeck.operators import filings as FL
 from quarterdeck.operators import pages as P
 from quarterdeck.operators import quarters as QT
+from quarterdeck.queries.registry import ORACLES, QUERIES
 from quarterdeck.queries.views import TABLES, table
 from tools.check_oracles import rows
 
@@ -25,19 +26,34 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    ours = entry.queries()[name](spark, FOLDER).toPandas()
+    ours = QUERIES[name](spark, FOLDER).toPandas()
     assert len(ours) > 0
     if name in WITHOUT_SQL:
-        assert name not in entry.oracle_sql()
+        assert name not in ORACLES
         return
-    theirs = con.sql(entry.oracle_sql()[name]).df()
+    theirs = con.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
 
+def test_limits_are_reached(spark):
+    """Groups of the derived tables are larger than the sizes that queries cut at."""
+    hits = table(spark, FOLDER, "f_hit").groupBy("ticker", "q", "query_no").count()
+    assert hits.agg(F.max("count")).first()[0] > 8
+    assert table(spark, FOLDER, "f_call").groupBy("ticker").count().agg(F.max("count")).first()[0] > 8
+    assert table(spark, FOLDER, "f_hit").agg(F.max(F.length("body"))).first()[0] > 4000
+
+
+def test_filings_come_before_facts(spark):
+    """Facts of filings that are not shown go before they are grouped."""
+    made = plan(FL.quarter_records(table(spark, FOLDER, "f_filing"), table(spark, FOLDER, "f_fact"), 2))
+    assert made.index("HashAggregate") < made.index("LeftSemi")  # plans are printed from the result down
+
+
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 
 
@@ -46,7 +62,7 @@ def plan(df):
 
 
 def test_plans_pair_no_rows_and_use_python_only_where_they_must(spark):
-    plans = {name: plan(build(spark, FOLDER)) for name, build in entry.queries().items()}
+    plans = {name: plan(build(spark, FOLDER)) for name, build in QUERIES.items()}
     assert not [n for n, p in plans.items() if "CartesianProduct" in p or "NestedLoop" in p]
     users = {n for n, p in plans.items() if re.search("InPandas|ArrowEvalPython|BatchEvalPython", p)}
     assert users == {"page_text_tree", "completed", "run_stats", "briefs"}

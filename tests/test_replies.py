@@ -69,6 +69,15 @@ def test_news_must_be_an_array(spark):
     assert [len(r.news) for r in rows.orderBy("i").collect()] == [2, 0, 0, 0]
 
 
+def test_only_whole_replies_count(spark):
+    """Anything beside the one value is an error, as are a repeated key and a bare NaN."""
+    bad = ['{"a": 1} Note: from the call.', '```json\n{"a": 1}\n```\nLet me know.', '{"a": 1}] x', '{"a": 1},{"b": 2}', '{"a": 1}, "k": {"b": 2}',
+           '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1', '']
+    good = ['{"a": "x \\"y\\" \\\\ \\n"}', ' {"a": {"b": [1, 2]}} ', '```json\n{"a": 1}\n```']
+    rows = frame(spark, bad + good).orderBy("i").select(R.as_object(F.col("reply")).isNotNull().alias("ok")).collect()
+    assert [r.ok for r in rows] == [False] * len(bad) + [True] * len(good)
+
+
 def test_figures_replies(spark):
     rows = E.parse_figures_replies(frame(spark, ['{"revenue_bn": 2.5, "eps_estimate": null}', "[]", ""]))
     assert [r.financials for r in rows.orderBy("i").collect()] == [{"revenue_bn": "2.5", "eps_estimate": None}, {}, {}]

@@ -201,13 +201,12 @@ def test_records_of_filings(spark):
     facts = spark.createDataFrame(
         [fact(0, "Revenue", 124.3e9, accession="2"), fact(1, "Net income", 0.0, accession="2"),
          fact(0, "Net sales", 391.04e9, accession="4"), fact(1, "Net income", 93.74e9, accession="4")], S.FACT)
-    classified = FL.classify_facts(facts)
-    quarters = FL.quarter_records(filings, classified, 2).orderBy("filing_no").collect()
+    quarters = FL.quarter_records(filings, facts, 2).orderBy("filing_no").collect()
     assert [(r.record.quarter, r.record.financials) for r in quarters] == [
         ("Filing 2024-11-01", {"revenue_bn": None, "eps_reported": None}),
         ("Q2 2024", {"revenue_bn": "124.3", "eps_reported": None})]
     assert quarters[0].record.speakers == [] and quarters[0].record.tone == "" and quarters[0].record.source == "SEC 10-Q"
-    annual = FL.annual_records(filings, classified).first().record
+    annual = FL.annual_records(filings, facts).first().record
     assert (annual.period_end, annual.financials) == ("2024-09-28", {"revenue_bn": "391.0", "net_income_bn": "93.7"})
     names = spark.createDataFrame([("A", "Acme")], "ticker string, company string")
     news = FL.news_from_filings(filings, names).orderBy("filing_no").collect()
