@@ -30,6 +30,8 @@ HIDDEN = 16
 #: One in so many training documents trains the network in each of ROUNDS rounds (counts take all of them).
 TRAIN_ONE_IN, ROUNDS = 8, 2
 LANES, WINDOW, RATE = 64, 16, 0.02
+#: In training, a longer document is taken in parts of so many tokens, so that all lanes stay filled.
+TRAIN_TOKENS = 1024
 SCORE_LANES, SCORE_WINDOW = 512, 64
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -121,6 +123,7 @@ class Network:
         grad.c += p.sum(axis=0)
         from_out = (p @ self.W.T).reshape(len(kinds), -1, n)
         dh = np.zeros_like(h)  # of the state after step t
+        inputs = []
         for t in range(len(kinds) - 1, -1, -1):
             z, r, m, h0 = kept[t]
             dz, dm = dh * (m - h0) * z * (1 - z), dh * z * (1 - m * m)
@@ -131,12 +134,24 @@ class Network:
             grad.U[:, 2 * n :] += (r * h0).T @ dm
             dx = np.concatenate([dzr, dm], axis=1)
             grad.b += dx.sum(axis=0)
-            np.add.at(grad.E, given[t], dx)
+            inputs.append(dx)
             dh = dh * (1 - z) + drh * r + dzr @ self.U[:, : 2 * n].T + from_out[t]
             dh = np.where(fresh[t][:, None], 0, dh).astype(np.float32)
+        at, dx = given[::-1].ravel(), np.concatenate(inputs)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+        grad.E[at[order][first]] += np.add.reduceat(dx[order], first)
         return h
 
 
+def cut(counts: np.ndarray, most: int) -> np.ndarray:
+    """Token counts of the parts of documents of so many tokens, each of `most` tokens but the last of a document."""
+    parts = -(-counts // most)
+    out = np.full(int(parts.sum()), most, np.int64)
+    out[np.cumsum(parts) - 1] = counts - (parts - 1) * most
+    return out
+
+
 def lanes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents of so many tokens laid end to end in lanes of about equal length: positions (time by lane) of their
     tokens in document order, -1 for none, and whether a document begins there; lane count is `most` at most."""
@@ -214,7 +229,7 @@ def trained(docs: DataFrame, words, class_share: np.ndarray) -> np.ndarray:
             for batch in batches:
                 for run in runs(batch.column(0)):
                     kinds, given, counts = sequences(known, run)
-                    place, fresh, _ = lanes(counts, LANES)
+                    place, fresh, _ = lanes(cut(counts, TRAIN_TOKENS), LANES)
                     h = np.zeros((place.shape[1], HIDDEN), np.float32)
                     for t in range(0, len(place), WINDOW):
                         at = place[t : t + WINDOW]
@@ -264,9 +279,13 @@ def scored(docs: DataFrame) -> DataFrame:
             for run in runs(batch.column(1)):
                 hashes = run.words(lower=True)
                 other = words.value.place(hashes) < 0
-                pairs, times = np.unique(np.stack([run.row[other].astype(np.uint64), hashes[other]]), axis=1, return_counts=True) if other.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+                row, hashes = run.row[other], hashes[other]
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])) if len(row) else row
+                times = np.diff(np.append(first, len(row))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[run.first + pairs[0].astype(np.int64)]), pa.array(pairs[1].view(np.int64)), pa.array(times.astype(np.int32))], ["row_key", "h", "times"]
+                    [pa.array(keys[run.first + row[first]]), pa.array(hashes[first].view(np.int64)), pa.array(times)], ["row_key", "h", "times"]
                 )
 
     found = own.select("row_key", "text").mapInArrow(rare, "row_key long, h long, times int").join(counts.select("h", "c"), "h")
