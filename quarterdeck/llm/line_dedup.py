@@ -55,12 +55,14 @@ def dedup_lines(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     at the same place and come out alike; null doc_id is the smallest. Columns of docs called n_lines or n_removed are replaced.
     """
     covered = covered_positions(docs, lines).select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "covered")
-    own = docs.drop("n_lines", "n_removed")
-    met = own.join(covered, own["doc_id"].cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(own["text"]) == F.col("of_hash")), "left")
-    met = met.withColumn("_lines", F.split("text", "\n"))
-    met = met.withColumn("_stays", F.when(F.col("covered").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "covered")))
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stays", lambda k: F.get("_lines", k)), "\n"))
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    names = docs.drop("n_lines", "n_removed").columns
+    own = docs.select(*names).toDF(*(f"own_{k}" for k in range(len(names))))  # further columns may have any name
+    at = {name: f"own_{k}" for k, name in enumerate(names)}
+    met = own.join(covered, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(at["text"]) == F.col("of_hash")), "left")
+    met = met.withColumn("lines", F.split(at["text"], "\n"))
+    met = met.withColumn("stays", F.when(F.col("covered").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")))
+    text = F.when(F.col("covered").isNull(), F.col(at["text"])).otherwise(F.array_join(F.transform("stays", lambda k: F.get("lines", k)), "\n"))
+    total = F.when(F.col(at["text"]).isNull(), 0).otherwise(F.size("lines")).cast("long")
     removed = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long")
-    columns = [text.alias("text") if name == "text" else own[name] for name in own.columns]
+    columns = [(text if name == "text" else F.col(at[name])).alias(name) for name in names]
     return met.select(*columns, total.alias("n_lines"), removed.alias("n_removed"))
