@@ -61,9 +61,9 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """item_id, shingles (distinct, as texts) and window of the items that have a word."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.select("item_id", "words", shingle_texts("words").alias("shingles"))
+    """item (a struct of item_id, which may be null), shingles (distinct, as texts) and window of the items that have a word."""
+    items = benchmark.select(F.struct("item_id").alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = items.distinct().select("item", "words", shingle_texts("words").alias("shingles"))
     window = F.lit(SIZE_CLASSES[-1][1])
     for least, length in SIZE_CLASSES[-2::-1]:
         window = F.when(F.size("shingles") >= least, length).otherwise(window)
@@ -76,17 +76,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     Words are what white space (space, tab to carriage return) separates, in lower case; an item is found if `containment`
     of its distinct five-word shingles are among the document's. A text of fewer words is one shingle, so such an item
     is found in documents of just these words only. Null or wordless texts contain nothing and are found nowhere. Rows that
-    share doc_id and text are one document.
+    share doc_id and text are one document, equal items are one item; a null doc_id or item_id is an id like others.
     """
     items = item_table(benchmark)
     lookup, windows = None, sorted({r["window"] for r in items.select("window").distinct().collect()})  # four at most
     for window in windows:
-        hashed = items.where(F.col("window") == window).select("item_id", shingle_hashes("words").alias("hashes"))
-        part = minima(hashed, "hashes", window).select("item_id", F.explode("hashes").alias("minimum"))
+        hashed = items.where(F.col("window") == window).select("item", shingle_hashes("words").alias("hashes"))
+        part = minima(hashed, "hashes", window).select("item", F.explode("hashes").alias("minimum"))
         lookup = part if lookup is None else lookup.unionByName(part)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if lookup is None:
-        lookup, windows = items.select("item_id", F.lit(0).cast("long").alias("minimum")), [1]
+        lookup, windows = items.select("item", F.lit(0).cast("long").alias("minimum")), [1]
     entries = lookup.count()
 
     cut = own.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
@@ -94,18 +94,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     # the outer form, as the filter that Spark adds to the inner one would take the signature a second time
     each = signed.select("doc_id", "text_hash", F.explode_outer("hashes").alias("minimum"))
     found = each.join(sized(lookup, entries), "minimum")
-    candidates = found.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("item_ids"))
+    candidates = found.groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("found_items"))
 
     # exact: the shingles of both, as texts
-    wanted = candidates.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "item_ids")
+    wanted = candidates.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "found_items")
     met = own.join(wanted, own["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64(own["text"]) == F.col("of_hash")))
     met = met.dropDuplicates(["of_id", "of_hash"]).select(
-        "doc_id", F.col("of_hash").alias("text_hash"), "item_ids", words_of(F.col("text")).alias("words")
+        "doc_id", F.col("of_hash").alias("text_hash"), "found_items", words_of(F.col("text")).alias("words")
     )
-    pairs = met.select("doc_id", "text_hash", F.explode("item_ids").alias("item_id"), shingle_texts("words").alias("own_shingles"))
-    pairs = pairs.join(sized(items.select("item_id", "shingles"), entries), "item_id")
+    pairs = met.select("doc_id", "text_hash", F.explode("found_items").alias("item"), shingle_texts("words").alias("own_shingles"))
+    pairs = pairs.join(sized(items.select("item", "shingles"), entries), "item")
     counted = pairs.select(
-        "doc_id", "text_hash", "item_id", F.size("shingles").cast("long").alias("item_shingles"),
+        "doc_id", "text_hash", "item.item_id", F.size("shingles").cast("long").alias("item_shingles"),
         F.size(F.array_intersect("shingles", "own_shingles")).cast("long").alias("shared_shingles"),
     )
     return counted.where(F.col("shared_shingles") >= containment * F.col("item_shingles"))
