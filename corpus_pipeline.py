@@ -26,11 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay where they stand first; a document of which no word is left goes. n_chars follows the text."""
-    made = line_dedup.dedup_lines(docs)
+    own = docs.toDF(*(n if n in ("doc_id", "text", "n_chars") else f"own_{n}" for n in docs.columns))  # n_lines and such stay the table's
+    made = line_dedup.dedup_lines(own)
     made = made.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return made.select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
