@@ -2,7 +2,7 @@
 
 A word's probability is factored: its class given all words before it, by the network, and the word within its class, by
 counts over all training documents with one added. The most frequent words are classes of their own; the others share
-classes by their first and last bytes, so a word never seen has a class too. The network is a GRU in numpy, trained by
+classes by their first and last two bytes, so a word never seen has a class too. The network is a GRU in numpy, trained by
 truncated backpropagation in all partitions at once, with weights averaged after each round. Scoring carries the state from
 window to window, so a document is scored as a whole. Words are known by 64-bit hashes.
 """
@@ -27,11 +27,11 @@ SINGLE_CLASSES, SHAPE_CLASSES = 32, 64
 #: Inputs: so many single words, then so many by bytes.
 SINGLE_INPUTS, SHAPE_INPUTS = 512, 256
 HIDDEN = 16
-#: One in so many training documents trains the network in each of ROUNDS rounds (counts take all of them).
-TRAIN_ONE_IN, ROUNDS = 8, 2
+#: Training documents are dealt to ROUNDS rounds; each trains the network once.
+ROUNDS = 2
 LANES, WINDOW, RATE = 64, 16, 0.02
-#: In training, a longer document is taken in parts of so many tokens, so that all lanes stay filled.
-TRAIN_TOKENS = 1024
+#: In training, documents are laid in lanes in pools of about so many tokens, so that a long one leaves few lanes empty.
+POOL_TOKENS = 2_000_000
 SCORE_LANES, SCORE_WINDOW = 512, 64
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -217,29 +217,28 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 
 
 def trained(docs: DataFrame, words, class_share: np.ndarray) -> np.ndarray:
-    """The network's weights after ROUNDS rounds over docs (doc_id, text); words: the broadcast vocabulary."""
+    """The network's weights after ROUNDS rounds, which together take every row of docs (doc_id, text) once; words: the
+    broadcast vocabulary. The state runs through all windows of a document."""
     context, flat = docs.sparkSession.sparkContext, Network.fresh(class_share)
     for turn in range(ROUNDS):
-        sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_ONE_IN)) == turn)
+        sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
         start = context.broadcast(flat.copy())
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             known, net = words.value, Network(start.value.copy())
             first, second, steps, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
-            for batch in batches:
-                for run in runs(batch.column(0)):
-                    kinds, given, counts = sequences(known, run)
-                    place, fresh, _ = lanes(cut(counts, TRAIN_TOKENS), LANES)
-                    h = np.zeros((place.shape[1], HIDDEN), np.float32)
-                    for t in range(0, len(place), WINDOW):
-                        at = place[t : t + WINDOW]
-                        grad = Network(np.zeros_like(net.flat))
-                        h = net.train_window(kinds[at], given[at], fresh[t : t + WINDOW], at >= 0, h, grad)
-                        steps += 1
-                        first += 0.1 * (grad.flat - first)
-                        second += 0.01 * (grad.flat**2 - second)
-                        net.flat -= RATE / (1 + turn) * first / (1 - 0.9**steps) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
-                    seen += int(counts.sum())
+            for kinds, given, counts in pools(known, batches):
+                place, fresh, _ = lanes(counts, LANES)
+                h = np.zeros((place.shape[1], HIDDEN), np.float32)
+                for t in range(0, len(place), WINDOW):
+                    at = place[t : t + WINDOW]
+                    grad = Network(np.zeros_like(net.flat))
+                    h = net.train_window(kinds[at], given[at], fresh[t : t + WINDOW], at >= 0, h, grad)
+                    steps += 1
+                    first += 0.1 * (grad.flat - first)
+                    second += 0.01 * (grad.flat**2 - second)
+                    net.flat -= RATE / (1 + turn) * first / (1 - 0.9**steps) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+                seen += int(counts.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(net.size)), pa.array(net.flat[: net.size].astype(float) * seen), pa.array(np.full(net.size, float(seen)))], ["k", "value", "weight"]
@@ -259,6 +258,22 @@ def sequences(known: Vocabulary, run: Run) -> tuple[np.ndarray, np.ndarray, np.n
     return np.insert(kinds, last, 0), np.insert(given, last, 0), count + 1
 
 
+def pools(known: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Class and input of every token of whole documents (column 0), and their token counts, POOL_TOKENS or a little more at a time."""
+    held: list[tuple] = []
+    tokens = 0
+    for batch in batches:
+        for run in runs(batch.column(0)):
+            kinds, given, counts = sequences(known, run)
+            held.append((kinds.astype(np.int16), given.astype(np.int16), counts))
+            tokens += len(kinds)
+            if tokens >= POOL_TOKENS:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, tokens = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (null text: its end only).
 

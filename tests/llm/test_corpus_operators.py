@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -251,6 +252,23 @@ def test_lm_parts_keep_all_tokens():
     assert parts.tolist() == [1, 1024, 1024, 1, 1024, 1024, 1024, 1024, 904] and parts.sum() == counts.sum()
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    """Whatever its id, a training document moves the weights; a long one is learnt from as a whole."""
+    share = np.full(lm_scoring.SINGLE_CLASSES + lm_scoring.SHAPE_CLASSES, 1 / 96)
+    none = np.array([], np.int64)
+    vocab = lm_scoring.Vocabulary(none.view(np.uint64), none, none, np.zeros(96), share, 0, 0, 0)
+    words = spark.sparkContext.broadcast(vocab)
+    fresh = lm_scoring.Network.fresh(share)
+    for k in range(1, 13):
+        docs = spark.createDataFrame([(k, f"some words of text {k}")], "doc_id long, text string")
+        assert (lm_scoring.trained(docs, words, share) != fresh).any(), k
+    monkeypatch.setattr(lm_scoring, "POOL_TOKENS", 4000)
+    texts = ["a b c", "long " * 3000, None, "", "long " * 2500, "end"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])] * 2
+    counts = [c.tolist() for _, _, c in lm_scoring.pools(vocab, batches)]
+    assert sum(counts, []) == [4, 3001, 1, 1, 2501, 2] * 2
+
+
 def test_html_text(spark):
     """Markup that is named goes everywhere; what recurs on a host goes from its pages, but not an article's paragraphs."""
     rows = []
