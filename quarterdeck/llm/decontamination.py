@@ -1,11 +1,10 @@
-"""Short benchmark items inside long documents: MinHash of size-partitioned windows, verified by exact containment.
-
-MinHash of whole sets is blind here: an item of thirty shingles is a thousandth of a long document. So the sets that are
-hashed are windows of consecutive shingles, their length chosen by the item's size, and a window's signature is the
-smallest hash in it. An item is looked up by the minima of its windows, a document has the minima of all of its own.
-Two texts with a common run of as many shingles as a window has always share a minimum. The window of each size class is
-short enough for an item changed in as many words as the threshold allows to keep such a run. Minima of longer windows
-are minima of shorter ones as well, so a document's signature is taken once, at the shortest window of any item.
+"""Short benchmark items inside long documents: bottom-k MinHash sketches sized by the item, verified by exact containment.
+
+MinHash of whole sets is blind here: an item of thirty shingles is a thousandth of a long document. So the sketch is
+asymmetric: an item has the k smallest hashes of its own shingles, a document has the hashes of all of its shingles, and
+a pair is compared where one hash of the sketch is the document's. An item of m shingles of which r must be there can miss
+m - r of them, so with k = m - r + 1 at least one of the sketch is in every document that contains the item, however the
+words were changed, inserted, doubled or moved, and whatever other items are in the table.
 """
 
 from __future__ import annotations
@@ -15,9 +14,6 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.75
-#: (smallest number of shingles of an item, length of the window): of items with m shingles at least, three quarters of
-#: which are found, one run has so many. A changed word takes five shingles, so there are few breaks.
-SIZE_CLASSES = ((16, 8), (8, 4), (4, 2), (1, 1))
 #: A table of so many rows (16 bytes each) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,16 +39,11 @@ def shingle_texts(words: str) -> Column:
     return F.array_distinct(F.when(size >= SHINGLE_WORDS, runs).otherwise(whole))
 
 
-def minima(df: DataFrame, hashes: str, window: int) -> DataFrame:
-    """df with the array column replaced by the smallest hash of every window (a power of two; at the end, of what is left)."""
-    reach = 1
-    while reach < window:
-        # each entry is the smallest of `reach` hashes from there; two of them make the next
-        df = df.withColumn(
-            hashes, F.zip_with(hashes, F.slice(hashes, F.lit(1 + reach), F.size(hashes)), lambda a, b: F.least(a, b))
-        )
-        reach *= 2
-    return df.withColumn(hashes, F.array_distinct(hashes))
+def sketch(shingles: str, hashes: str, containment: float) -> Column:
+    """The smallest hashes, one more than there are shingles that may be missing."""
+    size = F.size(shingles)
+    missing = size - F.ceil(F.lit(containment) * size).cast("int")
+    return F.slice(F.sort_array(F.array_distinct(hashes)), F.lit(1), F.greatest(missing + 1, F.lit(1)))
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -61,13 +52,9 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """item (a struct of item_id, which may be null), shingles (distinct, as texts) and window of the items that have a word."""
+    """item (a struct of item_id, which may be null), words and shingles (distinct, as texts) of the items that have a word."""
     items = benchmark.select(F.struct("item_id").alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.distinct().select("item", "words", shingle_texts("words").alias("shingles"))
-    window = F.lit(SIZE_CLASSES[-1][1])
-    for least, length in SIZE_CLASSES[-2::-1]:
-        window = F.when(F.size("shingles") >= least, length).otherwise(window)
-    return items.withColumn("window", window)
+    return items.distinct().select("item", "words", shingle_texts("words").alias("shingles"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -79,21 +66,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     share doc_id and text are one document, equal items are one item; a null doc_id or item_id is an id like others.
     """
     items = item_table(benchmark)
-    lookup, windows = None, sorted({r["window"] for r in items.select("window").distinct().collect()})  # four at most
-    for window in windows:
-        hashed = items.where(F.col("window") == window).select("item", shingle_hashes("words").alias("hashes"))
-        part = minima(hashed, "hashes", window).select("item", F.explode("hashes").alias("minimum"))
-        lookup = part if lookup is None else lookup.unionByName(part)
+    hashed = items.select("item", "shingles", shingle_hashes("words").alias("hashes"))
+    lookup = hashed.select("item", F.explode(sketch("shingles", "hashes", containment)).alias("hash"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if lookup is None:
-        lookup, windows = items.select("item", F.lit(0).cast("long").alias("minimum")), [1]
     entries = lookup.count()
 
     cut = own.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    signed = minima(cut.select("doc_id", "text_hash", shingle_hashes("words").alias("hashes")), "hashes", windows[0])
-    # the outer form, as the filter that Spark adds to the inner one would take the signature a second time
-    each = signed.select("doc_id", "text_hash", F.explode_outer("hashes").alias("minimum"))
-    found = each.join(sized(lookup, entries), "minimum")
+    signed = cut.select("doc_id", "text_hash", F.array_distinct(shingle_hashes("words")).alias("hashes"))
+    # the outer form, as the filter that Spark adds to the inner one would take the hashes a second time
+    each = signed.select("doc_id", "text_hash", F.explode_outer("hashes").alias("hash"))
+    found = each.join(sized(lookup, entries), "hash")
     candidates = found.groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("found_items"))
 
     # exact: the shingles of both, as texts

@@ -69,6 +69,26 @@ def test_decontamination_finds_short_items(spark):
     assert {(n, n) for n in (5, 6, 9, 14, 30, 80)} <= found and (300, 3) in found
 
 
+def test_decontamination_of_long_items_alone(spark):
+    """With no short item in the table: words inserted or doubled at every place, passages repeated, pieces far apart."""
+    items, texts = {}, {}
+    for n in (20, 21, 22, 28, 40):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items[n] = " ".join(words)
+        for k in range(1, n):
+            texts[1000 * n + k] = words[:k] + ["new"] + words[k:]
+            texts[1000 * n + 100 + k] = words[:k] + words[k - 1 :]
+            for j in range(k + 4, n, 5):
+                texts[1000 * n + 200 + n * k + j] = words[:k] + words[k - 1 : j] + words[j - 1 :]
+        texts[n] = [w for k in range(0, n - 4) for w in [*words[k : k + 5], "gap"]]
+    texts = {i: " ".join(["before", *ws, "after"]) for i, ws in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert found == brute.contained(texts, items)
+    assert {(1000 * n + k, n) for n in items for k in range(1, n)} <= found and {(n, n) for n in items} <= found
+
+
 def test_line_dedup(spark, documents):
     texts = dict(zip(documents.doc_id, documents.text.fillna(""), strict=True))
     made = QUERIES["op10_line_dedup"](spark, FOLDER).where("text is not null").collect()
