@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import decontamination, golay_simhash, html_text, line_dedup, lm_scoring, ngram_join, packing, quality_rules, resampling, token_files, warc
+from quarterdeck.llm import decontamination, golay_simhash, html_text, line_dedup, lm_scoring, ngram_join, packing, quality_rules, resampling, token_files, warc, whitening
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the component of linked fingerprints that it is in."""
     return golay_simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable vector on the leading 32 whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
