@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import decontamination, golay_simhash, html_text, line_dedup, lm_scoring, ngram_join, packing, quality_rules, resampling, token_files, warc, whitening
+from quarterdeck.llm import conversation_repair, decontamination, golay_simhash, html_text, line_dedup, lm_scoring, ngram_join, packing, quality_rules, resampling, token_files, warc, whitening
 from quarterdeck.llm.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,81 @@ def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each usable vector on the leading 32 whitened components."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's faults after damage, and its cheapest repair."""
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by recursion from each conversation's last row: a value is [cost, audit, repaired rows], least first."""
+    after = {0: "user", 1: "user", 2: "assistant", 3: "user"}  # state: the role that may come next
+    state = {"user": 2, "assistant": 3}
+    keeps = {0: "case initial when 's' then b1 when 'u' then b2 end", 1: "case initial when 'u' then b2 end", 2: "case initial when 'a' then b3 end", 3: "case initial when 'u' then b2 end"}
+
+    def put(cost: str, letter: str, row: str, rest: str) -> str:
+        return f"[lpad(cast(cast(({rest})[1] as bigint) + {cost} as varchar), 9, '0'), '{letter}' || ({rest})[2], {row} || ({rest})[3]]"
+
+    def option(q: int) -> str:
+        late, keep, follow = "case when truncated then 3 else 0 end", f"({keeps[q]})", f"b{state[after[q]]}"
+        kept = put(f"({late})", "K", "(chr(10) || role || ':' || text)", keep)
+        named = put(f"(3 + {late})", "R", f"(chr(10) || '{after[q]}:' || text)", follow)
+        return f"least({put('4', 'D', chr(39) * 2, f'b{q}')}, case when not must and {keep} is not null then {kept} end, case when not must then {named} end) as o{q}"
+
+    def insert(q: int, rest: str) -> str:
+        return put("3", "I", f"(chr(10) || '{after[q]}:')", rest)
+
+    return f"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab
+), keyed as (
+  select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as id from conversations
+), hit as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(strlen(id)), lambda i: cast(ord(id[i + 1]) as bigint))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 as damage
+  from keyed, crc_table
+), hurt as (
+  select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+    case damage when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when damage = 3 then 2 else 1 end)) as copy
+  from hit where damage <> 0
+), told as (
+  select *, sha256(coalesce(cast(conv_id as varchar), ' ') || ':' || length(role) || ':' || role || text) as digest,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from hurt
+), ranked as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest, copy) as k, left(role, 1) as initial,
+    row_number() over (partition by conv_id, digest order by turn nulls first, copy) > 1 as again from told
+), faulty as (
+  select conv_id, turn, role, text, k, initial, bare = '' as blank, bare <> '' and again as duplicate,
+    bare <> '' and not again and right(bare, 1) not in ('.', '!', '?') as truncated, bare = '' or again as must,
+    lag(initial) over (partition by conv_id order by k) || initial as pair, count(*) over (partition by conv_id) as n
+  from ranked
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank,
+    count(*) filter (where duplicate) as duplicate, count(*) filter (where truncated) as truncated,
+    count(*) filter (where k > 1 and pair not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id
+), walk as (
+  select conv_id, n as k, ['000000000', '', ''] as b0, ['000000006', 'II', chr(10) || 'user:' || chr(10) || 'assistant:'] as b1,
+    ['000000003', 'I', chr(10) || 'assistant:'] as b2, ['000000000', '', ''] as b3
+  from faulty where k = n
+  union all
+  select conv_id, k, least(o0, {insert(0, "f2")}) as b0, least(o1, {insert(1, "f2")}) as b1, f2 as b2, least(o3, {insert(3, "f2")}) as b3
+  from (
+    select *, least(o2, {insert(2, "o3")}) as f2 from (
+      select f.conv_id, f.k - 1 as k, {option(0)}, {option(1)}, {option(2)}, {option(3)}
+      from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.k = w.k
+    )
+  )
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cast(b0[1] as bigint), 0) as cost, coalesce(b0[2], '') as audit, sha256(coalesce(b0[3][2:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts n on n.conv_id is not distinct from c.conv_id
+left join walk w on w.conv_id is not distinct from c.conv_id and w.k = 0
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_sql()
