@@ -11,10 +11,11 @@ Fingerprints that link differ in four bits or fewer. Let a <= b <= c be the erro
 is 2 at most; or a and b are both 1. So they have one of these keys in common:
 
 - one segment as it is, with an index of another segment: six families of 33 or 34 bits, 32 keys on average;
-- indices of two segments, only the nearest where the segment's parity is even, with the bit by which the parities differ:
-  three families of 25 bits, 30 keys on average.
+- indices of two segments, only the nearest where the segment's parity is even, with the bit by which the parities differ and
+  one third of the remaining segment: it has two errors at most, so one of its thirds has none. Nine families of 32 or 33
+  bits, 90 keys on average.
 
-A fingerprint has each key once, so of all rows of keys no key holds more than one in nine, whatever the data. Fingerprints
+A fingerprint has a key once, and one in each family at least, so no key has more than one in fifteen of all rows of keys. Fingerprints
 with a common key are joined and verified on all 64 bits. First each is compared with three hubs of its key (the least, the
 largest, the one that hashes lowest); links make components; then only keys that still hold several components are compared
 in full, in blocks, and a block hands on a spanning forest, so a group of copies costs links in proportion to its size.
@@ -145,13 +146,15 @@ def fingerprint_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 keys.append((family << 40 | parts[exact][:, None] << 12 | decoded[other][0])[near[other]])
                 of.append(np.broadcast_to(own[:, None], near[other].shape)[near[other]])
                 family += 1
-    for a, b in ((0, 1), (0, 2), (1, 2)):
+    for a, b, rest in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
         both = near_if_odd[a][:, :, None] & near_if_odd[b][:, None, :]
         differ = (odd[a] ^ odd[b]).astype(np.int64)[:, None, None]
-        key = family << 40 | decoded[a][0][:, :, None] << 13 | decoded[b][0][:, None, :] << 1 | differ
-        keys.append(key[both])
-        of.append(np.broadcast_to(own[:, None, None], both.shape)[both])
-        family += 1
+        pair = (decoded[a][0][:, :, None] << 13 | decoded[b][0][:, None, :] << 1 | differ)[both]
+        of_pair = np.broadcast_to(own[:, None, None], both.shape)[both]
+        for third in (parts[rest] & 0x7F, parts[rest] >> 7 & 0x7F, parts[rest] >> 14):  # 7, 7 and the last 7 or 8 bits
+            keys.append(family << 40 | pair << 8 | third[of_pair])
+            of.append(of_pair)
+            family += 1
     return np.concatenate(keys), np.concatenate(of)
 
 
