@@ -35,11 +35,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, that with the smallest doc_id; of equal rows with that id, one."""
-    others = ngram_join.linked_documents(docs).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
-    ids = others.select(F.col("doc_id").alias("of_id")).distinct()
-    stay = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["of_id"]), "left_anti")
-    return stay.dropDuplicates(["doc_id", "text"])
+    """One document of each group of linked ones: that with the smallest doc_id (null last), then text hash; of equal rows,
+    one. Documents without words are linked with nothing and stay, equal ones too."""
+    linked = ngram_join.linked_documents(docs).where("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    linked = written(linked)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = linked.groupBy(F.col("component").alias("of")).agg(F.min(place).alias("first"))
+    met = linked.join(first, F.col("component") == F.col("of"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    changed = written(met.where(~is_first | (F.col("rows") > 1)).select("doc_id", "text_hash", is_first.alias("is_first")))
+    once = _matched(docs, changed.where("is_first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _matched(docs, changed, "left_anti").unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) of every row."""
+    """doc_id, text_hash (of the text as it is), n_shingles, set_key (null for an empty set) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +65,11 @@ def set_sizes(docs: DataFrame) -> DataFrame:
             for _, sets in document_sets(batch.column(1)):
                 sizes += [len(s) for s in sets]
                 keys += [set_key(s) if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, n_shingles long, set_key long")
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(measure, "doc_id long, text_hash long, n_shingles long, set_key long")
 
 
 def common_shingles(docs: DataFrame, rows: int) -> np.ndarray:
@@ -281,12 +282,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents link at a Jaccard similarity of 0.75 or more.
+    """doc_id, text_hash, n_shingles, component, component_id of every row: documents link at a Jaccard similarity of 0.75 or more.
 
     Words are what white space (space, tab to carriage return) separates, A-Z in lower case; a text of fewer than five
     is one shingle; without words, or null, it is empty and alone. component_id is the smallest doc_id of those
-    reachable by links; a null doc_id is nobody's smallest (a component of nulls only has null). Equal rows come out
-    alike, each with its row.
+    reachable by links; a null doc_id is nobody's smallest (a component of nulls only has null). component names the
+    component whatever the ids are (null for an empty set); text_hash is the xxhash64 of the text. Equal rows come out alike, each with its row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = written(set_sizes(docs))
@@ -360,7 +361,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     placed_classes = classes.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     smallest = placed_classes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     of_class = joined_on_groups(placed_classes.select("set_key", "root", F.col("members").alias("copies")), smallest, "root")
-    of_class = written(of_class.select("set_key", "component_id", F.col("copies").alias("members")))
-    met = joined_on_groups(sized.where("n_shingles > 0"), of_class, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_class = written(of_class.select("set_key", F.col("root").alias("component"), "component_id", F.col("copies").alias("members")))
+    met = joined_on_groups(sized.where("n_shingles > 0"), of_class, "set_key").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+    alone = sized.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return met.unionByName(alone)

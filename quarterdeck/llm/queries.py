@@ -130,7 +130,7 @@ group by d.id, i.id having count(*) >= 0.75 * any_value(n)
 @query
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of linked documents that each document is in."""
-    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

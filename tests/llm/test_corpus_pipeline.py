@@ -56,6 +56,20 @@ def test_duplicate_stage(tables):
     assert set(after) == {i for i, (_, c) in brute.components(before).items() if i == c}
 
 
+def test_duplicate_stage_keeps_one_of_each_group(spark):
+    """Null and repeated ids: groups go by id and text, so clean rows stay whatever ids they share with copies."""
+    words = [f"w{k}" for k in range(60)]
+    a, near, other, alone = " ".join(words), " ".join([*words[:59], "x"]), " ".join(words[::-1]), "quite another text of seven words altogether"
+    given = [
+        (None, a), (1, near), (None, "a clean text without an id at all"), (None, ""), (None, ""), (2, near), (2, alone), (3, None),
+        (None, other), (None, other), (4, alone + " and more that makes it differ a lot from it"),
+    ]
+    docs = spark.createDataFrame([(*g, "clash") for g in given], "doc_id long, text string, component string").repartition(3)
+    rows = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    kept = [(1, near), (None, given[2][1]), (None, ""), (None, ""), (2, alone), (3, None), (None, other), given[10]]
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(kept, key=str) and all(r.component == "clash" for r in rows)
+
+
 def test_decontamination_stage(tables):
     before, after = texts(tables[3]), texts(tables[4])
     bench = pd.read_parquet(f"{FOLDER}/benchmark.parquet")
