@@ -31,7 +31,7 @@ HIDDEN = 16
 ROUNDS = 2
 LANES, WINDOW, RATE = 64, 16, 0.02
 #: In training, documents are laid in lanes in pools of about so many tokens, so that a long one leaves few lanes empty.
-POOL_TOKENS = 2_000_000
+POOL_TOKENS = 500_000
 SCORE_LANES, SCORE_WINDOW = 512, 64
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -144,14 +144,6 @@ class Network:
         return h
 
 
-def cut(counts: np.ndarray, most: int) -> np.ndarray:
-    """Token counts of the parts of documents of so many tokens, each of `most` tokens but the last of a document."""
-    parts = -(-counts // most)
-    out = np.full(int(parts.sum()), most, np.int64)
-    out[np.cumsum(parts) - 1] = counts - (parts - 1) * most
-    return out
-
-
 def lanes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents of so many tokens laid end to end in lanes of about equal length: positions (time by lane) of their
     tokens in document order, -1 for none, and whether a document begins there; lane count is `most` at most."""
@@ -166,9 +158,9 @@ def lanes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
         lane[doc], at[doc] = k, used
         heapq.heappush(heap, (used + int(counts[doc]), k))
         filled[k] = used + counts[doc]
-    place = np.full((int(filled.max()), width), -1, np.int64)
+    place = np.full((int(filled.max()), width), -1, np.int32 if counts.sum() < 1 << 31 else np.int64)
     first = np.cumsum(counts) - counts
-    of = np.repeat(np.arange(len(counts)), counts)
+    of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     inside = np.arange(len(of)) - first[of]
     place[at[of] + inside, lane[of]] = np.arange(len(of))
     fresh = np.zeros(place.shape, bool)
@@ -311,30 +303,24 @@ def scored(docs: DataFrame) -> DataFrame:
         known, net = words.value, Network(weights.value)
         log_counts = np.log10(known.counts + 1.0)
         for batch in batches:
-            parts = list(runs(batch.column(3)))
-            head_log, head_known = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            kinds, given, counts = [], [], []
-            for run in parts:
+            for run in runs(batch.column(3)):  # a run's arrays are all that is held at a time
                 at = known.place(run.words(lower=True))
-                there, rows = at >= 0, slice(run.first, run.first + len(run.offsets) - 1)
-                head_log[rows] = np.bincount(run.row[there], log_counts[at[there]], rows.stop - rows.start)
-                head_known[rows] = np.bincount(run.row[there], minlength=rows.stop - rows.start)
-                k, g, n = sequences(known, run)
-                kinds.append(k.astype(np.int16))
-                given.append(g.astype(np.int16))
-                counts.append(n)
-            if not parts:
-                continue
-            kinds, given, counts = np.concatenate(kinds), np.concatenate(given), np.concatenate(counts)
-            of = np.repeat(np.arange(len(counts)), counts)
-            inner = np.bincount(of, known.class_log[kinds], len(counts))
-            outer = class_log_likelihood(net, kinds, given, counts)
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(counts), pa.array(head_known), pa.array(head_log), pa.array(outer - inner)]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model"])
+                there, rows = at >= 0, len(run.offsets) - 1
+                head_log = np.bincount(run.row[there], log_counts[at[there]], rows)
+                head_known = np.bincount(run.row[there], minlength=rows)
+                kinds, given, counts = sequences(known, run)
+                inner = np.bincount(np.repeat(np.arange(rows, dtype=np.int32), counts), known.class_log[kinds], rows)
+                outer = class_log_likelihood(net, kinds.astype(np.int16), given.astype(np.int16), counts)
+                columns = [batch.column(k).slice(run.first, rows) for k in range(3)]
+                columns += [pa.array(counts), pa.array(head_known), pa.array(head_log), pa.array(outer - inner)]
+                yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model"])
 
     schema = "row_key long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model double"
     rows = own.select("row_key", "doc_id", "held_out", "text").mapInArrow(score, schema)
-    met = rows.join(tails, "row_key", "left")
+    rows = written(rows)
+    # rounding differs with a row's place in its run: equal rows take one of their values
+    alike = rows.groupBy("row_key").agg(F.min("model").alias("model")).join(tails, "row_key", "left")
+    met = rows.drop("model").join(alike, "row_key")
     end_log, end_known = float(np.log10(vocab.ends + 1)), int(vocab.ends > 0)
     log_counts = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(end_log)
     return met.select(

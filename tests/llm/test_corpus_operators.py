@@ -266,12 +266,6 @@ def test_lm_gradient():
         assert abs((above - below) / 0.02 - grad.flat[k]) < 2e-3 + 0.02 * abs(grad.flat[k])
 
 
-def test_lm_parts_keep_all_tokens():
-    counts = np.array([1, 1024, 1025, 5000])
-    parts = lm_scoring.cut(counts, 1024)
-    assert parts.tolist() == [1, 1024, 1024, 1, 1024, 1024, 1024, 1024, 904] and parts.sum() == counts.sum()
-
-
 def test_lm_trains_on_every_document(spark, monkeypatch):
     """Whatever its id, a training document moves the weights; a long one is learnt from as a whole."""
     share = np.full(lm_scoring.SINGLE_CLASSES + lm_scoring.SHAPE_CLASSES, 1 / 96)
