@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's full address under spark.checkpoint.dir. Only where that is unset, one on this machine (tests)."""
+    """A new folder's full address under spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of its
+    own on this machine; on a cluster, where other machines could not read that, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"{tempfile.gettempdir()}/quarterdeck-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quarterdeck-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
