@@ -26,7 +26,7 @@ _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _KEPT_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: How byte-level vocabularies spell bytes: those that print as themselves, the others by characters from U+0100 on.
-_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT_BYTES)}
+_SPELT = "".join(chr(b if b in _KEPT_BYTES else 256 + sum(c not in _KEPT_BYTES for c in range(b))) for b in range(256))
 
 
 class ChunkTokenizer:
@@ -52,7 +52,10 @@ class ChunkTokenizer:
         if ids is None:
             if len(self.pieces) >= self.cache_chunks // 10:
                 self.pieces.clear()
-            spelt = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(_SPELT)
+            if not text.isascii():
+                spelt = text.encode().decode("latin-1").translate(_SPELT)
+            else:  # letters and marks stand for themselves
+                spelt = _SPELT[32] + text[1:] if text[0] == " " else text
             ids = self.pieces[text] = tuple([t.id for t in self.model.tokenize(spelt)])
         return ids
 
