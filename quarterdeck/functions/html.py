@@ -1,167 +1,166 @@
-"""Text and call date of a transcript page.
+"""Body text and visible text of a page, as expressions over the stream of its tags.
 
-``page_parts`` walks the real element tree in Arrow batches, because unclosed
-and nested elements cannot be told by an expression. ``flat_text`` and
-``flat_visible`` are expressions for well-formed pages and stay in the JVM.
+A page is cut into tags, comments and texts by one pattern. A fold over the tags keeps the open elements as a stack: an end
+tag closes the nearest open element of its name and all that opened after it, and is ignored where there is none; nothing
+else closes an element, so an unclosed block holds the blocks that follow it. Only elements that matter leave the fold, as
+spans of token numbers: the marked ones, blocks, and those whose text does not count. A block's text is then a slice of the
+page's texts. All of it runs in the JVM, row by row: nothing is shuffled and no element is a row.
 """
 
-import re
-from html.parser import HTMLParser
+from collections.abc import Callable
+from html.entities import html5, name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarterdeck import fixed_values as V
 from quarterdeck.functions import text as X
 
 # --- element names (fixed values) ------------------------------------------
-BLOCKS = {"p", "h2", "h3"}
-REMOVED = {"script", "style", "aside", "figure", "img"}
-NOT_TEXT = {"script", "style", "template", "rt", "rp"}
-CHILDLESS = {
+BLOCKS = ("p", "h2", "h3")
+REMOVED = ("aside", "figure")
+NOT_TEXT = ("template", "rt", "rp")
+#: Elements that HTML, now or formerly, defines to have no content.
+CHILDLESS = (
     "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
     "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
-}
-
-
-class _Page(HTMLParser):
-    """Hands each text node to every open block element of the body around it."""
-
-    def __init__(self, is_body):
-        super().__init__()
-        self.is_body = is_body
-        self.open = []            # (tag, its block or None)
-        self.pending = []
-        self.visible = []
-        self.blocks = None        # a list from the moment the body is found
-        self.body_depth = None    # set while the body is open
-        self.removed_depth = None
-
-    def _end_text(self):
-        text, self.pending = "".join(self.pending), []
-        if not text or (self.open and self.open[-1][0] in NOT_TEXT):
-            return
-        self.visible.append(text)
-        text = text.strip()
-        if text and self.removed_depth is None:
-            for _, block in self.open:
-                if block is not None:
-                    block.append(text)
-
-    def handle_data(self, data):
-        self.pending.append(data)
-
-    def handle_comment(self, data):
-        self._end_text()
-
-    def handle_decl(self, decl):
-        self._end_text()
-
-    def handle_pi(self, data):
-        self._end_text()
-
-    def handle_starttag(self, tag, attrs):
-        self._end_text()
-        block = None
-        if self.body_depth is not None and self.removed_depth is None:
-            if tag in REMOVED and tag not in CHILDLESS:
-                self.removed_depth = len(self.open)
-            elif tag in BLOCKS:
-                block = []
-                self.blocks.append(block)
-        if self.blocks is None and self.is_body(dict(attrs)):
-            self.blocks = []
-            self.body_depth = len(self.open)
-        self.open.append((tag, block))
-        if tag in CHILDLESS:
-            self._cut(len(self.open) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in CHILDLESS:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._end_text()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._cut(depth)
-                return
-
-    def _cut(self, depth):
-        del self.open[depth:]
-        if self.removed_depth is not None and self.removed_depth >= depth:
-            self.removed_depth = None
-        if self.body_depth is not None and self.body_depth >= depth:
-            self.body_depth = None
-
-    def read(self, html):
-        self.feed(html)
-        self.close()
-        self._end_text()
-        return self
-
-
-def _has_id(attrs):
-    return attrs.get("id") == V.TRANSCRIPT_ID
-
-
-def _has_class(attrs):
-    return V.TRANSCRIPT_CLASS in (attrs.get("class") or "")
-
-
-def read_page(html):
-    """(body text or None, raw call date) of one page."""
-    page = _Page(_has_id).read(html)
-    if page.blocks is None:
-        page = _Page(_has_class).read(html)
-    paragraphs = [text for text in map("".join, page.blocks or []) if text]
-    date = re.search(V.CALL_DATE, "".join(page.visible))
-    return ("\n\n".join(paragraphs) or None, date.group(1) if date else "")
-
-
-PARTS = T.StructType([T.StructField("text", T.StringType()), T.StructField("date_text", T.StringType())])
-
-
-@F.pandas_udf(PARTS)
-def page_parts(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) if h else (None, "") for h in html], columns=["text", "date_text"])
-
-
-# --- markup of the flat rule (fixed values) --------------------------------
-ELEMENTS_AWAY = r"(?is)<(?:script|style|aside|figure)\b.*?</(?:script|style|aside|figure)\s*>"
-NOT_VISIBLE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
-BODY_BY_ID = r"(?is)<[a-z]+[^>]*\sid=\"" + V.TRANSCRIPT_ID + r"\".*?(?:</article\s*>|</body\s*>|$)"
-BODY_BY_CLASS = r"(?is)<[a-z]+[^>]*\sclass=\"[^\"]*" + V.TRANSCRIPT_CLASS + r".*?(?:</article\s*>|</body\s*>|$)"
-PARAGRAPH = r"(?is)<(?:p|h2|h3)(?:\s[^>]*)?>(.*?)</(?:p|h2|h3)\s*>"
-TAG = r"<[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def _decoded(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def flat_text(html: Column) -> Column:
-    """Body text by pattern: each block from its opening tag to the next closing tag.
-
-    The body ends with its article or with the page, since a pattern cannot
-    count nested elements; blocks are neither nested nor left open.
-    """
-    body = F.coalesce(
-        F.nullif(F.regexp_extract(html, BODY_BY_ID, 0), F.lit("")),
-        F.nullif(F.regexp_extract(html, BODY_BY_CLASS, 0), F.lit("")),
-    )
-    kept = F.regexp_replace(body, ELEMENTS_AWAY, "")
-    blocks = F.regexp_extract_all(kept, F.lit(PARAGRAPH), F.lit(1))
-    texts = F.transform(blocks, lambda b: X.strip(_decoded(F.regexp_replace(b, r"\s*" + TAG + r"\s*", ""))))
-    return F.nullif(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n"), F.lit(""))
-
-
-def flat_visible(html: Column) -> Column:
-    """All visible text of a page by pattern."""
-    return _decoded(F.regexp_replace(F.regexp_replace(html, NOT_VISIBLE, ""), TAG, ""))
+)
+
+#: Scripts and styles are one token with their content, which is no markup.
+TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\z)|<[!?/][^>]*+(?:>|\z)"
+    r"|<[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[a-z][^>]*+(?:>|\z)|(?:[^<]++|<(?![a-z/!?]))++"
+)
+TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
+MARKED_ID = rf"\s(?i:id)\s*=\s*(?:\"{V.TRANSCRIPT_ID}\"|'{V.TRANSCRIPT_ID}'|{V.TRANSCRIPT_ID}(?:[\s/>]|$))"
+MARKED_CLASS = rf"\s(?i:class)\s*=\s*(?:\"[^\"]*{V.TRANSCRIPT_CLASS}|'[^']*{V.TRANSCRIPT_CLASS}|[^\s\"'>]*{V.TRANSCRIPT_CLASS})"
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
+#: Characters by name, with the semicolon and, where HTML allows it, without; the names of HTML 4.
+NAMED = {name: char for name, char in html5.items() if name.rstrip(";") in name2codepoint}
+#: Of a longer run of letters, the longest name at its beginning that may stand without a semicolon.
+NAMED_PART = "^&(" + "|".join(sorted((name for name in NAMED if name[-1] != ";"), key=lambda n: (-len(n), n))) + ")"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references replaced; unknown names stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def char(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^&#([0-9]+)", 1)
+        code = F.when(digits != "", digits.cast("long")).otherwise(
+            F.conv(F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long")
+        )
+        no_char = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        number = F.when(no_char, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        short = F.regexp_extract(part, NAMED_PART, 1)
+        begun = F.when(short != "", F.concat(F.try_element_at(names, short), F.substr(part, F.length(short) + 2)))
+        named = F.coalesce(F.try_element_at(names, F.substr(part, F.lit(2))), begun, part)
+        return F.when(part.rlike("^&#"), number).when(part.rlike("^&[A-Za-z]"), named).otherwise(part)
+
+    parts = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, char), "")).otherwise(text)
+
+
+def _tokens(html: Column) -> Column:
+    """(at, kind, name, mark, text): kind is text, open, close, alone (no content) or other; mark 1 by id, 2 by class; text has its
+    references replaced."""
+
+    def token(raw: Column, at: Column) -> Column:
+        name = F.lower(F.regexp_extract(raw, TAG_NAME, 1))
+        is_tag = raw.rlike(r"^</?[A-Za-z]") & ~name.isin("script", "style")
+        kind = (
+            F.when(~raw.rlike(r"^<[A-Za-z/!?]"), "text").when(~is_tag, "other").when(F.startswith(raw, F.lit("</")), "close")
+            .when(name.isin(*CHILDLESS) | F.endswith(raw, F.lit("/>")), "alone").otherwise("open")
+        )
+        mark = F.when(F.startswith(raw, F.lit("</")), 0).when(raw.rlike(MARKED_ID), 1).when(raw.rlike(MARKED_CLASS), 2).otherwise(0)
+        return F.struct(at.alias("at"), kind.alias("kind"), name.alias("name"), mark.alias("mark"), F.when(kind == "text", decoded(raw)).alias("text"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), token)
+
+
+OPEN = "array<struct<name:string,at:int,mark:int>>"
+SPANS = "array<struct<name:string,at:int,mark:int,end:int>>"
+
+
+def _spans(tokens: Column) -> Column:
+    """The elements that matter, from the token that opens them to the one that closes them."""
+
+    def matters(e: Column) -> Column:
+        return (e["mark"] > 0) | e["name"].isin(*BLOCKS, *REMOVED, *NOT_TEXT)
+
+    def closed(elements: Column, end: Column) -> Column:
+        return F.transform(F.filter(elements, matters), lambda e: F.struct(e["name"].alias("name"), e["at"].alias("at"), e["mark"].alias("mark"), end.alias("end")))
+
+    def state(stack: Column, spans: Column) -> Column:
+        return F.struct(stack.alias("stack"), spans.alias("spans"))
+
+    def step(acc: Column, tag: Column) -> Column:
+        stack, spans = acc["stack"], acc["spans"]
+        element = F.array(F.struct(tag["name"].alias("name"), tag["at"].alias("at"), tag["mark"].alias("mark")))
+        above = F.array_position(F.reverse(F.transform(stack, lambda e: e["name"])), tag["name"]).cast("int")
+        return (
+            F.when(tag["kind"] == "open", state(F.concat(stack, element), spans))
+            .when(tag["kind"] == "alone", state(stack, F.concat(spans, closed(element, tag["at"]))))
+            .when(above > 0, state(
+                F.slice(stack, F.lit(1), F.size(stack) - above), F.concat(spans, closed(F.slice(stack, F.size(stack) - above + 1, above), tag["at"]))
+            )).otherwise(acc)
+        )
+
+    tags = F.filter(tokens, lambda t: t["kind"].isin("open", "close", "alone"))
+    start = state(F.array().cast(OPEN), F.array().cast(SPANS))
+    return F.aggregate(tags, start, step, lambda acc: F.concat(acc["spans"], closed(acc["stack"], F.size(tokens))))
+
+
+def _inside(at: Column, spans: Column) -> Column:
+    return F.exists(spans, lambda s: (s["at"] < at) & (at < s["end"]))
+
+
+def _body_text(tokens: Column, spans: Column) -> Column:
+    def first(mark: int) -> Column:
+        return F.array_min(F.transform(F.filter(spans, lambda s: s["mark"] == mark), lambda s: F.struct(s["at"].alias("at"), s["end"].alias("end"))))
+
+    def within(body: Column) -> Column:
+        inner = F.filter(spans, lambda s: (s["at"] > body["at"]) & (s["at"] < body["end"]))
+        return _let(F.filter(inner, lambda s: s["name"].isin(*REMOVED)), lambda removed: _let(
+            F.filter(spans, lambda s: s["name"].isin(*NOT_TEXT)), lambda hidden: _let(
+                F.transform(tokens, lambda t: F.when((t["kind"] == "text") & ~_inside(t["at"], removed) & ~_inside(t["at"], hidden), X.strip(t["text"]))),
+                lambda texts: joined(F.array_sort(F.transform(
+                    F.filter(inner, lambda s: s["name"].isin(*BLOCKS) & ~_inside(s["at"], removed)), lambda s: F.struct(s["at"].alias("at"), s["end"].alias("end"))
+                )), texts),
+            ),
+        ))
+
+    def joined(blocks: Column, texts: Column) -> Column:
+        each = F.transform(blocks, lambda b: F.array_join(F.slice(texts, b["at"] + 2, F.greatest(b["end"] - b["at"] - 1, F.lit(0))), ""))
+        return F.nullif(F.array_join(F.filter(each, lambda t: t != ""), "\n\n"), F.lit(""))
+
+    return _let(F.coalesce(first(1), first(2)), lambda body: F.when(body.isNotNull(), within(body)))
+
+
+def _visible_text(tokens: Column, spans: Column) -> Column:
+    return _let(F.filter(spans, lambda s: s["name"].isin(*NOT_TEXT)), lambda hidden: F.array_join(
+        F.transform(F.filter(tokens, lambda t: (t["kind"] == "text") & ~_inside(t["at"], hidden)), lambda t: t["text"]), ""))
+
+
+def body_text(html: Column) -> Column:
+    """Text of the transcript's body: each paragraph and heading in it, without asides and figures; null if there is none.
+
+    The body is the first element marked by id, else the first marked by class. A block has the texts of the blocks in
+    it as well; each text is stripped before texts are joined."""
+    return _let(_tokens(html), lambda tokens: _let(_spans(tokens), lambda spans: _body_text(tokens, spans)))
+
+
+def visible_text(html: Column) -> Column:
+    """All text of a page but that of scripts, styles, templates and comments."""
+    return _let(_tokens(html), lambda tokens: _visible_text(tokens, _spans(tokens)))
+
+
+def page_parts(html: Column) -> Column:
+    """(text, visible) of a page, from one pass over its tags; of a null page, nulls."""
+    return _let(_tokens(html), lambda tokens: _let(_spans(tokens), lambda spans: F.struct(
+        _body_text(tokens, spans).alias("text"), _visible_text(tokens, spans).alias("visible"))))

@@ -39,22 +39,12 @@ def pick_page(
     return picked
 
 
-def page_texts(pages: DataFrame, rule: str = "tree") -> DataFrame:
-    """Adds ``text`` and ``date_text`` to pages.
-
-    ``rule="tree"`` reads the element tree (exact for unclosed and nested
-    elements); ``rule="flat"`` uses expressions and fits well-formed pages.
-    """
-    if rule == "tree":
-        return pages.withColumn("_page", H.page_parts("html")).select(
-            *pages.columns, F.col("_page.text").alias("text"), F.col("_page.date_text").alias("date_text")
-        )
-    if rule == "flat":
-        return pages.select(
-            "*", H.flat_text(F.col("html")).alias("text"),
-            Q.call_date_text(H.flat_visible(F.col("html"))).alias("date_text"),
-        )
-    raise ValueError("rule is 'tree' or 'flat'")
+def page_texts(pages: DataFrame) -> DataFrame:
+    """Adds ``text`` and ``date_text`` to pages, by the tree of their elements."""
+    parts = pages.withColumn("_page", H.page_parts(F.col("html")))
+    return parts.select(
+        *pages.columns, F.col("_page.text").alias("text"), F.coalesce(Q.call_date_text(F.col("_page.visible")), F.lit("")).alias("date_text")
+    )
 
 
 def reject_reason() -> Column:
@@ -71,7 +61,7 @@ def quality_gate(quarters: DataFrame) -> DataFrame:
     return quarters.withColumn("reject_reason", reject_reason())
 
 
-def with_pages(grid: DataFrame, picked: DataFrame, pages: DataFrame, rule: str = "tree") -> DataFrame:
+def with_pages(grid: DataFrame, picked: DataFrame, pages: DataFrame) -> DataFrame:
     """Quarter grid with the chosen page and its text; quarters without one stay, with a reason.
 
     Pages nobody chose are dropped before their html is read into a tree, and a
@@ -81,7 +71,7 @@ def with_pages(grid: DataFrame, picked: DataFrame, pages: DataFrame, rule: str =
     own = F.concat_ws(" ", "ticker", F.col("year").cast("string"), F.col("q").cast("string"))
     chosen = grid.join(picked, ["ticker", "year", "q"], "left").withColumn("_page", F.coalesce("url", own))
     wanted = pages.join(picked.select("url").distinct(), "url", "left_semi")
-    texts = page_texts(wanted, rule).withColumnRenamed("url", "_page")
+    texts = page_texts(wanted).withColumnRenamed("url", "_page")
     return quality_gate(chosen.join(texts, "_page", "left").drop("_page"))
 
 

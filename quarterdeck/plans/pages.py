@@ -17,11 +17,11 @@ from quarterdeck.operators.shared import settled
 
 def page_quarters(
     companies: DataFrame, hits: DataFrame, pages: DataFrame, as_of: Column, n: int = V.QUARTERS,
-    site: str = V.TRANSCRIPT_SITE, rule: str = "tree",
+    site: str = V.TRANSCRIPT_SITE,
 ) -> DataFrame:
     """The quarter grid with its pages: text, date, speakers, sections or a reject reason."""
     grid = QT.quarter_grid(companies, as_of, n)
-    return P.page_facts(P.with_pages(grid, P.pick_page(hits, site), pages, rule))
+    return P.page_facts(P.with_pages(grid, P.pick_page(hits, site), pages))
 
 
 def pages_to_documents(

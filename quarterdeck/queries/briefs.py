@@ -144,7 +144,7 @@ def figures_prompts(spark, folder):
         || chr(10) || 'Fill in this JSON object with 3 to 6 quotes, word for word:' || chr(10)
         || {_fields_sql(PR.QUARTER_FIELDS, "'Q1 2001'")} AS user FROM texts""")
 def page_prompts(spark, folder):
-    pages = P.page_texts(table(spark, folder, "f_page").select("page_id", "url", "html"), "flat")
+    pages = P.page_texts(table(spark, folder, "f_page").select("page_id", "url", "html"))
     quarters = pages.select(
         "page_id", "text", F.lit("Co").alias("company"), F.col("page_id").cast("string").alias("ticker"),
         F.lit("Q1 2001").alias("label"), X.page_speakers(F.col("text")).alias("page_speakers"),

@@ -17,22 +17,64 @@ from quarterdeck.sources.tables import read_pages, top_hits as first_hits
 
 SITE = "example.com"
 
-_decoded = "{}"
-for _entity, _char in H.ENTITIES:
-    _decoded = f"replace({_decoded}, '{_entity}', {text(_char)})"
-
-BODY_SQL = f"""regexp_replace(coalesce(nullif(regexp_extract(html, {text(H.BODY_BY_ID)}), ''),
-    nullif(regexp_extract(html, {text(H.BODY_BY_CLASS)}), '')), {text(H.ELEMENTS_AWAY)}, '', 'g')"""
-PLAIN_SQL = "regexp_replace(b, " + text(r"\s*" + H.TAG + r"\s*") + ", '', 'g')"
-TEXT_SQL = f"""nullif(array_to_string(list_filter(list_transform(regexp_extract_all({BODY_SQL}, {text(H.PARAGRAPH)}, 1),
-    lambda b: {strip(_decoded.format(PLAIN_SQL))}), lambda t: t <> ''), chr(10) || chr(10)), '')"""
-VISIBLE_SQL = _decoded.format(
-    f"regexp_replace(regexp_replace(html, {text(H.NOT_VISIBLE)}, '', 'g'), {text(H.TAG)}, '', 'g')"
+# The fold over a page's tags, as in ``functions/html.py``: an element of the list is a tag and what is open and done
+# after it, since a list is reduced to a value of its elements' type.
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+TOKEN_SQL = text(
+    r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{name}\b{_ATTRIBUTES}>.*?(?:</{name}\s*>|\z)" for name in ("script", "style"))
+    + rf"|<[!?/][^>]*(?:>|\z)|<[a-z]{_ATTRIBUTES}>|<[a-z][^>]*(?:>|\z)|(?:[^<]|<+[^a-z/!?<])+"
 )
-DATE_SQL = f"regexp_extract({VISIBLE_SQL}, {text(V.CALL_DATE)}, 1)"
-DAY_SQL = f"""strftime(try_strptime(regexp_replace(replace({DATE_SQL}, ',', ''), '\\s+', ' ', 'g'), '%B %d %Y'),
-    '%Y-%m-%d')"""
-TEXTS_SQL = f"texts AS (SELECT page_id, url, html, {TEXT_SQL} AS text, {DAY_SQL} AS call_date FROM {{f_page}})"
+NAMES_SQL = "MAP {{" + ", ".join(f"{text(name)}: {text(char)}" for name, char in H.NAMED.items()) + "}}"
+DECODED_SQL = f"""CASE WHEN contains(raw, '&') THEN array_to_string(list_transform(regexp_extract_all(raw, {text(H.REFERENCE)}),
+    lambda r: coalesce({NAMES_SQL}[substr(r, 2)], r)), '') ELSE raw END"""
+OPEN_TYPE, SPAN_TYPE = "STRUCT(name VARCHAR, pos BIGINT, mark INTEGER)[]", "STRUCT(name VARCHAR, pos BIGINT, mark INTEGER, stop BIGINT)[]"
+_listed = "({})".format(", ".join(text(n) for n in (*H.BLOCKS, *H.REMOVED, *H.NOT_TEXT)))
+
+
+def _closed(elements, stop):
+    return f"""list_transform(list_filter({elements}, lambda e: e.mark > 0 OR e.name IN {_listed}),
+        lambda e: {{{{'name': e.name, 'pos': e.pos, 'mark': e.mark, 'stop': {stop}}}}})"""
+
+
+def _state(stack, spans):
+    return f"{{{{'pos': t.pos, 'kind': t.kind, 'name': t.name, 'mark': t.mark, 'stack': {stack}, 'spans': {spans}}}}}"
+
+
+_element = "[{{'name': t.name, 'pos': t.pos, 'mark': t.mark}}]"
+_above = "coalesce(list_position(list_reverse(list_transform(acc.stack, lambda e: e.name)), t.name), 0)"
+TEXTS_SQL = f"""
+    cut AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, {TOKEN_SQL}), lambda x, i: {{{{'raw': x, 'pos': i - 1}}}}), recursive := true)
+            FROM {{f_page}}),
+    named AS (SELECT *, lower(regexp_extract(raw, {text(H.TAG_NAME)}, 1)) AS name FROM cut),
+    kinds AS (SELECT page_id, pos::bigint AS pos, name, CASE WHEN NOT regexp_matches(raw, '^<[A-Za-z/!?]') THEN 'text'
+            WHEN NOT regexp_matches(raw, '^</?[A-Za-z]') OR name IN ('script', 'style') THEN 'other' WHEN starts_with(raw, '</') THEN 'close'
+            WHEN name IN ({", ".join(text(n) for n in H.CHILDLESS)}) OR ends_with(raw, '/>') THEN 'alone' ELSE 'open' END AS kind,
+            CASE WHEN starts_with(raw, '</') THEN 0 WHEN regexp_matches(raw, {text(H.MARKED_ID)}) THEN 1
+            WHEN regexp_matches(raw, {text(H.MARKED_CLASS)}) THEN 2 ELSE 0 END AS mark, {DECODED_SQL} AS said FROM named),
+    folds AS (SELECT page_id, count(*) AS n, list_reduce(list_prepend({{{{'pos': -1::bigint, 'kind': '', 'name': '', 'mark': 0, 'stack': []::{OPEN_TYPE}, 'spans': []::{SPAN_TYPE}}}}},
+            coalesce(list({{{{'pos': pos, 'kind': kind, 'name': name, 'mark': mark, 'stack': []::{OPEN_TYPE}, 'spans': []::{SPAN_TYPE}}}}} ORDER BY pos)
+            FILTER (WHERE kind IN ('open', 'close', 'alone')), [])),
+            lambda acc, t: CASE WHEN t.kind = 'open' THEN {_state(f"acc.stack || {_element}", "acc.spans")}
+            WHEN t.kind = 'alone' THEN {_state("acc.stack", f"acc.spans || {_closed(_element, 't.pos')}")}
+            WHEN {_above} > 0 THEN {_state(f"acc.stack[1:len(acc.stack) - {_above}]", f"acc.spans || {_closed(f'acc.stack[len(acc.stack) - {_above} + 1:]', 't.pos')}")}
+            ELSE acc END) AS f FROM kinds GROUP BY page_id),
+    spans AS (SELECT page_id, unnest(f.spans || {_closed("f.stack", "n")}, recursive := true) FROM folds),
+    bodies AS (SELECT page_id, min({{{{'mark': mark, 'pos': pos, 'stop': stop}}}}) AS body FROM spans WHERE mark > 0 GROUP BY page_id),
+    gone AS (SELECT page_id, pos, stop, false AS everywhere FROM spans JOIN bodies USING (page_id)
+            WHERE name IN ('aside', 'figure') AND pos > body.pos AND pos < body.stop
+            UNION ALL SELECT page_id, pos, stop, true FROM spans WHERE name IN ('template', 'rt', 'rp')),
+    words AS (SELECT k.page_id, k.pos, k.said, EXISTS (SELECT 1 FROM gone g WHERE g.page_id = k.page_id AND g.pos < k.pos AND k.pos < g.stop) AS away,
+            EXISTS (SELECT 1 FROM gone g WHERE g.page_id = k.page_id AND g.pos < k.pos AND k.pos < g.stop AND everywhere) AS hidden
+            FROM kinds k WHERE kind = 'text'),
+    blocks AS (SELECT s.page_id, s.pos, coalesce(string_agg({strip("w.said")}, '' ORDER BY w.pos), '') AS block FROM spans s JOIN bodies b ON b.page_id = s.page_id
+            LEFT JOIN words w ON w.page_id = s.page_id AND w.pos > s.pos AND w.pos < s.stop AND NOT away
+            WHERE s.name IN ('p', 'h2', 'h3') AND s.pos > body.pos AND s.pos < body.stop AND NOT EXISTS (SELECT 1 FROM gone g
+            WHERE g.page_id = s.page_id AND g.pos < s.pos AND s.pos < g.stop AND NOT everywhere) GROUP BY s.page_id, s.pos),
+    joined AS (SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text FROM blocks WHERE block <> '' GROUP BY page_id),
+    visible AS (SELECT page_id, string_agg(said, '' ORDER BY pos) AS seen FROM words WHERE NOT hidden GROUP BY page_id),
+    texts AS (SELECT p.page_id, p.url, p.html, joined.text, strftime(try_strptime(regexp_replace(replace(
+            regexp_extract(seen, {text(V.CALL_DATE)}, 1), ',', ''), '\\s+', ' ', 'g'), '%B %d %Y'), '%Y-%m-%d') AS call_date
+            FROM {{f_page}} p LEFT JOIN joined ON joined.page_id = p.page_id LEFT JOIN visible ON visible.page_id = p.page_id)"""
 
 
 def _pages(spark, folder):
@@ -41,20 +83,20 @@ def _pages(spark, folder):
 
 @query("WITH " + TEXTS_SQL + " SELECT page_id, text FROM texts")
 def page_text(spark, folder):
-    """Body texts by the flat rule."""
-    return P.page_texts(_pages(spark, folder), "flat").select("page_id", "text")
+    """Body texts of pages, unclosed and nested elements included."""
+    return P.page_texts(_pages(spark, folder)).select("page_id", "text")
 
 
-@query()
+@query("WITH " + TEXTS_SQL + " SELECT page_id, text, call_date FROM texts")
 def page_text_tree(spark, folder):
-    """Body texts and call dates by the element tree; no SQL can follow nested and unclosed elements."""
-    texts = P.page_texts(_pages(spark, folder), "tree")
+    """Body texts with call dates."""
+    texts = P.page_texts(_pages(spark, folder))
     return texts.select("page_id", "text", Q.call_date(F.col("date_text")).cast("string").alias("call_date"))
 
 
 @query("WITH " + TEXTS_SQL + " SELECT page_id, call_date FROM texts")
 def page_dates(spark, folder):
-    raw = Q.call_date_text(H.flat_visible(F.col("html")))
+    raw = Q.call_date_text(H.visible_text(F.col("html")))
     return _pages(spark, folder).select("page_id", raw.alias("raw")).select(
         "page_id", Q.call_date(F.col("raw")).cast("string").alias("call_date")
     )
@@ -71,7 +113,7 @@ PAGE_REST_SQL = "regexp_extract(text, " + text(f"(?i)(?:{V.PAGE_QUESTIONS_START}
 @query("WITH " + TEXTS_SQL + f"""
     SELECT page_id, array_to_string({PAGE_NAMES_SQL}, '; ') AS speakers FROM texts""")
 def page_speakers(spark, folder):
-    texts = P.page_texts(_pages(spark, folder), "flat")
+    texts = P.page_texts(_pages(spark, folder))
     return texts.select("page_id", F.array_join(X.page_speakers(F.col("text")), "; ").alias("speakers"))
 
 
@@ -96,7 +138,7 @@ REASON_SQL = """CASE WHEN url IS NULL THEN 'no transcript found' WHEN coalesce(l
 @query("WITH " + TEXTS_SQL + f"""
     SELECT page_id, coalesce(length(text), 0) AS n_chars, {REASON_SQL} AS reject_reason FROM texts""")
 def page_gate(spark, folder):
-    gated = P.quality_gate(P.page_texts(_pages(spark, folder), "flat"))
+    gated = P.quality_gate(P.page_texts(_pages(spark, folder)))
     return gated.select("page_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "reject_reason")
 
 
@@ -219,7 +261,7 @@ def page_quarters(spark, folder):
         F.col("href").alias("url"), F.col("url").alias("page_url"), "html"
     )
     companies = table(spark, folder, "f_company").select("ticker", "company")
-    found = page_quarter_plan(companies, hits, pages, as_of(), site=SITE, rule="flat")
+    found = page_quarter_plan(companies, hits, pages, as_of(), site=SITE)
     return found.select(
         "ticker", "company", F.col("year").cast("long").alias("year"), F.col("q").cast("long").alias("q"),
         F.col("page_url").alias("url"), "reject_reason",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarterdeck.functions import html as H
 from quarterdeck.functions import quarters as Q
 from quarterdeck.operators import pages as P
+from tests.page_parser import read_page
 
 ID = '<div id="article-body-transcript">%s</div>'
 
@@ -30,7 +31,7 @@ TREE_CASES = [
 
 def test_tree(spark):
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(TREE_CASES)], "i int, html string")
-    ours = {r.i: r.text for r in P.page_texts(rows, "tree").collect()}
+    ours = {r.i: r.text for r in P.page_texts(rows).collect()}
     assert [ours[i] for i in range(len(TREE_CASES))] == [t for _, t in TREE_CASES]
 
 
@@ -84,22 +85,28 @@ def tree_model(html):
     return "\n\n".join(t for t in texts if t) or None
 
 
-def test_tree_against_a_whole_tree():
+def test_pages_against_parser_and_whole_tree(spark):
+    """Random markup, unclosed, crossed and broken, read by expressions, by a parser and by way of a tree."""
     rng = random.Random(13)
-    parts = ["<p>", "</p>", "<b>", "</b>", "<br>", "<h2>", "</h2>", "<aside>", "</aside>", "<figure>", "</figure>", "<div>",
+    plain = ["<p>", "</p>", "<b>", "</b>", "<br>", "<h2>", "</h2>", "<aside>", "</aside>", "<figure>", "</figure>", "<div>",
              "</div>", " a ", "b", "&amp;", "<!-- c -->", "\n", "</h3>", "<h3>", "<img src='x'>", "</i>", "<i>"]
-    for _ in range(3000):
-        inner = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
-        mark = rng.choice(['id="article-body-transcript"', 'class="x article-body y"', ""])
-        html = f"<body><p>out</p><article {mark}>{inner}</article><p>out</p></body>"
-        assert H.read_page(html)[0] == tree_model(html), html
+    odd = ["<script>x<p>y</script>", "<style>p{}</style>", "&eacute;", "&#233;", "&#x1F600;", "&#0;", " < ", "<p/>", "</article>", "&copy", "&copyx",
+           "&nope;", "&", '<P class="a>b">', "\xa0x ", "<template>", "</template>", "<?pi x>", "<!X>"]
+    cases = []
+    for k in range(3000):
+        inner = "".join(rng.choice(plain + odd * (k % 2)) for _ in range(rng.randint(0, 25)))
+        mark = rng.choice(['id="article-body-transcript"', 'class="x article-body y"', "", "id='article-body-transcript'"][: 4 if k % 2 else 3])
+        cases.append(f"<body><p>out</p><article {mark}>{inner}</article><p>out</p></body>")
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, html string").repartition(4)
+    ours = {r.i: r.p for r in rows.select("i", H.page_parts(F.col("html")).alias("p")).collect()}
+    for k, html in enumerate(cases):
+        assert (ours[k].text, ours[k].visible) == read_page(html), html
+        assert k % 2 or ours[k].text == tree_model(html), html
 
 
-def test_flat_agrees_on_well_formed_pages(spark):
-    well_formed = [TREE_CASES[i] for i in (0, 2, 3, 4, 6, 9, 11)]
-    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(well_formed)], "i int, html string")
-    ours = {r.i: r.text for r in P.page_texts(rows, "flat").collect()}
-    assert [ours[i] for i in range(len(well_formed))] == [t for _, t in well_formed]
+def test_pages_of_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "text only"), (4, "<p")], "i int, html string")
+    assert [tuple(r) for r in P.page_texts(rows).orderBy("i").select("i", "text", "date_text").collect()] == [(k, None, "") for k in (1, 2, 3, 4)]
 
 
 def test_call_date(spark):
@@ -111,11 +118,10 @@ def test_call_date(spark):
         ("<script>DATE Monday, July 1, 2025</script><p>none</p>", None),
         ("<p>DATE Monday, <b>July 1</b>, 2025</p>", "2025-07-01"),
     ]
-    for rule in ("tree", "flat"):
-        rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
-        dated = P.page_texts(rows, rule).select("i", Q.call_date(F.col("date_text")).cast("string").alias("d"))
-        ours = {r.i: r.d for r in dated.collect()}
-        assert [ours[i] for i in range(len(cases))] == [d for _, d in cases], rule
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    dated = P.page_texts(rows).select("i", Q.call_date(F.col("date_text")).cast("string").alias("d"))
+    ours = {r.i: r.d for r in dated.collect()}
+    assert [ours[i] for i in range(len(cases))] == [d for _, d in cases]
 
 
 def test_pick_page(spark):
@@ -150,4 +156,5 @@ def test_read_page_of_bytes(spark):
 
 
 def test_unclosed_markup_does_not_stop(spark):
-    assert H.read_page("<div id='article-body-transcript'><p>a <b")[0].startswith("a")
+    rows = spark.createDataFrame([("<div id='article-body-transcript'><p>a <b",)], "html string")
+    assert P.page_texts(rows).first().text == "a"
