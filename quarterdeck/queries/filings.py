@@ -6,32 +6,58 @@ from quarterdeck.operators import filings as FL
 from quarterdeck.queries.catalog import FIGURES_SQL, NEWS_SQL, RECORDS_SQL
 from quarterdeck.queries.registry import query
 from quarterdeck.queries.views import table
-from quarterdeck.sources.tables import first_period, read_facts, read_filings
+from quarterdeck.sources.tables import first_period, read_facts, read_filings, read_statements, statement_facts, statement_first_period
 
+# of every seventh filing the newer period is missing, as in a table of filings of different years
 WIDE = """
-    wide AS (SELECT accession, ord, label, abstract, dim, val AS "2001-06-30", val / 2 AS "2000-06-30" FROM {f_fact})"""
+    wide AS (SELECT accession, ord, label, abstract, dim, CASE WHEN cast(accession AS bigint) % 7 > 0 THEN val END AS "2001-06-30",
+             val / 2 AS "2000-06-30" FROM {f_fact}),
+    held AS (SELECT accession, count("2001-06-30") > 0 AS newer, count("2000-06-30") > 0 AS older FROM wide GROUP BY accession)"""
 
 
 def _wide(spark, folder):
     facts = table(spark, folder, "f_fact")
+    newer = F.when(F.col("accession").cast("long") % 7 > 0, F.col("val"))
     return facts.select("accession", "ord", F.lit("USD").alias("unit"), "label", "abstract", "dim",
-                        F.col("val").alias("2001-06-30"), (F.col("val") / 2).alias("2000-06-30"))
+                        newer.alias("2001-06-30"), (F.col("val") / 2).alias("2000-06-30"))
 
 
 @query("WITH " + WIDE + """
-    SELECT accession, ord, label, '2001-06-30' AS period, "2001-06-30" AS val FROM wide""")
+    SELECT accession, ord, label, CASE WHEN newer THEN '2001-06-30' ELSE '2000-06-30' END AS period,
+           CASE WHEN newer THEN "2001-06-30" ELSE "2000-06-30" END AS val
+    FROM wide JOIN held USING (accession) WHERE newer OR older""")
 def facts_first_period(spark, folder):
     return first_period(_wide(spark, folder)).select("accession", "ord", "label", "period", "val")
 
 
 @query("WITH " + WIDE + """
-    SELECT accession, ord, '2001-06-30' AS period, 0::bigint AS period_pos, "2001-06-30" AS val FROM wide
-    UNION ALL SELECT accession, ord, '2000-06-30', 1, "2000-06-30" FROM wide""")
+    SELECT accession, ord, '2001-06-30' AS period, 0::bigint AS period_pos, "2001-06-30" AS val FROM wide JOIN held USING (accession) WHERE newer
+    UNION ALL SELECT accession, ord, '2000-06-30', newer::int::bigint, "2000-06-30" FROM wide JOIN held USING (accession) WHERE older""")
 def facts_long(spark, folder):
     long = read_facts(_wide(spark, folder))
     return long.select("accession", "ord", "period", F.col("period_pos").cast("long").alias("period_pos"), "val")
 
 
+@query("""
+    SELECT accession, ord, 'Line ' || line AS label, is_abstract AS abstract, CASE kind WHEN 0 THEN '2001-06-30' ELSE '1999-12-31' END AS period,
+           CASE kind WHEN 0 THEN newest ELSE older END AS val
+    FROM {f_statement} WHERE kind < 2""")
+def statement_first(spark, folder):
+    """The first period of every filing, whatever periods the others have."""
+    first = statement_first_period(read_statements(table(spark, folder, "f_statement")))
+    return first.select("accession", "ord", "label", "abstract", "period", "val")
+
+
+@query("""
+    SELECT accession, ord, CASE kind WHEN 0 THEN '2001-06-30' ELSE '1999-12-31' END AS period, 0::bigint AS period_pos,
+           CASE kind WHEN 0 THEN newest ELSE older END AS val FROM {f_statement} WHERE kind < 2
+    UNION ALL SELECT accession, ord, '2000-06-30', 1, older FROM {f_statement} WHERE kind = 0""")
+def statement_periods(spark, folder):
+    """Every row of every filing under each period of its own filing."""
+    facts = statement_facts(read_statements(table(spark, folder, "f_statement")))
+    return facts.select("accession", "ord", "period", F.col("period_pos").cast("long").alias("period_pos"), "val")
+
+
 @query("WITH " + FIGURES_SQL + """
     SELECT accession, period, revenue, net_income, eps_diluted FROM chained""")
 def classified_facts(spark, folder):

@@ -88,6 +88,18 @@ VIEWS = {
                     WHEN l_linenumber IN (4, 5) THEN l_quantity / 10
                     ELSE round(l_extendedprice * 100) * 1000 END AS val
         FROM {lineitem}""",
+    # statement rows as JSON objects: a third of the filings has two periods, newest first, a third one and a column of
+    # units before it, a third none; of two-period filings every fifth row has no value in its first
+    "f_statement": """
+        SELECT cast(l_orderkey AS string) AS accession, l_linenumber * cast(1000000000000000000 AS bigint) + l_partkey AS ord,
+               '{{"label": "Line ' || cast(l_linenumber AS string) || '", "units": "USD", '
+               || CASE l_orderkey % 3 WHEN 0 THEN '"2001-06-30": ' || CASE WHEN l_partkey % 5 = 0 THEN 'null' ELSE cast(l_partkey AS string) END
+                        || ', "2000-06-30": ' || cast(l_suppkey AS string) || ', '
+                    WHEN 1 THEN '"1999-12-31": "' || cast(l_suppkey AS string) || '", ' ELSE '' END
+               || '"abstract": ' || CASE WHEN l_tax = 0.08 THEN 'true' ELSE 'false' END || ', "dimension": null}}' AS record,
+               l_orderkey % 3 AS kind, l_linenumber AS line, CASE WHEN l_partkey % 5 > 0 THEN cast(l_partkey AS double) END AS newest,
+               cast(l_suppkey AS double) AS older, l_tax = 0.08 AS is_abstract
+        FROM {lineitem}""",
     # news: every event of a user; errors have no date
     "f_news": """
         SELECT 'C' || lpad(cast(user_id AS string), 9, '0') AS ticker, event_id AS pos,

@@ -11,31 +11,68 @@ def read_filings(filings: DataFrame, form: str) -> DataFrame:
     return filings.filter(F.col("form") == form)
 
 
+KEYS = ["accession", "ord", "label", "abstract", "dim"]
+
+
+def read_statements(records: DataFrame) -> DataFrame:
+    """Statement rows as their filings have them: (accession, ord, record) to the keys and ``periods``.
+
+    ``record`` is the JSON object of one row: label, abstract, dimension, and a value under each period that this filing has.
+    Filings differ in their periods, so these are not columns but a list of (period, val) in the order of the object;
+    a key is a period when it begins with a digit. A value that is no number is null; a broken record has no periods.
+    """
+    read = records.select("accession", "ord", F.from_json("record", "map<string,string>").alias("_r"))
+    periods = F.transform(
+        F.filter(F.map_entries("_r"), lambda e: e["key"].rlike("^[0-9]")),
+        lambda e: F.struct(e["key"].alias("period"), e["value"].try_cast("double").alias("val")),
+    )
+    return read.select(
+        "accession", "ord", F.try_element_at("_r", F.lit("label")).alias("label"),
+        (F.try_element_at("_r", F.lit("abstract")) == "true").alias("abstract"), F.try_element_at("_r", F.lit("dimension")).alias("dim"),
+        F.coalesce(periods, F.array().cast("array<struct<period:string,val:double>>")).alias("periods"),
+    )
+
+
+def statement_facts(statements: DataFrame) -> DataFrame:
+    """One row per (row, period); ``period_pos`` is the period's place in its own filing."""
+    return statements.select(*KEYS, F.posexplode("periods").alias("period_pos", "p")).select(*KEYS, "p.period", "period_pos", "p.val")
+
+
+def statement_first_period(statements: DataFrame) -> DataFrame:
+    """Only the first period of each filing; rows without a period drop out."""
+    first = statements.select(*KEYS, F.get("periods", F.lit(0)).alias("p")).filter("p is not null")
+    return first.select(*KEYS, "p.period", F.lit(0).alias("period_pos"), "p.val")
+
+
 def period_columns(facts_wide: DataFrame) -> list[str]:
     return [c for c in facts_wide.columns if c[:1].isdigit()]
 
 
-def read_facts(facts_wide: DataFrame) -> DataFrame:
-    """Statement rows with one column per period, as one row per (row, period).
+def as_statements(facts_wide: DataFrame) -> DataFrame:
+    """A table with a column for each period of any filing, as statement rows with the periods of their own filing.
 
-    A column is a period when its name starts with a digit; ``period_pos``
-    keeps the column order.
+    A column is a period when its name starts with a digit, and a filing has it when some row of the filing has a value
+    there; which do is counted in one grouping, combined before the shuffle. A filing's row that is empty in
+    one of its periods keeps the period, with null.
     """
-    keys = ["accession", "ord", "label", "abstract", "dim"]
-    periods = F.array(*[
-        F.struct(F.lit(name).alias("period"), F.lit(i).alias("period_pos"), F.col(f"`{name}`").cast("double").alias("val"))
-        for i, name in enumerate(period_columns(facts_wide))
-    ])
-    return facts_wide.select(*keys, F.explode(periods).alias("p")).select(*keys, "p.*")
+    names = period_columns(facts_wide)
+    if not names:
+        return facts_wide.select(*KEYS, F.array().cast("array<struct<period:string,val:double>>").alias("periods"))
+    held = facts_wide.groupBy(F.col("accession").alias("_of")).agg(*[F.count(F.col(f"`{n}`")).alias(f"_{i}") for i, n in enumerate(names)])
+    own = held.select("_of", F.array(*[F.col(f"_{i}") > 0 for i in range(len(names))]).alias("_own"))
+    values = F.array(*[F.struct(F.lit(n).alias("period"), F.col(f"`{n}`").cast("double").alias("val")) for n in names])
+    rows = facts_wide.select(*KEYS, values.alias("_values")).join(own, F.col("accession").eqNullSafe(F.col("_of")))
+    return rows.select(*KEYS, F.filter("_values", lambda v, i: F.get("_own", i)).alias("periods"))
+
+
+def read_facts(facts_wide: DataFrame) -> DataFrame:
+    """Statement rows with one column per period, as one row per (row, period of its filing); see ``as_statements``."""
+    return statement_facts(as_statements(facts_wide))
 
 
 def first_period(facts_wide: DataFrame) -> DataFrame:
-    """Only the first period of a wide statement; later period columns are never read."""
-    name = period_columns(facts_wide)[0]
-    return facts_wide.select(
-        "accession", "ord", "label", "abstract", "dim",
-        F.lit(name).alias("period"), F.lit(0).alias("period_pos"), F.col(f"`{name}`").cast("double").alias("val"),
-    )
+    """Only the first period of each filing of a wide table."""
+    return statement_first_period(as_statements(facts_wide))
 
 
 def top_hits(hits: DataFrame, k: int, query: list[str]) -> DataFrame:
