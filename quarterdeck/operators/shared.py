@@ -1,6 +1,10 @@
 """Helpers of several operators."""
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +34,21 @@ def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     if folder and not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's address under ``spark.checkpoint.dir``, the one that all executors share.
+
+    Where that is unset a local session gets one on its own machine; on a
+    cluster, where other machines could not read it, that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='quarterdeck-')).rstrip('/')}/quarterdeck-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, address: str) -> bool:
+    """True when there is a file or folder at the address, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -1,5 +1,7 @@
 """Queries on prompts, completions, memos and briefs."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import prompts as PR
@@ -7,7 +9,8 @@ from quarterdeck.functions import text as X
 from quarterdeck.operators import briefs as B
 from quarterdeck.operators import pages as P
 from quarterdeck.operators import quarters as QT
-from quarterdeck.operators.completion import complete, run_stats as stats_of
+from quarterdeck.operators.completion import complete, complete_stored, observed, observed_stats, run_stats as stats_of
+from quarterdeck.operators.shared import scratch_folder, settled
 from quarterdeck.plans.brief import brief_companies
 from quarterdeck.queries.catalog import NEWS_SQL, RECORDS_SQL, documents
 from quarterdeck.queries.pages import BLOCKS_SQL, PAGE_NAMES_SQL, TEXTS_SQL, blocks, chunk_sql
@@ -25,6 +28,14 @@ def count_words(system: str, user: str):
     return f"{len(user)} of {len(system)}", len(user), 3
 
 
+_TICKS = itertools.count()
+
+
+def quarter_seconds() -> float:
+    """Stands in for a clock: a quarter of a second passes from one look to the next."""
+    return next(_TICKS) / 4
+
+
 def reply_sql(user: str, system: str) -> str:
     return (
         f"CASE WHEN {user} = '' OR {user} LIKE 'É%' THEN '' ELSE length({user}) || ' of ' || "
@@ -156,11 +167,14 @@ COMPLETED_SQL = f"""
     answered AS (SELECT conv_id, turn, role, text, {reply_sql("text", "Be brief.")} AS reply FROM {{f_turn}})"""
 
 
-def _completed(spark, folder):
+def _asked(spark, folder):
     turns = table(spark, folder, "f_turn")
-    prompts = turns.select("conv_id", "turn", F.col("role").alias("label"), F.lit("Be brief.").alias("system"),
-                           F.col("text").alias("user"))
-    return complete(prompts, count_words, wait=0)
+    return turns.select("conv_id", "turn", F.col("role").alias("label"), F.lit("Be brief.").alias("system"),
+                        F.col("text").alias("user"))
+
+
+def _completed(spark, folder):
+    return complete(_asked(spark, folder), count_words, wait=0, clock=quarter_seconds)
 
 
 @query("WITH " + COMPLETED_SQL + """
@@ -176,14 +190,51 @@ def completed(spark, folder):
 
 
 @query("WITH " + COMPLETED_SQL + """
+    SELECT conv_id, turn, role AS label, reply, CASE WHEN reply = '' THEN 3 ELSE 1 END::bigint AS attempts,
+           role = 'user' AND reply <> '' AS from_first_run FROM answered""")
+def completed_resumed(spark, folder):
+    """A run that got no further than the user turns, then one over all turns, on one store of replies."""
+    prompts, store = _asked(spark, folder), scratch_folder(spark)
+    complete_stored(prompts.filter("label = 'user'"), first_run, store, parts=8, wait=0)
+    found = complete_stored(prompts, second_run, store, parts=8, wait=0)
+    return found.select("conv_id", "turn", "label", F.regexp_replace("reply", "^(first|second) ", "").alias("reply"),
+                        F.col("attempts").cast("long").alias("attempts"), F.col("reply").startswith("first ").alias("from_first_run"))
+
+
+def first_run(system: str, user: str):
+    reply, *tokens = count_words(system, user)
+    return "first " + reply, *tokens
+
+
+def second_run(system: str, user: str):
+    reply, *tokens = count_words(system, user)
+    return "second " + reply, *tokens
+
+
+STATS_SQL = "WITH " + COMPLETED_SQL + """
     SELECT role AS label, count(*) AS calls, count(*) FILTER (reply = '') AS empty_replies,
            sum(CASE WHEN reply = '' THEN 3 ELSE 1 END)::bigint AS attempts,
            sum(CASE WHEN reply = '' THEN 0 ELSE length(text) END)::bigint AS tokens_in,
            sum(CASE WHEN reply = '' THEN 0 ELSE 3 END)::bigint AS tokens_out,
-           sum(length(reply))::bigint AS result_chars, max(length(reply))::bigint AS longest_result
-    FROM answered GROUP BY role""")
+           sum(length(reply))::bigint AS result_chars, max(length(reply))::bigint AS longest_result,
+           round(count(*) FILTER (reply <> '') / 4, 1) AS elapsed_seconds,
+           round(count(*) FILTER (reply <> '') / 4 / count(*), 1) AS average_seconds,
+           round(max(CASE WHEN reply <> '' THEN 0.25::double ELSE 0 END), 1) AS slowest_seconds
+    FROM answered GROUP BY role"""
+
+
+@query(STATS_SQL)
 def run_stats(spark, folder):
-    return stats_of(_completed(spark, folder)).drop("elapsed_seconds", "average_seconds", "slowest_seconds")
+    return stats_of(_completed(spark, folder))
+
+
+@query(STATS_SQL)
+def run_stats_observed(spark, folder):
+    """The same counts, made while the replies are written."""
+    labels = ["user", "assistant", "system"]
+    replies, observation = observed(_completed(spark, folder), labels)
+    replies.write.parquet(scratch_folder(spark))
+    return observed_stats(spark, observation, labels)
 
 
 @query(f"""
@@ -235,11 +286,16 @@ BRIEF_SQL = RECORDS_SQL + "," + SENSED_SQL + """,
         || chr(10) || chr(10) || 'Write one investment committee memo from both analyses.' AS user FROM analysed)"""
 
 
+def settled_in(spark):
+    folder, number = scratch_folder(spark), itertools.count()
+    return lambda replies: settled(replies, f"{folder}/{next(number)}")
+
+
 @query("WITH " + BRIEF_SQL + """
     SELECT company, ticker, quarter, previous_quarter, earnings_analysis, sentiment_analysis,
            """ + reply_sql("user", PR.MEMO_SYSTEM) + """ AS memo, ticker || '_memo_20020101_093005.md' AS memo_file
     FROM memo""")
 def briefs(spark, folder):
     """The brief of every company with quarters; the seconds are left out, as they do not repeat."""
-    made = brief_companies(documents(spark, folder), count_words, F.lit(AT).cast("timestamp"), wait=0)
+    made = brief_companies(documents(spark, folder), count_words, F.lit(AT).cast("timestamp"), settle=settled_in(spark), wait=0)
     return made.drop("elapsed_seconds")

@@ -111,6 +111,17 @@ def transcript_index(spark, folder):
     return index.select("ticker", "company", "total_transcripts", F.array_join(shown, "; ").alias("calls"))
 
 
+@query(f"""
+    SELECT ticker, min(company) AS company, count(*) AS total_transcripts,
+           string_agg('Q' || quarter || ' ' || year || ' ' || length(full_text), '; ' ORDER BY event_no) FILTER (n <= 8) AS calls
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_no) AS n FROM {{f_call}}) c GROUP BY ticker""")
+def stored_calls(spark, folder):
+    """All stored calls are counted, the first eight are listed."""
+    raw = CA.raw_transcripts(table(spark, folder, "f_call"), fetched_at=F.lit("2002-01-01").cast("timestamp"))
+    shown = F.transform("transcripts", lambda t: F.concat_ws(" ", t["quarter_label"], t["transcript_length"].cast("string")))
+    return CA.transcript_index(raw).select("ticker", "company", "total_transcripts", F.array_join(shown, "; ").alias("calls"))
+
+
 @query(f"""
     SELECT event_no, CASE WHEN event_no % 4 = 0 THEN company || ' Speaker'
                           ELSE array_to_string({NAMES_SQL}, '; ') END AS speakers,
