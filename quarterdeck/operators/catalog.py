@@ -53,9 +53,24 @@ def lookup(registry: DataFrame, key: str) -> DataFrame:
     return registry.filter(matches).orderBy("pos").limit(1)
 
 
-def company_document(registry: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """The whole document of one company."""
-    return docs.join(lookup(registry, key).select("file"), "file", "left_semi")
+def company_document(registry: DataFrame, docs: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """The whole document of one company.
+
+    ``docs`` with a ``bucket`` (``sinks.write_company_table``, with the same
+    number of buckets) are pruned by the file that the lookup finds: the scan
+    reads one folder. Documents that are still to be made are best made of one
+    company only: see ``one_company``.
+    """
+    found = lookup(registry, key).select("file")
+    if "bucket" not in docs.columns:
+        return docs.join(found, "file", "left_semi")
+    placed = found.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(buckets)).cast("int"))
+    return docs.join(F.broadcast(placed), ["bucket", "file"], "left_semi")  # one row at most
+
+
+def one_company(registry: DataFrame, companies: DataFrame, key: str) -> DataFrame:
+    """The rows of ``companies`` (with ``file``) that the key finds: one, to make one document of instead of all."""
+    return companies.join(F.broadcast(lookup(registry, key).select("file")), "file", "left_semi")
 
 
 def require_company(registry: DataFrame, docs: DataFrame, key: str) -> DataFrame:

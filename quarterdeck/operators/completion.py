@@ -1,6 +1,7 @@
 """Batch completion of prompts by a function that the caller supplies."""
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,12 +77,15 @@ STORED = T.StructType([T.StructField("prompt_key", T.StringType()), *OUTCOME])
 
 
 def stored_replies(spark: SparkSession, store: str) -> DataFrame:
-    """The replies in a store, one for each prompt: an answer rather than a failure, of several the longest."""
-    if not exists(spark, store):
+    """The replies in a store, one for each prompt: an answer rather than a failure, of several the longest.
+
+    Every run has a folder of its own: scans of one folder before and after it was written to would count as the same to
+    Spark, which then reuses the earlier one."""
+    if not exists(spark, f"{store}/run-*"):
         return spark.createDataFrame([], STORED)
     outcome = F.struct(*[F.col(f.name) for f in OUTCOME])
     best = F.max_by(outcome, F.struct(F.col("latency").isNotNull(), F.length("reply"), "reply"))
-    return spark.read.schema(STORED).parquet(store).groupBy("prompt_key").agg(best.alias("_o")).select("prompt_key", "_o.*")
+    return spark.read.schema(STORED).parquet(f"{store}/run-*").groupBy("prompt_key").agg(best.alias("_o")).select("prompt_key", "_o.*")
 
 
 def complete_stored(
@@ -103,8 +107,7 @@ def complete_stored(
     asked = distinct.join(known, "prompt_key", "left_anti").repartition(parts, "prompt_key")
     replies = complete(asked, fn, **completion).select(*STORED.names)
     # version 2 of the commit algorithm moves a task's files when the task commits, not when the job does
-    writer = replies.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.parquet(store)
+    replies.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{store}/run-{uuid.uuid4().hex}")
     found = keyed.join(stored_replies(spark, store), "prompt_key", "left").drop("prompt_key")
     return found.withColumn("result_chars", F.length("reply").cast("long"))
 

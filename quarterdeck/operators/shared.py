@@ -48,7 +48,8 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{(root or tempfile.mkdtemp(prefix='quarterdeck-')).rstrip('/')}/quarterdeck-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, address: str) -> bool:
-    """True when there is a file or folder at the address, in whatever file system it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(address)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """True when there is a file or folder at an address or of a pattern, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0

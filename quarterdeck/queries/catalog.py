@@ -5,9 +5,13 @@ from pyspark.sql import functions as F
 from quarterdeck import fixed_values as V
 from quarterdeck.operators import catalog as C
 from quarterdeck.operators import quarters as QT
+from quarterdeck.operators.shared import scratch_folder
 from quarterdeck.plans.filings import registry_updates, seed_companies
 from quarterdeck.queries.registry import query, tenth, text
 from quarterdeck.queries.views import AS_OF, table
+from quarterdeck.sinks.files import write_company_table
+from quarterdeck.sinks.registry import commit_registry, read_registry_version
+from quarterdeck.sources.documents import read_company_table
 from quarterdeck.sources.tables import company_info
 
 
@@ -87,19 +91,37 @@ def unregistered_documents(spark, folder):
     return C.unregistered(table(spark, folder, "f_registry"), docs).select("ticker", "company")
 
 
-@query("WITH " + LIST_SIZES + """
+ONE_SQL = "WITH " + LIST_SIZES + """
     SELECT c.ticker, c.company, c.sector, '2002-01-01' AS last_updated, coalesce(n_quarters, 0) AS n_quarters,
            coalesce(n_news, 0) AS n_news, coalesce(n_annual, 0) AS n_annual
     FROM {f_company} c LEFT JOIN sizes s ON s.ticker = c.ticker
-    WHERE lower(c.company) = 'customer#000000007' AND c.file IN (SELECT file FROM {f_registry})""")
-def company_document(spark, folder):
-    found = C.company_document(table(spark, folder, "f_registry"), documents(spark, folder), "CUSTOMER#000000007")
+    WHERE lower(c.company) = 'customer#000000007' AND c.file IN (SELECT file FROM {f_registry})"""
+
+
+def _one(found):
     return found.select(
         "ticker", "company", "sector", "last_updated", F.size("transcripts").cast("long").alias("n_quarters"),
         F.size("news").cast("long").alias("n_news"), F.size("annual_filings").cast("long").alias("n_annual"),
     )
 
 
+@query(ONE_SQL)
+def company_document(spark, folder):
+    """One company's document, made of its own filings and facts only."""
+    registry, key = table(spark, folder, "f_registry"), "CUSTOMER#000000007"
+    companies = C.one_company(registry, table(spark, folder, "f_company"), key).select("ticker", "company", "sector")
+    filings = table(spark, folder, "f_filing").join(F.broadcast(companies.select("ticker")), "ticker", "left_semi")
+    return _one(seed_companies(companies, filings, table(spark, folder, "f_fact"), last_updated=as_of()))
+
+
+@query(ONE_SQL)
+def stored_document(spark, folder):
+    """The same document out of the written table of all companies: one folder of it is read."""
+    path = scratch_folder(spark)
+    write_company_table(documents(spark, folder, figures=False), path)
+    return _one(C.company_document(table(spark, folder, "f_registry"), read_company_table(spark, path), "CUSTOMER#000000007"))
+
+
 NEWS_SQL = """
     code_list AS (SELECT accession, list_filter(list_transform(string_split(coalesce(items, ''), ','),
                   lambda x: trim(x)), lambda x: x <> '') AS codes FROM {f_filing} WHERE form = '8-K'),
@@ -215,6 +237,22 @@ def registry_upsert(spark, folder):
     )
 
 
+@query("""
+    WITH updates AS (SELECT ticker, company || ' Inc.' AS name, pos AS update_no FROM {f_company} WHERE sector <> 'FURNITURE'),
+    fresh AS (SELECT u.* FROM updates u WHERE ticker NOT IN (SELECT ticker FROM {f_registry}))
+    SELECT pos, coalesce(u.name, r.name) AS name, r.ticker, 2::bigint AS versions FROM {f_registry} r LEFT JOIN updates u ON r.ticker = u.ticker
+    UNION ALL SELECT (SELECT max(pos) + 1 FROM {f_registry}) + update_no - (SELECT min(update_no) FROM fresh), name, ticker, 2 FROM fresh""")
+def registry_versions(spark, folder):
+    """The registry as its second version has it: committed, read, updated and committed to the same address."""
+    address = scratch_folder(spark)
+    commit_registry(full_registry(spark, folder), address)
+    companies = table(spark, folder, "f_company").filter("sector <> 'FURNITURE'")
+    updates = companies.select("ticker", F.concat("company", F.lit(" Inc.")).alias("name"), F.lit(0).cast("long").alias("transcript_count"),
+                               F.lit(0).cast("long").alias("news_items"), F.col("pos").alias("update_no"))
+    last = commit_registry(C.upsert_registry(read_registry_version(spark, address), updates), address)
+    return read_registry_version(spark, address).select("pos", "name", "ticker", F.lit(last).cast("long").alias("versions"))
+
+
 @query("""
     SELECT ticker, CASE WHEN balance < 0 THEN ticker WHEN sector = 'MACHINERY' THEN company
                         ELSE 'Short ' || company END AS company,

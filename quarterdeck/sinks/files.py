@@ -1,9 +1,11 @@
-"""Documents, raw calls and memos as files, partitioned by company."""
+"""Documents, raw calls and memos as files."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck import schemas as S
+from quarterdeck.functions import text as X
+from quarterdeck.sinks.named_files import write_named
 
 
 def _replace(df: DataFrame, *partitions: str):
@@ -14,44 +16,58 @@ def _replace(df: DataFrame, *partitions: str):
     )
 
 
+def _as_json(df: DataFrame, names: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(n) for n in names if n in df.columns]))
+
+
 def write_companies(docs: DataFrame, path: str) -> None:
-    """One JSON document per company in the folder ``key=<ticker in lower case>``."""
-    _replace(docs.withColumn("key", F.lower("ticker")), "key").json(path)
+    """One JSON document per company, in the file ``<ticker in lower case>.json``; other companies' files stay."""
+    content = _as_json(docs, S.COMPANY_DOC.names)
+    write_named(docs.select(X.document_file(F.col("ticker")).alias("file"), content.alias("content")), path)
+
 
+def write_company_table(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Documents as Parquet, for queries that read few columns or few companies.
+
+    A file name decides which of ``buckets`` folders a document is in, so a
+    lookup of one company (``catalog.company_document``) reads one folder, and
+    of its row groups, sorted by file, those that may have it.
+    """
+    named = docs if "file" in docs.columns else docs.withColumn("file", X.document_file(F.col("ticker")))
+    placed = named.withColumn("bucket", company_bucket(F.col("file"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "file")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-def write_company_table(docs: DataFrame, path: str) -> None:
-    """Documents as Parquet, for queries that read few columns."""
-    docs.write.mode("overwrite").parquet(path)
+
+def company_bucket(file: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(buckets)).cast("int")
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
     """The registry as one JSON document, entries in the order of ``read_registry``, appended ones last.
 
-    The registry is one file by its format, with a short entry for each company; this is its one writer.
+    The format is one file, so one task writes it, entry by entry as they come
+    sorted; for a registry of many companies or writers see ``sinks.registry``.
     """
     fields = S.REGISTRY_FILE["companies"].dataType.elementType.names
-    place = [F.coalesce("appended", F.lit(False)).alias("appended")] if "appended" in registry.columns else []
-    entry = F.struct(*[F.col(c) for c in fields])
-    rows = registry.select(F.struct(*place, "pos").alias("place"), entry.alias("entry"))
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("place", "entry")))["entry"].alias("companies"))
-    listed.coalesce(1).write.mode("overwrite").json(path)
+    appended = F.coalesce("appended", F.lit(False)) if "appended" in registry.columns else F.lit(False)
+    entries = registry.select(F.lit(1).alias("part"), appended.alias("late"), F.col("pos").cast("long").alias("pos"), _as_json(registry, fields).alias("value"))
+    first = entries.agg(F.min(F.struct("late", "pos")).alias("first")).first()["first"] or (False, 0)
+    comma = F.when((F.col("late") == first[0]) & (F.col("pos") == first[1]), "").otherwise(",")
+    lines = entries.select("part", "late", "pos", F.concat(comma, "value").alias("value"))
+    ends = registry.sparkSession.createDataFrame([(0, False, 0, '{"companies": ['), (2, False, 0, "]}")], lines.schema)
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("part", "late", "pos").select("value").write.mode("overwrite").text(path)
 
 
 def write_transcript_index(index: DataFrame, path: str) -> None:
-    """The index of each company's calls as JSON in the folder ``key=<ticker in lower case>``."""
-    _replace(index.withColumn("key", F.lower("ticker")), "key").json(path)
+    """The index of each company's calls as ``<ticker in lower case>/_index.json``."""
+    content = _as_json(index, ["company", "ticker", "fetched_at", "total_transcripts", "transcripts"])
+    write_named(index.select(F.concat(F.lower("ticker"), F.lit("/_index.json")).alias("file"), content.alias("content")), path)
 
 
 def write_raw_transcripts(raw: DataFrame, path: str) -> None:
-    """Raw calls as JSON, by company, year and quarter.
-
-    The company comes first and then the quarter, so that the calls of a large
-    company are spread over many tasks.
-    """
-    keyed = raw.select(
-        "*", F.lower("ticker").alias("key"), F.col("year").alias("key_year"), F.col("quarter").alias("key_quarter")
-    )
-    _replace(keyed, "key", "key_year", "key_quarter").json(path)
+    """Raw calls as ``<ticker in lower case>/Q<quarter>_<year>.json``, a file a call, so a large company is spread over tasks."""
+    file = F.concat(F.lower("ticker"), F.lit("/"), X.transcript_file(F.col("year"), F.col("quarter")))
+    write_named(raw.select(file.alias("file"), _as_json(raw, S.RAW_TRANSCRIPT.names).alias("content")), path)
 
 
 def write_memos(briefs: DataFrame, path: str) -> None:

@@ -13,10 +13,12 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
     them once to Parquet (``sinks.write_company_table``) for repeated queries.
     """
     docs = spark.read.schema(S.COMPANY_DOC).option("multiLine", True).json(path)
-    # a document that ``sinks.write_companies`` wrote is known by its folder, any other by its own name
-    folder = F.regexp_extract("_metadata.file_path", "/key=([^/]+)/[^/]*$", 1)
-    file = F.when(folder != "", F.concat(folder, F.lit(".json"))).otherwise(F.col("_metadata.file_name"))
-    return docs.select(*S.COMPANY_DOC.names, file.alias("file")).filter(F.col("ticker").isNotNull())
+    return docs.select(*S.COMPANY_DOC.names, F.col("_metadata.file_name").alias("file")).filter(F.col("ticker").isNotNull())
+
+
+def read_company_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``sinks.write_company_table``; its ``bucket`` lets a lookup read one folder."""
+    return spark.read.parquet(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -2,22 +2,30 @@
 
 import datetime as dt
 import json
+import os
 import sys
+import time
+import uuid
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quarterdeck import schemas as S
 from quarterdeck.operators import briefs as B
 from quarterdeck.operators import catalog as C
-from quarterdeck.operators.completion import complete, run_stats
+from quarterdeck.operators import filings as FL
+from quarterdeck.operators.completion import complete, complete_stored, run_stats, stored_replies
 from quarterdeck.operators.shared import settled
 from quarterdeck.plans.brief import brief_companies
 from quarterdeck.operators import calls as CA
 from quarterdeck.plans.filings import registry_updates, seed_companies
 from quarterdeck.plans.pages import pages_to_documents, snippets_to_documents
 from quarterdeck.sinks import files
+from quarterdeck.sinks import registry as RG
+from quarterdeck.sinks.named_files import write_named
 from quarterdeck.sources import documents as D
+from quarterdeck.sources import tables as ST
 # the stand-in models below are sent to the tasks, which cannot import a test file
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,7 +168,7 @@ def test_documents_round_trip(spark, tmp_path):
     docs = seeded(spark)
     path = str(tmp_path / "json")
     files.write_companies(docs, path)
-    read = D.read_companies(spark, path + "/*/*.json")
+    read = D.read_companies(spark, path + "/*.json")
     plain = [c for c in docs.columns if c != "fetcher"]
     ours = {r.ticker: r.asDict(True) for r in read.select(*plain).collect()}
     theirs = {r.ticker: r.asDict(True) for r in docs.select(*plain).collect()}
@@ -178,12 +186,20 @@ def test_documents_round_trip(spark, tmp_path):
     assert [(r.pos, r.ticker) for r in again.orderBy("pos").collect()] == [(0, "AAA"), (1, "BBB")]
     assert [r.ticker for r in C.company_document(again, read, "beta").collect()] == ["BBB"]
     assert C.registered(again, read).count() == 2
+    again_registry = again
     # writing one company again replaces it alone
     files.write_companies(docs.filter("ticker = 'AAA'").withColumn("sector", F.lit("New")), path)
-    again = {r.ticker: r.sector for r in D.read_companies(spark, path + "/*/*.json").collect()}
+    again = {r.ticker: r.sector for r in D.read_companies(spark, path + "/*.json").collect()}
     assert again == {"AAA": "New", "BBB": "Food"}
     files.write_company_table(docs, str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+    table = D.read_company_table(spark, str(tmp_path / "table"))
+    assert table.count() == 2
+    # a lookup in the table is pruned to one folder
+    one = C.company_document(again_registry, table, "beta")
+    assert [r.ticker for r in one.collect()] == ["BBB"]
+    assert "dynamicpruning" in one._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(p.name for p in (tmp_path / "json").iterdir()) == ["aaa.json", "bbb.json"]
+    assert json.loads((tmp_path / "json" / "bbb.json").read_text())["ticker"] == "BBB"
 
 
 def test_registry_and_foreign_files(spark, tmp_path):
@@ -206,16 +222,134 @@ def test_raw_transcripts_and_memos_round_trip(spark, tmp_path):
           "fetched_at": dt.datetime(2024, 1, 1), "key_numbers": {"eps_mentioned": "$1"}} for q in (1, 2)],
         S.RAW_TRANSCRIPT)
     files.write_raw_transcripts(raw, str(tmp_path / "raw"))
-    read = D.read_raw_transcripts(spark, str(tmp_path / "raw" / "*" / "*" / "*"))
+    assert sorted(p.name for p in (tmp_path / "raw" / "aaa").iterdir()) == ["Q1_2024.json", "Q2_2024.json"]
+    read = D.read_raw_transcripts(spark, str(tmp_path / "raw" / "*" / "*"))
     assert sorted((r.ticker, r.year, r.quarter, r.full_text) for r in read.collect()) == [
         ("AAA", 2024, 1, "t1"), ("AAA", 2024, 2, "t2")]
     index = CA.transcript_index(read)
-    files.write_transcript_index(index, str(tmp_path / "index"))
-    entry = spark.read.json(str(tmp_path / "index")).first()
-    assert (entry.total_transcripts, [t.file for t in entry.transcripts]) == (2, ["Q1_2024.json", "Q2_2024.json"])
+    files.write_transcript_index(index, str(tmp_path / "raw"))
+    entry = json.loads((tmp_path / "raw" / "aaa" / "_index.json").read_text())
+    assert (entry["total_transcripts"], [t["file"] for t in entry["transcripts"]]) == (2, ["Q1_2024.json", "Q2_2024.json"])
+    assert D.read_raw_transcripts(spark, str(tmp_path / "raw" / "*")).count() == 2  # the index is no call
     memos = spark.createDataFrame([("AAA", "AAA_memo_1.md", "# Memo\n\ntext"), ("BBB", "BBB_memo_1.md", "x")],
                                   "ticker string, memo_file string, memo string")
     files.write_memos(memos, str(tmp_path / "memos"))
     back = D.read_memos(spark, str(tmp_path / "memos"))
     assert sorted((r.ticker, r.memo_file, r.memo.rstrip("\n")) for r in back.collect()) == sorted(
         tuple(r) for r in memos.collect())
+
+
+def test_named_files_of_a_failing_job_leave_nothing(spark, tmp_path):
+    path = str(tmp_path / "named")
+    rows = spark.createDataFrame([(f"d{k % 3}/f{k}.txt", str(k)) for k in range(20)], "file string, content string")
+    write_named(rows, path)
+    assert {str(p.relative_to(path)): p.read_text() for p in (tmp_path / "named").rglob("*.txt")} == {f"d{k % 3}/f{k}.txt": str(k) for k in range(20)}
+    for bad in ([("new.txt", "x"), ("same.txt", "1"), ("same.txt", "2")], [("new.txt", "x"), ("../out.txt", "1")]):
+        with pytest.raises(Exception, match="two rows|no name"):
+            write_named(spark.createDataFrame(bad, "file string, content string"), path)
+    assert not (tmp_path / "named" / "new.txt").exists() and sorted(p.name for p in (tmp_path / "named").iterdir()) == ["d0", "d1", "d2"]
+
+
+def test_registry_versions(spark, tmp_path):
+    address = str(tmp_path / "registry")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.REGISTRY_ENTRY.fields)
+    rest = ("", [], 0, 0, None, [])
+    entries = spark.createDataFrame([(k, f"N{k}", f"T{k}", f"t{k}.json", *rest) for k in range(50)], f"pos long, {kinds}")
+    assert RG.commit_registry(entries, address) == 1
+    updates = spark.createDataFrame([("T3", "New 3", 1, 0, 1), ("Z", "Zed", 1, 0, 2), ("Y", "Why", 1, 0, 1)],
+                                    "ticker string, name string, transcript_count long, news_items long, update_no long")
+    assert RG.commit_registry(C.upsert_registry(RG.read_registry_version(spark, address), updates), address) == 2
+    after = [(r.pos, r.name) for r in RG.read_registry_version(spark, address).orderBy("pos").collect()]
+    assert after == [(k, "New 3" if k == 3 else f"N{k}") for k in range(50)] + [(50, "Why"), (51, "Zed")]
+    # a writer that fails, and one that comes too late, change nothing
+    broken = RG.read_registry_version(spark, address).withColumn("name", F.raise_error(F.lit("no")).cast("string"))
+    for failing in (lambda: RG.commit_registry(broken, address), lambda: RG.commit_registry(entries, address, after=1)):
+        with pytest.raises(Exception):
+            failing()
+    assert RG.registry_versions(spark, address) == [1, 2] and sorted(p.name for p in (tmp_path / "registry").iterdir()) == ["version-00000001", "version-00000002"]
+    assert [(r.pos, r.name) for r in RG.read_registry_version(spark, address, 1).orderBy("pos").collect()] == [(k, f"N{k}") for k in range(50)]
+
+
+def test_a_run_that_stops_asks_only_for_the_rest(spark, tmp_path):
+    """Tasks that ended before the job failed keep their replies; equal prompts are asked once."""
+    store, asked = str(tmp_path / "store"), tmp_path / "asked"
+    asked.mkdir()
+    prompts = spark.createDataFrame([(k, "l", "s", f"u{k % 30}") for k in range(60)], "k int, label string, system string, user string")
+
+    def fn(system, user):
+        (asked / f"{user}-{uuid.uuid4().hex}").touch()
+        if user == "u7" and not (asked / "mended").exists():
+            time.sleep(3)  # others end meanwhile
+            os._exit(1)
+        return user.upper(), 1, 1
+
+    with pytest.raises(Exception):
+        complete_stored(prompts, fn, store, parts=30, wait=0)
+    kept = {r.reply for r in stored_replies(spark, store).collect()}
+    assert 0 < len(kept) < 30
+    (asked / "mended").touch()
+    before = len(list(asked.iterdir()))
+    rows = complete_stored(prompts, fn, store, parts=30, wait=0).collect()
+    assert sorted((r.k, r.reply, r.result_chars) for r in rows) == [(k, f"U{k % 30}", len(f"U{k % 30}")) for k in range(60)]
+    assert len(list(asked.iterdir())) - before == 30 - len(kept)
+    complete_stored(prompts, fn, store, parts=30, wait=0)
+    assert len(list(asked.iterdir())) - before == 30 - len(kept)
+
+
+def test_failed_prompts_are_asked_again(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "l", "s", "a"), (2, "l", None, "b")], "k int, label string, system string, user string")
+
+    def fails(system, user):
+        raise ValueError("no")
+
+    first = complete_stored(prompts, fails, str(tmp_path / "store"), parts=2, max_retries=0, wait=0).collect()
+    assert [(r.reply, r.attempts) for r in first] == [("", 1), ("", 1)]
+    again = complete_stored(prompts, lambda s, u: u * 2, str(tmp_path / "store"), parts=2, wait=0).collect()
+    assert sorted((r.k, r.reply) for r in again) == [(1, "aa"), (2, "bb")]
+
+
+def test_briefs_need_a_way_to_settle(spark):
+    with pytest.raises(ValueError, match="settle or store"):
+        brief_companies(seeded(spark), lambda s, u: u, F.lit("2024-07-15 01:02:03").cast("timestamp"))
+
+
+def test_stored_briefs(spark, tmp_path):
+    """With a store of replies, briefs that are made again ask nothing."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def fn(system, user):
+        (calls / uuid.uuid4().hex).touch()
+        return f"{len(user)}"
+
+    at = F.lit("2024-07-15 01:02:03").cast("timestamp")
+    made = [brief_companies(seeded(spark), fn, at, store=str(tmp_path / "store"), wait=0, parts=2).drop("elapsed_seconds").collect() for _ in range(2)]
+    assert sorted(made[0]) == sorted(made[1]) and len(list(calls.iterdir())) == 3 * len(made[0])
+
+
+def test_statements_keep_the_periods_of_their_filing(spark):
+    records = [("A", 0, '{"label": "Revenue", "2024-12-31": 9e9, "2023-12-31": null, "abstract": false}'),
+               ("B", 0, '{"label": "Revenue", "units": "USD", "2024-09-30": "7e9", "abstract": true, "dimension": "Segment"}'),
+               ("C", 0, '{"label": "Revenue"}'), ("D", 0, "no json"), ("E", 0, None)]
+    read = ST.read_statements(spark.createDataFrame(records, "accession string, ord int, record string"))
+    first = {r.accession: (r.period, r.val, r.abstract, r.dim) for r in ST.statement_first_period(read).collect()}
+    assert first == {"A": ("2024-12-31", 9e9, False, None), "B": ("2024-09-30", 7e9, True, "Segment")}
+    assert sorted((r.accession, r.period, r.period_pos, r.val) for r in ST.statement_facts(read).collect() if r.val) == [
+        ("A", "2024-12-31", 0, 9e9), ("B", "2024-09-30", 0, 7e9)]
+    wide = spark.createDataFrame([("A", 0, "Revenue", False, None, 9e9, None), ("A", 1, "Net income", False, None, None, None), ("B", 0, "Revenue", False, None, None, 7e9)],
+                                 "accession string, ord int, label string, abstract boolean, dim string, `2024-12-31` double, `2024-09-30` double")
+    assert sorted((r.accession, r.ord, r.period, r.val or 0) for r in ST.first_period(wide).collect()) == [
+        ("A", 0, "2024-12-31", 9e9), ("A", 1, "2024-12-31", 0), ("B", 0, "2024-09-30", 7e9)]
+    assert ST.read_facts(wide).count() == 3
+    figures = {r.accession: r.revenue for r in FL.classify_facts(ST.first_period(wide)).collect()}
+    assert figures == {"A": 9e9, "B": 7e9}
+
+
+def test_all_stored_calls_are_counted(spark):
+    raw = spark.createDataFrame([("AAA", "Alpha", 2000 + k // 4, k % 4 + 1) for k in range(40)] + [("BBB", "Beta", 2001, 1)], "ticker string, company string, year int, quarter int")
+    raw = raw.select("*", F.lit("t").alias("full_text"), F.lit("p").alias("prepared_remarks"), F.lit("q").alias("questions_and_answers"), F.lit("Q").alias("quarter_label"),
+                     F.lit("").alias("conference_date"), F.array(F.lit("A")).alias("speakers"), F.lit(1).cast("long").alias("transcript_length"),
+                     F.lit(None).cast(S.FIGURES).alias("key_numbers"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    shown = {r.ticker: (r.total_transcripts, [t.file for t in r.transcripts]) for r in CA.transcript_index(raw, 3).collect()}
+    assert shown == {"AAA": (40, ["Q1_2000.json", "Q2_2000.json", "Q3_2000.json"]), "BBB": (1, ["Q1_2001.json"])}
+    assert {r.ticker: len(r.transcripts) for r in CA.transcript_index(raw, None).collect()} == {"AAA": 40, "BBB": 1}
