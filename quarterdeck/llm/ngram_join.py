@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.shared import joined_on_groups, written
@@ -254,7 +254,8 @@ def tree_links(
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (smallest node of its component) for the nodes of links (a, b). Each round is a table in the shared folder."""
+    """node, root (smallest node of its component) for the nodes of links (a, b). Each round is a table in the shared folder,
+    and counts the nodes it moved while it is written."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"))
     parents = written(edges.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
@@ -262,12 +263,13 @@ def components(links: DataFrame) -> DataFrame:
         lifted = parents.join(above, "root").select("node", "root", "over")
         beside = edges.join(lifted.select(F.col("node").alias("other"), F.col("over").alias("beside")), "other")
         lowest = beside.groupBy("node").agg(F.min("beside").alias("low"))
-        met = lifted.join(lowest, "node")
-        offers = met.select("node", F.least("over", "low").alias("root")).union(met.select(F.col("root").alias("node"), F.least("over", "low").alias("root")))
-        after = written(offers.groupBy("node").agg(F.min("root").alias("root")))
-        if after.join(parents, ["node", "root"], "left_anti").isEmpty():
-            return after
-        parents = after
+        met = lifted.join(lowest, "node").select("node", "root", F.least("over", "low").alias("low"))
+        offers = met.select("node", F.explode(F.array(F.struct("node", "root"), F.struct(F.col("root").alias("node"), F.lit(None).cast("long").alias("root")))).alias("to"), "low")
+        after = offers.groupBy(F.col("to.node").alias("node")).agg(F.min("low").alias("root"), F.max("to.root").alias("before"))
+        moved = Observation()
+        parents = written(after.observe(moved, F.count_if(F.col("root") != F.col("before")).alias("moved")).select("node", "root"))
+        if not moved.get["moved"]:
+            return parents
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.shared import written
+from quarterdeck.llm.shared import joined_on_groups, written
 from quarterdeck.llm.words import SHINGLE_WORDS, Run, runs, shingles
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_stutters")
@@ -152,16 +152,15 @@ def consistency(share: float, freedom: int) -> float:
 
 
 def grouped(rows: DataFrame, least_rows: int) -> DataFrame:
-    """rows with `peers`, the name of the group whose estimate a row is held against."""
-    own = [F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))]
-    rows = rows.withColumn("own_lang", own[0]).withColumn("own_source", own[1])
-    sizes = rows.where("not base_failed").groupBy("own_lang", "own_source").agg(F.count("*").alias("size"))
-    whole = F.concat_ws("\x1f", "own_lang", "own_source")
-    small = F.when(F.col("size") >= least_rows, whole).otherwise(F.concat(F.col("own_lang"), F.lit("\x1f\x1f")))
-    named = sizes.withColumn("name", small)
+    """rows with `peers`, the name of the group whose estimate a row is held against: language and source, the language, or all,
+    the first of these that has least_rows rows. Rows of a group with a large part of the table stay where they are."""
+    lang = F.coalesce("lang", F.lit(""))
+    rows = rows.withColumn("own_group", F.concat_ws("\x1f", lang, F.coalesce("source", F.lit(""))))
+    sizes = rows.groupBy("own_group").agg(F.min(lang).alias("lang"), F.count("*").alias("members"), F.count_if(~F.col("base_failed")).alias("size"))
+    named = sizes.withColumn("name", F.when(F.col("size") >= least_rows, F.col("own_group")).otherwise(F.concat("lang", F.lit("\x1f\x1f"))))
     pools = named.groupBy("name").agg(F.sum("size").alias("pool"))
-    named = named.join(pools, "name").select("own_lang", "own_source", F.when(F.col("pool") >= least_rows, F.col("name")).otherwise("\x1f\x1f\x1f").alias("peers"))
-    return rows.join(named, ["own_lang", "own_source"], "left").drop("own_lang", "own_source")
+    named = named.join(pools, "name").select("own_group", "members", F.when(F.col("pool") >= least_rows, F.col("name")).otherwise("\x1f\x1f\x1f").alias("peers"))
+    return joined_on_groups(rows, written(named), "own_group").drop("own_group")
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, nearest: float = NEAREST) -> DataFrame:
