@@ -15,18 +15,19 @@ is 2 at most; or a and b are both 1. So they have one of these keys in common:
   one third of the remaining segment: it has two errors at most, so one of its thirds has none. Nine families of 32 or 33
   bits, 90 keys on average.
 
-A fingerprint has a key once, and one in each family at least, so no key has more than one in fifteen of all rows of keys. Fingerprints
-with a common key are joined and verified on all 64 bits. First each is compared with three hubs of its key (the least, the
-largest, the one that hashes lowest); links make components; then only keys that still hold several components are compared
-in full, in blocks, and a block hands on a spanning forest, so a group of copies costs links in proportion to its size.
+A fingerprint has a key once, and one in each family at least, so no key has more than one in six of all rows of keys. Fingerprints
+with a common key are joined and verified on all 64 bits, first by the keys with a whole segment, then by the others. Each is
+compared with three hubs of its key (the least, the largest, the one that hashes lowest); links make components; then only keys
+that still hold several components are compared in full, in blocks, and a block hands on a spanning forest, so a group of
+copies costs links in proportion to its size.
 Nothing is left out: a pair goes unverified only if its fingerprints are in one component already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -129,25 +130,35 @@ def codeword_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, None] ^ errors[s]) >> 11, found[s]
 
 
-def fingerprint_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the fingerprints (unsigned), and the position of the fingerprint that each belongs to."""
-    own, shift, parts = np.arange(len(values)), 0, []
+def _segments(values: np.ndarray) -> list[np.ndarray]:
+    shift, parts = 0, []
     for width in WIDTHS:
         parts.append((values >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64))
         shift += width
+    return parts
+
+
+def whole_segment_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the fingerprints (unsigned) with a whole segment, and the position of the fingerprint that each belongs to."""
+    own, parts = np.arange(len(values)), _segments(values)
     decoded = [codeword_indices(p) for p in parts]
-    odd = [np.bitwise_count(p) & 1 for p in parts]
-    keys, of, family = [], [], 0
     near = [np.arange(6) < found[:, None] for _, found in decoded]
-    near_if_odd = [n & ((np.arange(6) == 0) | (o[:, None] == 1)) for n, o in zip(near, odd, strict=True)]
-    for exact in range(3):
-        for other in range(3):
-            if other != exact:
-                keys.append((family << 40 | parts[exact][:, None] << 12 | decoded[other][0])[near[other]])
-                of.append(np.broadcast_to(own[:, None], near[other].shape)[near[other]])
-                family += 1
+    keys, of = [], []
+    for family, (exact, other) in enumerate(permutations(range(3), 2)):
+        keys.append((family << 40 | parts[exact][:, None] << 12 | decoded[other][0])[near[other]])
+        of.append(np.broadcast_to(own[:, None], near[other].shape)[near[other]])
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def two_error_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys with indices of two segments, and the position of the fingerprint that each belongs to."""
+    own, parts = np.arange(len(values)), _segments(values)
+    decoded = [codeword_indices(p) for p in parts]
+    odd = [np.bitwise_count(p) & 1 for p in parts]
+    near = [(np.arange(6) < found[:, None]) & ((np.arange(6) == 0) | (o[:, None] == 1)) for (_, found), o in zip(decoded, odd, strict=True)]
+    keys, of, family = [], [], 6
     for a, b, rest in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
-        both = near_if_odd[a][:, :, None] & near_if_odd[b][:, None, :]
+        both = near[a][:, :, None] & near[b][:, None, :]
         differ = (odd[a] ^ odd[b]).astype(np.int64)[:, None, None]
         pair = (decoded[a][0][:, :, None] << 13 | decoded[b][0][:, None, :] << 1 | differ)[both]
         of_pair = np.broadcast_to(own[:, None, None], both.shape)[both]
@@ -158,17 +169,17 @@ def fingerprint_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of)
 
 
-def keyed(values: DataFrame) -> DataFrame:
-    """key, fp: all keys of the fingerprints of values (one column, distinct)."""
+def keyed(values: DataFrame, keys_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """key, fp, root: keys of the distinct fingerprints of values (fp, root)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 4000):
-                column = np.asarray(whole.column(0))[k : k + 4000]
-                keys, of = fingerprint_keys(column.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(column[of])], ["key", "fp"])
+                fp, root = (np.asarray(whole.column(c))[k : k + 4000] for c in (0, 1))
+                keys, of = keys_of(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[of]), pa.array(root[of])], ["key", "fp", "root"])
 
-    return values.mapInArrow(spread, "key long, fp long")
+    return values.select("fp", "root").mapInArrow(spread, "key long, fp long, root long")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -213,25 +224,37 @@ def _links_of_large_keys(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(values: DataFrame) -> DataFrame:
-    """a, b: links between the distinct fingerprints of values (column fp) that make the same components as all links."""
+    """a, b: links between the distinct fingerprints of values (column fp) that make the same components as all links.
+
+    First over the keys with a whole segment, then over the others, of which only those matter that hold several of the
+    components known by then."""
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed(values.select("fp")).repartition(parts, "key")
-    hubs = dealt.groupBy("key").agg(
-        F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("drawn"), F.count("*").alias("members")
-    ).where("members > 1")
-    met = written(dealt.join(hubs, "key"))
-    pairs = met.select("fp", F.explode(F.array("least", "most", "drawn")).alias("hub")).where((F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")))
-    first = written(pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
-    placed = met.where("members > 2").select("key", "fp").join(components(first).withColumnRenamed("node", "fp"), "fp", "left")
-    placed = written(placed.select("key", "fp", F.coalesce("root", "fp").alias("root")))
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
-    left = written(placed.join(several.select("key", "members"), "key"))
+    placed, found = values.select("fp", F.col("fp").alias("root")), []
+    for keys_of in (whole_segment_keys, two_error_keys):
+        dealt = keyed(placed, keys_of).repartition(parts, "key")
+        hubs = dealt.groupBy("key").agg(
+            F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("drawn"),
+            F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"),
+        ).where("low <> high").drop("low", "high")
+        met = written(dealt.drop("root").join(hubs, "key"))
+        pairs = met.select("fp", F.explode(F.array("least", "most", "drawn")).alias("hub")).where((F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")))
+        found.append(written(pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()))
+        roots = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "fp")
+        placed = written(values.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        found.append(written(_links_of_open_keys(met, placed)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _links_of_open_keys(met: DataFrame, placed: DataFrame) -> DataFrame:
+    """a, b: links between the fingerprints of each key of met (key, fp, members) that are in different components (fp, root)."""
+    rows = written(met.where("members > 2").select("key", "fp").join(placed, "fp"))
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    left = written(rows.join(several.select("key", "members"), "key"))
     few = left.where(F.col("members") <= SMALL).select("key", "fp", "root")
     other = few.select(F.col("key").alias("of_key"), F.col("fp").alias("b"), F.col("root").alias("of_root"))
     near = (F.col("key") == F.col("of_key")) & (F.col("fp") < F.col("b")) & (F.col("root") != F.col("of_root")) & _close(F.col("fp"), F.col("b"))
-    second = few.join(other, near).select(F.col("fp").alias("a"), "b")
-    third = _links_of_large_keys(left.where(F.col("members") > SMALL))
-    return first.unionByName(second.unionByName(third).distinct())
+    in_small = few.join(other, near).select(F.col("fp").alias("a"), "b")
+    return in_small.unionByName(_links_of_large_keys(left.where(F.col("members") > SMALL))).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def test_fingerprints_within_four_bits_share_a_key(flips):
             other[k] ^= np.uint64(1 << int(p))
     keys = []
     for x in (values, other):
-        key, of = golay_simhash.fingerprint_keys(x)
+        parts = [golay_simhash.whole_segment_keys(x), golay_simhash.two_error_keys(x)]
+        key, of = (np.concatenate(c) for c in zip(*parts, strict=True))
         assert len(set(zip(key.tolist(), of.tolist(), strict=True))) == len(key)
         keys.append([set(p.tolist()) for p in np.split(key[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(x)))[:-1])])
     assert all(a & b for a, b in zip(*keys, strict=True))
