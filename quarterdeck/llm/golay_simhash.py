@@ -17,9 +17,8 @@ is 2 at most; or a and b are both 1. So they have one of these keys in common:
 
 A fingerprint has a key once, and one in each family at least, so no key has more than one in six of all rows of keys. Fingerprints
 with a common key are joined and verified on all 64 bits, first by the keys with a whole segment, then by the others. Each is
-compared with three hubs of its key (the least, the largest, the one that hashes lowest); links make components; then only keys
-that still hold several components are compared in full, in blocks, and a block hands on a spanning forest, so a group of
-copies costs links in proportion to its size.
+compared with the least of its key; links make components; then only keys that still hold several components are compared in
+full, in blocks, and a block hands on a spanning forest, so a group of copies costs links in proportion to its size.
 Nothing is left out: a pair goes unverified only if its fingerprints are in one component already.
 """
 
@@ -233,12 +232,11 @@ def fingerprint_links(values: DataFrame) -> DataFrame:
     for keys_of in (whole_segment_keys, two_error_keys):
         dealt = keyed(placed, keys_of).repartition(parts, "key")
         hubs = dealt.groupBy("key").agg(
-            F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"].alias("drawn"),
-            F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.min("fp").alias("hub"), F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")
         ).where("low <> high").drop("low", "high")
         met = written(dealt.drop("root").join(hubs, "key"))
-        pairs = met.select("fp", F.explode(F.array("least", "most", "drawn")).alias("hub")).where((F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")))
-        found.append(written(pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()))
+        near = met.where((F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")))
+        found.append(written(near.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()))
         roots = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "fp")
         placed = written(values.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
         found.append(written(_links_of_open_keys(met, placed)))
