@@ -15,7 +15,7 @@ from quarterdeck.queries.views import TABLES, table
 from tools.check_oracles import rows
 
 FOLDER = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"page_text_tree"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
