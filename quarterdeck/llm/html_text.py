@@ -1,10 +1,11 @@
 """Main text of web pages by removal of each site's template.
 
 Every page becomes a tree of elements. The hash of an element covers its whole subtree: tags, classes and text, not the
-addresses it links to. Spark counts on how many pages of a host each subtree stands; those on many are the site's
-template and are deleted from its pages. What a page says by its markup counts as well: navigation, headers, footers,
-asides, forms, scripts, adverts, notices and comments go by tag, role or class, and where there is an article or main
-element, only that is read. Inside it, paragraphs and headings are the author's even if they recur.
+addresses it links to. Spark counts on how many different pages of a host each subtree stands, pages with the same text
+being one; those on enough are the site's template and are deleted from its pages. What a page says by its markup counts
+as well: navigation, headers, footers, asides, forms, scripts, adverts, notices and comments go by tag, role or name, and
+where there is an article or main element with text, only that is read. Inside it, paragraphs and headings are the
+author's even if they recur.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is template if it stands on so many pages of the host and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+from quarterdeck.llm.shared import joined_on_groups, written
+
+#: A subtree is template if it stands on so many pages of the host that differ in their texts, however large the host is.
+LEAST_PAGES = 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -37,34 +41,73 @@ _DROPPED = frozenset(
     "head script style noscript template nav header footer aside form button select textarea iframe svg canvas object menu dialog".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"comments?|commentlist|replies|respond|disqus|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+#: A class or id names a part beside the text if all its words are of these two lists and one is of the first.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "widget widgets footer header masthead cookie cookies consent gdpr notice notification notifications alert popup modal overlay newsletter subscribe "
+    "signup login share sharing social related recommended comment comments commentlist reply replies respond disqus pagination pager toolbar skip".split()
+)
+_NEUTRAL = frozenset(
+    "site main page top bottom left right primary secondary global container wrapper wrap box block bar list section area links link form inner outer "
+    "content body item items group panel slot unit posts stories articles to us icons buttons button text".split()
 )
-#: Text blocks of an article are kept even where they recur.
+_COMMENTS = frozenset("comment comments commentlist reply replies".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Text blocks of an article are kept even where they recur, and no name drops them.
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption br hr".split())
+_NEVER_NAMED = _TEXT_BLOCKS - {"li", "dd", "dt", "td", "th"} | {"html", "body", "main"}
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 
 
 class Element:
-    __slots__ = ("tag", "label", "dropped", "items")
+    __slots__ = ("tag", "label", "dropped", "named", "items")
 
-    def __init__(self, tag: str, label: str = "", dropped: bool = False):
-        self.tag, self.label, self.dropped = tag, label, dropped
+    def __init__(self, tag: str, label: str = "", dropped: bool = False, named: bool = False):
+        self.tag, self.label, self.dropped, self.named = tag, label, dropped, named
         self.items: list = []  # elements and texts
 
 
+@lru_cache(4096)
+def names_part(name: str, parts: frozenset = _PARTS) -> bool:
+    """Whether a class or id names one of the parts: sidebar-left and siteFooter do, no-sidebar and comments-on-policy don't."""
+    words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+    return any(w in parts for w in words) and all(w in parts or w in _NEUTRAL for w in words)
+
+
 def _element(tag: str, attributes: str) -> Element:
-    label, dropped = "", tag in _DROPPED
+    label, dropped, named = "", tag in _DROPPED, False
     if attributes:
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         label = " ".join(values[k] for k in ("class", "id", "role") if values.get(k))
         hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true"
-        named = tag not in ("html", "body", "main") and any(values.get(k) and _NAMES.search(values[k]) for k in ("class", "id"))
-        dropped = dropped or hidden or named or values.get("role", "").lower() in _ROLES
-    return Element(tag, label, dropped)
+        dropped = dropped or hidden or values.get("role", "").lower() in _ROLES
+        if tag not in _NEVER_NAMED:
+            parts = _COMMENTS if tag == "article" else _PARTS
+            named = any(names_part(n, parts) for k in ("class", "id") for n in values.get(k, "").split())
+    return Element(tag, label, dropped, named)
+
+
+def _settle(root: Element) -> None:
+    """Decides what only the whole tree can tell: a named part goes unless the page's first-level heading or main element is
+    in it; the header of an article stays if a heading is in it."""
+    order: list[tuple[Element, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        element, inside = todo.pop()
+        order.append((element, inside))
+        inside = inside or element.tag in ("article", "main")
+        todo += [(x, inside) for x in element.items if isinstance(x, Element)]
+    holds: dict[int, int] = {}  # 1: a heading, 2: the first-level heading or main
+    for element, inside in reversed(order):
+        value = 3 if element.tag in ("h1", "main") else 1 if element.tag in ("h2", "h3") else 0
+        for x in element.items:
+            if isinstance(x, Element):
+                value |= holds[id(x)]
+        holds[id(element)] = value
+        if element.named and not value & 2:
+            element.dropped = True
+        elif element.tag == "header" and inside and value:
+            element.dropped = False
 
 
 def parse(html: str) -> Element:
@@ -110,6 +153,7 @@ def parse(html: str) -> Element:
             at = end.end() if end else len(html)
             continue
         stack.append(element)
+    _settle(root)
     return root
 
 
@@ -139,23 +183,36 @@ def subtree_hashes(root: Element) -> dict[int, list[Element]]:
     return found
 
 
+def _worded(element: Element) -> bool:
+    """Whether an element has text outside of what is dropped."""
+    todo: list = [element]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return True
+        elif not x.dropped:
+            todo += x.items
+    return False
+
+
 def _contents(root: Element) -> list[Element]:
-    """The outermost article and main elements that are not dropped; the whole page if there are none."""
+    """The outermost article and main elements with text that are not dropped; the whole page if there are none."""
     found, todo = [], [root]
     while todo:
         element = todo.pop()
         if element.dropped:
             continue
         if element.tag in ("article", "main"):
-            found.append(element)
+            if _worded(element):
+                found.append(element)
         else:
             todo += [x for x in reversed(element.items) if isinstance(x, Element)]
     return found or [root]
 
 
-def main_text(html: str, template: set[int]) -> str:
-    """Blocks of the page's main text, one a line; template: subtree hashes to delete."""
-    root = parse(html)
+def main_text(root: Element, template: set[int]) -> str:
+    """Blocks of the main text of a parsed page, one a line; template: subtree hashes to delete."""
     contents = _contents(root)
     deleted: set[int] = set()
     if template:
@@ -202,51 +259,68 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, template: the hashes of the subtrees that stand on many of the host's pages.
+def page_subtrees(own: DataFrame) -> DataFrame:
+    """key, site, content, subtrees, members: one row for each different page of a host, a written table.
 
-    A page has a bounded number of subtrees, so a share of a host's pages has at most 1 / least_share times as many."""
+    own: host, html, key (the hash of both). content is the hash of the page's text with nothing deleted yet, subtrees the
+    hashes of its elements, members the number of rows that are this page.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, values = [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [0, *subtree_hashes(parse(html or ""))]  # 0 counts the pages
-                hosts += [host] * len(own)
-                values += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.int64())], ["host", "value"])
-
-    each = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(hashed, "host string, value long")
-    counts = each.groupBy("host", "value").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("value") == 0, 1).otherwise(least_pages))
-    listed = counts.groupBy("host").agg(
-        F.max(F.when(F.col("value") == 0, F.col("n"))).alias("pages"),
-        F.collect_list(F.when(F.col("value") != 0, F.struct("value", "n"))).alias("subtrees"),
-    )
-    often = F.filter("subtrees", lambda s: s["n"] >= F.greatest(F.lit(least_pages), F.ceil(F.col("pages") * least_share)))
-    return listed.select("host", F.transform(often, lambda s: s["value"]).alias("template")).where(F.size("template") > 0)
+            keys, sites = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows: dict[int, list] = {}
+            for k, key in enumerate(keys):
+                if key in rows:
+                    rows[key][4] += 1
+                    continue
+                root = parse(batch.column(2)[k].as_py() or "")
+                text = main_text(root, set()).encode("utf-8", "replace")
+                content = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+                rows[key] = [key, sites[k], content, list(subtree_hashes(root)), 1]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows.values()), fields)], fields)
+
+    fields = pa.schema([("key", pa.int64()), ("site", pa.int64()), ("content", pa.int64()), ("subtrees", pa.list_(pa.int64())), ("members", pa.int64())])
+    each = own.select("key", F.xxhash64("host").alias("site"), "html").mapInArrow(hashed, "key long, site long, content long, subtrees array<long>, members long")
+    firsts = [F.first(c).alias(c) for c in ("site", "content", "subtrees")]
+    return written(each.groupBy("key").agg(*firsts, F.sum("members").alias("members")))
+
+
+def page_templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """key, template: the hashes of the subtrees of a page that stand on least_pages different pages of its host.
+
+    Pages are counted by (host, subtree) after repeated contents are gone, combined before the shuffle. What is template goes
+    back to the pages that have it, subtree by subtree; one that stands on very many pages leaves their rows where they are.
+    """
+    value = F.explode("subtrees").alias("value")
+    met = subtrees.select("key", "site", "content", value).withColumn("id", F.xxhash64("site", "value"))
+    pages = met.select("id", "content").distinct().groupBy("id").agg(F.count("*").alias("pages"))
+    rows = met.groupBy("id").agg(F.count("*").alias("members"))
+    templates = written(pages.where(F.col("pages") >= least_pages).join(rows, "id").select("id", "members"))
+    found = joined_on_groups(met.select("key", "value", "id"), templates, "id")
+    return found.groupBy("key").agg(F.collect_list("value").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row: whole main text, blocks joined by line feeds, empty if there is none.
 
     Character references are decoded, white space within a block is one space. Null html is empty; pages without a host
-    share one template. Spark chooses how the templates reach the pages: broadcast while they are small, else by host,
-    with a large host split over tasks.
+    share one template. Pages meet their templates by the hash of host and html; a page with very many copies leaves them
+    where they are, and no task reads a whole host.
     """
-    templates = site_templates(pages).withColumnRenamed("host", "of_host")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    met = own.join(templates, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "template")
+    own = own.withColumn("key", F.xxhash64("host", "html"))
+    subtrees = page_subtrees(own)
+    groups = written(subtrees.select("key", "members").join(page_templates(subtrees), "key", "left"))
+    met = joined_on_groups(own.drop("host"), groups, "key").select("page_id", "url", "html", "template")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: tuple = (None, set())
-            texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if template.is_valid:
-                    values = template.values
-                    if known[0] is None or not values.equals(known[0]):
-                        known = (values, set(values.to_pylist()))
-                texts.append(main_text(html or "", known[1] if template.is_valid else set()))
+            texts = [
+                main_text(parse(html or ""), set(template or ()))
+                for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

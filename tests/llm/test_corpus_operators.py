@@ -2,6 +2,8 @@
 
 import collections
 import math
+import random
+import re
 import zlib
 from pathlib import Path
 
@@ -300,3 +302,63 @@ def test_html_text(spark):
         assert got[k].text == f"Own {k}\nline"
     assert got[30].text == got[31].text == "" and got[32].text == "a < b é" and got[33].text == "deep"
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_html_template_of_unnamed_parts(spark):
+    """Pages without article, names or roles: what recurs on five different pages of a host goes, copies of a page count once."""
+    page = "page_id long, url string, html string"
+    rows = [(k, f"http://a/{k}", f"<body><div><div>Our site</div><div><div>Own text {k}</div>{'<p>Soon back</p>' if k < 17 else ''}</div></div></body>") for k in range(200)]
+    rows += [(300 + k, f"http://b/{k}", "<body><p>A copied page</p></body>") for k in range(6)] + [(310 + k, f"http://b/x{k}", f"<p>other {k}</p>") for k in range(14)]
+    rows += [(400 + k, f"http://c/{k}", "<article><div class=entry>Copied entry</div></article>") for k in range(6)]
+    rows += [(500 + k, f"http://d/{k}", f"<div>Rare part</div><div>text {k}</div>") for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, page)).collect()}
+    assert all(got[k] == f"Own text {k}" for k in range(200))
+    assert all(got[300 + k] == "A copied page" and got[400 + k] == "Copied entry" for k in range(6))
+    assert all(got[500 + k] == f"Rare part\ntext {k}" for k in range(4))
+
+
+def test_html_names():
+    """Names go by whole words, never those of text; an article's own header keeps its title; an empty main is no article."""
+    text = lambda html: html_text.main_text(html_text.parse(html), set())
+    assert text('<article class="post sidebar-left"><p>a</p></article>') == "a"
+    assert text('<div class="no-sidebar">a</div>') == text('<p class="share price">a</p>') == text('<section id="comments-on-policy">a</section>') == "a"
+    assert text("<main></main><p>a</p>") == text("<main><nav>m</nav></main><p>a</p>") == "a"
+    assert text("<article><header><h1>Title</h1></header><p>a</p></article>") == "Title\na"
+    assert text("<header><h1>Site</h1></header><p>a</p>") == "a"
+    for name in ("sidebar-left", "siteFooter", "cookie-banner", "related-posts", "ad", "comments", "comment-list ad-slot", "share-buttons"):
+        assert text(f'<div class="{name}">b</div><p>a</p>') == "a", name
+    assert text('<div class="widget"><h1>t</h1><p>a</p></div>') == "t\na"
+    assert text('<article><p>a</p></article><article class="comment"><p>b</p></article>') == "a"
+
+
+def test_html_templates_against_all_pages(spark):
+    """Random pages without names, against subtrees counted as text over all pages of a host."""
+    draw = random.Random(9)
+
+    def element(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return f"<div>{draw.choice(['one', 'two words', 'three', 'some more', 'x'])} {draw.randrange(4)}</div>"
+        return "<div>" + "".join(element(depth - 1) for _ in range(draw.randrange(1, 4))) + "</div>"
+
+    pages = [(k, f"http://h{draw.randrange(3)}/", element(3) + (f"<div>{k}</div>" if draw.random() < 0.7 else "")) for k in range(120)]
+    leaves = re.compile(r"<div>([^<]+)</div>")
+
+    def subtrees(html):
+        opened, found = [], []
+        for m in re.finditer(r"<(/?)div>", html):
+            if m[1]:
+                found.append((opened.pop(), m.end()))
+            else:
+                opened.append(m.start())
+        return found
+
+    standing = {}
+    for _, host, html in pages:
+        for a, b in subtrees(html):
+            standing.setdefault((host, html[a:b]), set()).add("\n".join(leaves.findall(html)))
+    wanted = {}
+    for k, host, html in pages:
+        gone = [(a, b) for a, b in subtrees(html) if len(standing[host, html[a:b]]) >= 5]
+        wanted[k] = "\n".join(m[1] for m in leaves.finditer(html) if not any(a <= m.start() < b for a, b in gone))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == wanted and any(t != "\n".join(leaves.findall(h)) for t, (_, _, h) in zip(wanted.values(), pages))
