@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -152,6 +153,30 @@ def test_packing(spark, documents):
     assert set(got.window) <= set(packing.TIERS)
 
 
+def test_packing_of_very_many_short_texts():
+    """A block of 400,000 pieces of five tokens, in seconds; nothing is lost."""
+    pieces = [(5, k, 0) for k in range(400_000)]
+    began = time.perf_counter()
+    windows, rest = packing.pack_block(pieces, packing.TIERS)
+    assert time.perf_counter() - began < 5
+    assert all(sum(p[0] for p in w) == size for size, w in windows) and sum(p[0] for _, w in windows for p in w) + sum(p[0] for p in rest) == 2_000_000
+    assert sum(p[0] for p in rest) < packing.TIERS[0]
+
+
+def test_packing_step_groups(spark):
+    """Groups have the same number of tokens and windows of one length; only a partition's last may be short."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["word"] * int(n))) for k, n in enumerate(rng.choice([3, 40, 200, 400, 900, 3000], 4000, p=[0.1, 0.6, 0.1, 0.1, 0.08, 0.02]))]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), public_tokenizers.path("word_bpe_49k.json"), 1).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == got.groupby("doc_id").doc_tokens.first().to_dict()
+    assert (got.groupby("step_group").window.nunique() == 1).all() and got.window.nunique() == len(packing.TIERS)
+    tokens = got.groupby("step_group").length.sum()
+    short = tokens[tokens != packing.STEP_TOKENS]
+    assert len(short) <= 3 and set(got[got.step_group.isin(short.index)].window) == {packing.TIERS[-1]}
+    lengths = got.groupby("sequence_id").agg(n=("length", "sum"), window=("window", "first"))
+    assert (lengths.n != lengths.window).sum() <= 3
+
+
 def check_pieces(got, ids):
     for r in got.itertuples():
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and len(ids[r.doc_id]) == r.doc_tokens
