@@ -1,10 +1,12 @@
 """Log-likelihood of whole documents under a small gated recurrent network, with counts of all training text.
 
-A word's probability is factored: its class given all words before it, by the network, and the word within its class, by
-counts over all training documents with one added. The most frequent words are classes of their own; the others share
-classes by their first and last two bytes, so a word never seen has a class too. The network is a GRU in numpy, trained by
-truncated backpropagation in all partitions at once, with weights averaged after each round. Scoring carries the state from
-window to window, so a document is scored as a whole. Words are known by 64-bit hashes.
+A word's probability is factored: its class given all words before it, then the word given its class and all words before
+it, both by a softmax of the network's state. The most frequent words are classes of their own; the others share classes by
+their first and last two bytes, so a word never seen has a class too. Inside a class the frequent words have vectors of
+their own; all further words of the class share one, and counts over all training documents with one added tell them apart.
+The network is a GRU in numpy, trained by truncated backpropagation in all partitions at once, with weights averaged after
+each round. Scoring carries the state from window to window, so a document is scored as a whole. Words are known by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from quarterdeck.llm.words import Run, mix, runs
 HEAD_WORDS = 200_000
 #: Classes: this many single words (the end of a text is the first), then so many by bytes.
 SINGLE_CLASSES, SHAPE_CLASSES = 32, 64
+CLASSES = SINGLE_CLASSES + SHAPE_CLASSES
+#: So many of the words that follow in frequency have vectors inside their class, which has at most SLOTS - 1 of them; slot 0
+#: is that of all its other words.
+FREQUENT_WORDS, SLOTS = 1024, 32
 #: Inputs: so many single words, then so many by bytes.
 SINGLE_INPUTS, SHAPE_INPUTS = 512, 256
 HIDDEN = 16
 #: Training documents are dealt to ROUNDS rounds; each trains the network once.
 ROUNDS = 2
-LANES, WINDOW, RATE = 64, 16, 0.02
+LANES, WINDOW, RATE = 256, 16, 0.02
 #: In training, documents are laid in lanes in pools of about so many tokens, so that a long one leaves few lanes empty.
 POOL_TOKENS = 500_000
 SCORE_LANES, SCORE_WINDOW = 512, 64
@@ -51,11 +57,13 @@ class Vocabulary:
     hashes: np.ndarray
     ranks: np.ndarray
     counts: np.ndarray
-    class_log: np.ndarray  # log10(N_c + V_c + 1) of each class
+    class_log: np.ndarray  # log10(N_c + V_c + 1) of each class over its words without a vector; log10(c + 1) where it is one word
     class_share: np.ndarray
     total: int  # N
     distinct: int  # V
     ends: int  # count of the end token
+    slots: np.ndarray | None = None  # of each head word in its class
+    slot_log: np.ndarray | None = None  # logarithm of each slot's share of its class, by class
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of head words, -1 for others."""
@@ -65,34 +73,38 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def tokens(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class and input of each word, and its head position."""
+        """Class and slot (class + CLASSES * slot) and input of each word, and its head position."""
         at = self.place(run.words(lower=True))
         shape = shapes(run)
         rank = np.where(at >= 0, self.ranks[at] if len(self.ranks) else 0, HEAD_WORDS)
         kind = np.where(rank < SINGLE_CLASSES - 1, rank + 1, SINGLE_CLASSES + (shape % np.uint64(SHAPE_CLASSES)).astype(np.int64))
+        if self.slots is not None and len(self.slots):
+            kind += CLASSES * np.where(at >= 0, self.slots[at], 0)
         given = np.where(rank < SINGLE_INPUTS, rank, SINGLE_INPUTS + (mix(shape) % np.uint64(SHAPE_INPUTS)).astype(np.int64))
         return kind, given, at
 
 
 class Network:
-    """A GRU over inputs with a softmax over classes. Arrays are in one flat vector, so that weights add up as rows."""
+    """A GRU over inputs with a softmax over classes and one over the slots of each shape class. Arrays are in one flat vector, so that weights add up as rows."""
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
-        shape = {"E": (SINGLE_INPUTS + SHAPE_INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "W": (HIDDEN, SINGLE_CLASSES + SHAPE_CLASSES), "c": (SINGLE_CLASSES + SHAPE_CLASSES,)}
+        shape = {"E": (SINGLE_INPUTS + SHAPE_INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "W": (HIDDEN, CLASSES), "c": (CLASSES,),
+                 "S": (SHAPE_CLASSES, HIDDEN, SLOTS), "d": (SHAPE_CLASSES, SLOTS)}
         for name, size in shape.items():
             setattr(self, name, flat[at : at + int(np.prod(size))].reshape(size))
             at += int(np.prod(size))
         self.size = at
 
     @staticmethod
-    def fresh(class_share: np.ndarray) -> np.ndarray:
+    def fresh(class_share: np.ndarray, slot_log: np.ndarray | None = None) -> np.ndarray:
         rng = np.random.Generator(np.random.PCG64(7))
         size = Network(np.zeros(1 << 20, np.float32)).size
         flat = (rng.standard_normal(size) * 0.1).astype(np.float32)
         net = Network(flat)
         net.b[:] = 0
         net.c[:] = np.log(class_share)
+        net.d[:] = 0 if slot_log is None else slot_log
         return flat
 
     def step(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -104,6 +116,20 @@ class Network:
         m = np.tanh(x[:, 2 * n :] + (r * h) @ self.U[:, 2 * n :])
         return h + z * (m - h), (z, r, m, h)
 
+    def inside(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """For the tokens of shape classes: their positions by class, their states, the logits of the slots of their classes,
+        and (class, first, last) of each class among them."""
+        order = np.flatnonzero(classes >= SINGLE_CLASSES)
+        order = order[np.argsort(classes[order], kind="stable")]
+        own = (classes[order] - SINGLE_CLASSES).astype(np.int64)
+        x, q = states[order], np.empty((len(order), SLOTS), np.float32)
+        edges = np.searchsorted(own, np.arange(SHAPE_CLASSES + 1)).tolist()
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        for k, a, b in spans:
+            q[a:b] = x[a:b] @ self.S[k] + self.d[k]
+        q -= q.max(axis=1, keepdims=True) if len(q) else 0
+        return order, x, q, spans
+
     def train_window(self, kinds: np.ndarray, given: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray, grad: "Network") -> np.ndarray:
         """Adds the gradients of a window (time by lane) to grad; the state after it. The window's first state is taken as given."""
         states, kept, n = [], [], HIDDEN
@@ -117,11 +143,24 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), kinds.ravel()] -= 1
-        p *= valid.ravel()[:, None] / max(valid.sum(), 1)
+        classes, slots, share = kinds.ravel() % CLASSES, kinds.ravel() // CLASSES, np.float32(1 / max(valid.sum(), 1))
+        p[np.arange(len(p)), classes] -= 1
+        p *= valid.ravel()[:, None] * share
         grad.W += s.T @ p
         grad.c += p.sum(axis=0)
-        from_out = (p @ self.W.T).reshape(len(kinds), -1, n)
+        from_out = p @ self.W.T
+        order, x, q, spans = self.inside(s, np.where(valid.ravel(), classes, 0))
+        np.exp(q, out=q)
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(len(q)), slots[order]] -= 1
+        q *= share
+        back = np.empty_like(x)
+        for k, a, b in spans:
+            grad.S[k] += x[a:b].T @ q[a:b]
+            grad.d[k] += q[a:b].sum(axis=0)
+            back[a:b] = q[a:b] @ self.S[k].T
+        from_out[order] += back
+        from_out = from_out.reshape(len(kinds), -1, n)
         dh = np.zeros_like(h)  # of the state after step t
         inputs = []
         for t in range(len(kinds) - 1, -1, -1):
@@ -194,8 +233,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     head = counts.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).collect()
     h = np.array([r["h"] for r in head], np.int64).view(np.uint64)
     c, shape = np.array([r["c"] for r in head], np.int64), np.array([r["shape"] for r in head], np.int64)
-    kinds = SINGLE_CLASSES + SHAPE_CLASSES
-    n, v = np.zeros(kinds), np.zeros(kinds)
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         n[SINGLE_CLASSES + r["shape"]], v[SINGLE_CLASSES + r["shape"]] = r["n"], r["v"]
     distinct, total = int(v.sum()) + (ends > 0), int(n.sum()) + ends
@@ -204,14 +242,29 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
         n[1 + k], v[1 + k] = c[k], 1
         n[SINGLE_CLASSES + shape[k]] -= c[k]
         v[SINGLE_CLASSES + shape[k]] -= 1
+    share = (n + 1) / (n + 1).sum()
+    slots, used, slot_counts = np.zeros(len(c), np.int64), np.zeros(SHAPE_CLASSES, np.int64), np.full((SHAPE_CLASSES, SLOTS), -1.0)
+    for k in range(SINGLE_CLASSES - 1, min(SINGLE_CLASSES - 1 + FREQUENT_WORDS, len(c))):
+        if used[shape[k]] < SLOTS - 1:
+            used[shape[k]] += 1
+            slots[k] = used[shape[k]]
+            slot_counts[shape[k], slots[k]] = c[k]
+            n[SINGLE_CLASSES + shape[k]] -= c[k]
+            v[SINGLE_CLASSES + shape[k]] -= 1
+    slot_counts[:, 0] = n[SINGLE_CLASSES:]
+    there = slot_counts >= 0
+    slot_share = (slot_counts + 1) / (slot_counts + 1).sum(axis=1, keepdims=True)
+    slot_log = np.where(there, np.log(np.where(there, slot_share, 1)), -1e4)  # a slot without a word has no part
+    class_log = np.log10(n + v + 1)
+    class_log[:SINGLE_CLASSES] = np.log10(n[:SINGLE_CLASSES] + 1)  # the one word of its class
     order = np.argsort(h)
-    return Vocabulary(h[order], order, c[order], np.log10(n + v + 1), (n + 1) / (n + 1).sum(), total, distinct, ends)
+    return Vocabulary(h[order], order, c[order], class_log, share, total, distinct, ends, slots[order], slot_log)
 
 
 def trained(docs: DataFrame, words, class_share: np.ndarray) -> np.ndarray:
     """The network's weights after ROUNDS rounds, which together take every row of docs (doc_id, text) once; words: the
     broadcast vocabulary. The state runs through all windows of a document."""
-    context, flat = docs.sparkSession.sparkContext, Network.fresh(class_share)
+    context, flat = docs.sparkSession.sparkContext, Network.fresh(class_share, words.value.slot_log)
     for turn in range(ROUNDS):
         sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
         start = context.broadcast(flat.copy())
@@ -239,12 +292,17 @@ def trained(docs: DataFrame, words, class_share: np.ndarray) -> np.ndarray:
         learnt = sample.select("text").mapInArrow(learn, "k long, value double, weight double")
         for r in learnt.groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("value")).collect():  # one row a weight
             flat[r["k"]] = r["value"]
+        start.destroy()
     return flat
 
 
 def sequences(known: Vocabulary, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class and input of every token of a run, ends included, and the tokens of each row."""
+    """Class and slot, and input, of every token of a run, ends included, and the tokens of each row."""
     kinds, given, _ = known.tokens(run)
+    return with_ends(run, kinds, given)
+
+
+def with_ends(run: Run, kinds: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = run.counts()
     last = np.cumsum(count)
     return np.insert(kinds, last, 0), np.insert(given, last, 0), count + 1
@@ -304,12 +362,15 @@ def scored(docs: DataFrame) -> DataFrame:
         log_counts = np.log10(known.counts + 1.0)
         for batch in batches:
             for run in runs(batch.column(3)):  # a run's arrays are all that is held at a time
-                at = known.place(run.words(lower=True))
+                kinds, given, at = known.tokens(run)
                 there, rows = at >= 0, len(run.offsets) - 1
                 head_log = np.bincount(run.row[there], log_counts[at[there]], rows)
                 head_known = np.bincount(run.row[there], minlength=rows)
-                kinds, given, counts = sequences(known, run)
-                inner = np.bincount(np.repeat(np.arange(rows, dtype=np.int32), counts), known.class_log[kinds], rows)
+                within = known.class_log[kinds % CLASSES]
+                vector = kinds >= CLASSES  # the network's state tells these words apart, not their counts
+                within[vector] = log_counts[at[vector]]
+                inner = np.bincount(run.row, within, rows) + known.class_log[0]
+                kinds, given, counts = with_ends(run, kinds, given)
                 outer = class_log_likelihood(net, kinds.astype(np.int16), given.astype(np.int16), counts)
                 columns = [batch.column(k).slice(run.first, rows) for k in range(3)]
                 columns += [pa.array(counts), pa.array(head_known), pa.array(head_log), pa.array(outer - inner)]
@@ -332,7 +393,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def class_log_likelihood(net: Network, kinds: np.ndarray, given: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each document's classes; the state runs through all windows of a document."""
+    """log10 probability of each document's classes and slots; the state runs through all windows of a document."""
     place, fresh, of = lanes(counts, SCORE_LANES)
     total, h = np.zeros(len(counts)), np.zeros((place.shape[1], HIDDEN), np.float32)
     for t in range(0, len(place), SCORE_WINDOW):
@@ -345,9 +406,15 @@ def class_log_likelihood(net: Network, kinds: np.ndarray, given: np.ndarray, cou
             h, _ = net.step(inputs[k], h)
         there = at >= 0
         mine = at[there]
-        logits = states[there] @ net.W + net.c
+        reached, classes, slots = states[there], kinds[mine] % CLASSES, kinds[mine] // CLASSES
+        logits = reached @ net.W + net.c
         logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(mine)), kinds[mine]]
+        chosen = logits[np.arange(len(mine)), classes]
         np.exp(logits, out=logits)
-        total += np.bincount(of[mine], chosen - np.log(logits.sum(axis=1)), len(counts))
+        value = chosen - np.log(logits.sum(axis=1))
+        order, _, q, _ = net.inside(reached, classes)
+        chosen = q[np.arange(len(q)), slots[order]]
+        np.exp(q, out=q)
+        value[order] += chosen - np.log(q.sum(axis=1))
+        total += np.bincount(of[mine], value, len(counts))
     return total / np.log(10)

@@ -275,6 +275,7 @@ def test_lm_gradient():
     net = lm_scoring.Network(flat)
     counts = np.array([5, 3, 8, 1, 7])
     kinds, given = rng.integers(0, 96, counts.sum()), rng.integers(0, 20, counts.sum())
+    kinds += lm_scoring.CLASSES * np.where(kinds >= lm_scoring.SINGLE_CLASSES, rng.integers(0, lm_scoring.SLOTS, counts.sum()), 0)
     place, fresh, _ = lm_scoring.lanes(counts, 3)
     grad = lm_scoring.Network(np.zeros_like(flat))
     net.train_window(kinds[place], given[place], fresh, place >= 0, np.zeros((place.shape[1], lm_scoring.HIDDEN), np.float32), grad)
@@ -293,6 +294,84 @@ def test_lm_gradient():
         assert abs((above - below) / 0.02 - grad.flat[k]) < 2e-3 + 0.02 * abs(grad.flat[k])
 
 
+def test_lm_score_against_plain_steps(spark, monkeypatch):
+    """With given weights, scores are those of one step a token in plain arithmetic; words of a class add up to one at most."""
+    rng = np.random.default_rng(12)
+    names = [f"w{k}" for k in range(300)]
+    weights = np.array([1 / (k + 3) for k in range(300)])
+    texts = [" ".join(rng.choice(names, int(rng.integers(0, 60)), p=weights / weights.sum())) for _ in range(120)] + ["never seen words", None]
+    held = {}
+
+    def given_weights(docs, words, share):
+        flat = lm_scoring.Network.fresh(share, words.value.slot_log)
+        flat += rng.standard_normal(len(flat)).astype(np.float32) * 0.3
+        held.update(flat=flat, vocab=words.value)
+        return flat
+
+    monkeypatch.setattr(lm_scoring, "trained", given_weights)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs).collect()}
+    net, vocab = lm_scoring.Network(held["flat"].astype(float)), held["vocab"]
+    training = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = collections.Counter(w for t in training for w in brute.words(t))
+
+    def token(word):
+        run = next(iter(lm_scoring.runs(pa.array([word]))))
+        kind, x, _ = vocab.tokens(run)
+        return int(kind[0]) % lm_scoring.CLASSES, int(kind[0]) // lm_scoring.CLASSES, int(x[0])
+
+    of = {w: token(w) for w in {*names, "never", "seen", "words"}}
+    shared = collections.defaultdict(list)  # the counts of the words of a class without a vector
+    for w, c in count.items():
+        if of[w][0] >= lm_scoring.SINGLE_CLASSES and not of[w][1]:
+            shared[of[w][0]].append(c)
+
+    def softmax(v):
+        e = np.exp(v - v.max())
+        return e / e.sum()
+
+    n = lm_scoring.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for k, text in enumerate(texts):
+        h, total = np.zeros(n), 0.0
+        for w in [*brute.words(text), None]:
+            kind, slot, x = (0, 0, 0) if w is None else of[w]
+            chance = softmax(h @ net.W + net.c)[kind]
+            if kind >= lm_scoring.SINGLE_CLASSES:
+                chance *= softmax(h @ net.S[kind - lm_scoring.SINGLE_CLASSES] + net.d[kind - lm_scoring.SINGLE_CLASSES])[slot]
+                if not slot:
+                    chance *= (count[w] + 1) / (sum(shared[kind]) + len(shared[kind]) + 1)
+            total += math.log10(chance)
+            a = net.E[x] + net.b
+            zr = a[: 2 * n] + h @ net.U[:, : 2 * n]
+            z, r = (np.array([sigmoid(v) for v in part]) for part in (zr[:n], zr[n:]))
+            h = (1 - z) * h + z * np.tanh(a[2 * n :] + (r * h) @ net.U[:, 2 * n :])
+        assert math.isclose(got[k], total, rel_tol=1e-4, abs_tol=1e-4), k
+    assert any(slot for _, slot, _ in of.values()) and shared
+
+
+def test_lm_learns_words_inside_classes(spark):
+    """Two words of one class that only the word before tells apart: the text's likelihood is better than any counts could make it."""
+    singles = [f"s{k}" for k in range(40)]  # more frequent than the pair, which so is not among the classes of one word
+    pairs = (["red", "abxyz"], ["blue", "abqyz"])
+    text = lambda k: " ".join(w for j in range(15) for w in (*(singles[(k * 7 + j * 24 + i) % 40] for i in range(24)), *pairs[(k + j) % 2]))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(4000)], "doc_id long, text string").repartition(1)
+    context = spark.sparkContext
+    counts = written(lm_scoring.word_counts(docs))
+    vocab = lm_scoring.vocabulary(counts, docs.count())
+    net = lm_scoring.Network(lm_scoring.trained(docs, context.broadcast(vocab), vocab.class_share))
+    run = next(iter(lm_scoring.runs(pa.array(["abxyz", "abqyz"]))))
+    kinds = vocab.tokens(run)[0]
+    assert kinds[0] != kinds[1] and kinds[0] % lm_scoring.CLASSES == kinds[1] % lm_scoring.CLASSES >= lm_scoring.SINGLE_CLASSES
+
+    def log_chance(words):
+        run = next(iter(lm_scoring.runs(pa.array([words]))))
+        kinds, given, count = lm_scoring.sequences(vocab, run)
+        return lm_scoring.class_log_likelihood(net, kinds, given, count)[0]
+
+    assert log_chance("s1 red abxyz") > log_chance("s1 red abqyz") + 0.5 and log_chance("s1 blue abqyz") > log_chance("s1 blue abxyz") + 0.5
+
+
 def test_lm_trains_on_every_document(spark, monkeypatch):
     """Whatever its id, a training document moves the weights; a long one is learnt from as a whole."""
     share = np.full(lm_scoring.SINGLE_CLASSES + lm_scoring.SHAPE_CLASSES, 1 / 96)
