@@ -36,8 +36,8 @@ HIDDEN = 16
 #: Training documents are dealt to ROUNDS rounds; each trains the network once.
 ROUNDS = 2
 LANES, WINDOW, RATE = 256, 16, 0.02
-#: In training, documents are laid in lanes in pools of about so many tokens, so that a long one leaves few lanes empty.
-POOL_TOKENS = 500_000
+#: Documents are laid in lanes in pools of about so many tokens (a few bytes each), so that beside a long one there are many lanes.
+POOL_TOKENS = 2_000_000
 SCORE_LANES, SCORE_WINDOW = 512, 64
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -360,8 +360,19 @@ def scored(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net = words.value, Network(weights.value)
         log_counts = np.log10(known.counts + 1.0)
+        held: list[tuple] = []  # of each run: classes and inputs, token counts, the rows' columns
+        tokens = 0
+
+        def pooled() -> pa.RecordBatch:
+            kinds, given, counts, parts = zip(*held, strict=True)
+            outer = class_log_likelihood(net, np.concatenate(kinds), np.concatenate(given), np.concatenate(counts))
+            made = pa.concat_arrays(c for *_, c in parts).to_numpy()  # what the counts say within the classes
+            columns = [pa.concat_arrays(c) for c in list(zip(*parts, strict=True))[:-1]]
+            names = ["row_key", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model"]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(outer - made)], names)
+
         for batch in batches:
-            for run in runs(batch.column(3)):  # a run's arrays are all that is held at a time
+            for run in runs(batch.column(3)):
                 kinds, given, at = known.tokens(run)
                 there, rows = at >= 0, len(run.offsets) - 1
                 head_log = np.bincount(run.row[there], log_counts[at[there]], rows)
@@ -370,11 +381,15 @@ def scored(docs: DataFrame) -> DataFrame:
                 vector = kinds >= CLASSES  # the network's state tells these words apart, not their counts
                 within[vector] = log_counts[at[vector]]
                 inner = np.bincount(run.row, within, rows) + known.class_log[0]
-                kinds, given, counts = with_ends(run, kinds, given)
-                outer = class_log_likelihood(net, kinds.astype(np.int16), given.astype(np.int16), counts)
+                kinds, given, counts = with_ends(run, kinds.astype(np.int16), given.astype(np.int16))
                 columns = [batch.column(k).slice(run.first, rows) for k in range(3)]
-                columns += [pa.array(counts), pa.array(head_known), pa.array(head_log), pa.array(outer - inner)]
-                yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model"])
+                held.append((kinds, given, counts, [*columns, pa.array(counts), pa.array(head_known), pa.array(head_log), pa.array(inner)]))
+                tokens += len(kinds)
+                if tokens >= POOL_TOKENS:
+                    yield pooled()
+                    held, tokens = [], 0
+        if held:
+            yield pooled()
 
     schema = "row_key long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model double"
     rows = own.select("row_key", "doc_id", "held_out", "text").mapInArrow(score, schema)
