@@ -27,7 +27,6 @@ LEAST_PAGES = 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACES = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg".split())
 _BLOCKS = frozenset(
@@ -174,7 +173,7 @@ def subtree_hashes(root: Element) -> dict[int, list[Element]]:
             if isinstance(x, Element):
                 digest.update(b"\x01" + made[id(x)])
                 worded |= texts[id(x)]
-            elif text := _SPACES.sub(" ", x).strip():
+            elif text := " ".join(x.split()):
                 digest.update(b"\x02" + text.encode("utf-8", "replace") + b"\x03")
                 worded = True
         made[id(element)], texts[id(element)] = digest.digest(), worded
@@ -233,7 +232,7 @@ def main_text(root: Element, template: set[int]) -> str:
     line: list[str] = []
 
     def close() -> None:
-        text = _SPACES.sub(" ", entities.unescape("".join(line))).strip()
+        text = " ".join(entities.unescape("".join(line)).split())
         line.clear()
         if text:
             blocks.append(text)
