@@ -1,10 +1,12 @@
 """Documents whose statistics are outliers for their language and source, by minimum covariance determinant.
 
 Each text gives a vector of statistics, transformed so that ordinary texts lie about symmetrically. For the texts of each
-language and source, the centre and covariance are those of the three quarters of rows that lie closest together, found
-by concentration steps from the medians: distances under the last estimate, the nearest three quarters, their mean and
-covariance. Rows far away by Mahalanobis distance are rejected. All steps are aggregates over a table of statistics;
-the share of nearest rows is taken from counts of finely binned distances, so no group is gathered anywhere.
+language and source, the centre and covariance are those of the three quarters of rows whose covariance has the least
+determinant, sought from several starts by concentration steps: distances under the last estimate, the nearest three
+quarters, their mean and covariance. Two steps from every start, then on from the best one until no determinant falls
+further, then once more over all rows that are no outliers under that estimate (reweighting). Rows far away by Mahalanobis
+distance are rejected. All steps are aggregates over a table of statistics; the share of nearest rows is taken from counts of
+finely binned distances, so no group is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -24,13 +26,21 @@ from quarterdeck.llm.shared import joined_on_groups, written
 from quarterdeck.llm.words import SHINGLE_WORDS, Run, runs, shingles
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_stutters")
-#: The statistics, and the least standard deviation each is given: a value that hardly varies is no reason to reject.
-FEATURES = {"length": 0.8, "word_length": 0.8, "symbols": 0.5, "dup_lines": 1.2, "repeats": 1.2, "upper": 0.5, "marks": 0.5, "digits": 2.0, "stutters": 0.8}
+FEATURES = ("length", "word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "digits", "stutters")
+#: Statistics that are zero in most ordinary texts. The nearest three quarters show no spread of them at all, so these standard
+#: deviations stand in for it. The others get the variance of rounding to one word or character in a text of the group's
+#: median length, which only keeps the matrix invertible.
+MOSTLY_ZERO = {"symbols": 0.5, "dup_lines": 1.2, "repeats": 1.2, "digits": 2.0}
+#: A text of n words has its deviations (but that of length) multiplied by sqrt(n / (n + PRIOR_WORDS)), as rates over few words vary more.
+PRIOR_WORDS = 30
 #: Rows a language and source must have for an estimate of their own; smaller ones are taken together by language, and
 #: languages with too few even then with each other.
 LEAST_ROWS = 100
 NEAREST = 0.75
-STEPS = 4
+#: Steps from each start, and at most from the best; the steps end when no group's log determinant falls by more than LEAST_FALL.
+FIRST_STEPS, MORE_STEPS, LEAST_FALL = 2, 20, 0.01
+#: Share of ordinary rows that the reweighting step takes.
+REWEIGHTED = 0.975
 #: Chance of a larger distance for an ordinary row, under normal statistics.
 TAIL = 1e-6
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -163,62 +173,122 @@ def grouped(rows: DataFrame, least_rows: int) -> DataFrame:
     return joined_on_groups(rows, written(named), "own_group").drop("own_group")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, nearest: float = NEAREST) -> DataFrame:
-    """peers, centre (array) and inverse (upper triangle of the inverse covariance, row by row) of each group of rows."""
-    names, floors = [f"x_{n}" for n in FEATURES], np.array(list(FEATURES.values()))
-    p = len(names)
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    schema = "peers string, centre array<double>, inverse array<double>"
+FITTED = "peers string, start int, centre array<double>, inverse array<double>, floors array<double>, log_det double"
+_NAMES = [f"x_{n}" for n in FEATURES]
+_PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i, len(_NAMES))]
 
-    def packed(peers: str, centre: np.ndarray, spread: np.ndarray) -> dict:
-        inverse = np.linalg.inv(spread + np.diag(floors**2))
-        return {"peers": peers, "centre": centre.tolist(), "inverse": [float(inverse[i, j]) for i, j in upper]}
 
-    def from_medians(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def least_spreads(medians: np.ndarray) -> np.ndarray:
+    """Standard deviations that are added to the estimate's, for a group of these medians of FEATURES."""
+    words = math.exp(medians[0])
+    chars = words * max(medians[1], 1)
+    units = {"length": 1 / words, "word_length": 1 / words, "upper": math.log1p(100 / chars)}
+    return np.array([MOSTLY_ZERO.get(n, units.get(n, math.log1p(100 / words)) / math.sqrt(12)) for n in FEATURES])
+
+
+def _symmetric(products, rows: int) -> np.ndarray:
+    made = np.zeros((len(_NAMES), len(_NAMES)))
+    for (i, j), value in zip(_PAIRS, products, strict=True):
+        made[i, j] = made[j, i] = value / rows
+    return made
+
+
+def _fit(peers: str, start: int, centre: np.ndarray, spread: np.ndarray, floors: np.ndarray) -> tuple:
+    spread = spread + np.diag(floors**2)
+    inverse = np.linalg.inv(spread)
+    return peers, start, centre.tolist(), [float(inverse[i, j]) for i, j in _PAIRS], floors.tolist(), float(np.linalg.slogdet(spread)[1])
+
+
+def _frame(fits: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(fits, columns=["peers", "start", "centre", "inverse", "floors", "log_det"])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of each group about its medians: the quartiles' spreads alone, the covariance of all rows, and that of
+    all rows after each value is bounded by tanh."""
+
+    def from_quarters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            quarters = [np.array([list(q) for q in r]) for r in frame["quarters"]]
+            spreads = [(q[:, 2] - q[:, 0]) / 1.349 for q in quarters]
+            columns = {"peers": frame["peers"], "medians": [q[:, 1].tolist() for q in quarters], "spreads": [x.tolist() for x in spreads]}
+            yield pd.DataFrame({**columns, "floors": [least_spreads(q[:, 1]).tolist() for q in quarters]})
+
+    def from_products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            fits = []
             for r in frame.itertuples(index=False):
-                quarters = np.array([list(q) for q in r.quarters])
-                out.append(packed(r.peers, quarters[:, 1], np.diag(((quarters[:, 2] - quarters[:, 0]) / 1.349) ** 2)))
-            yield pd.DataFrame(out, columns=["peers", "centre", "inverse"])
+                centre, spreads, floors = (np.array(list(x)) for x in (r.medians, r.spreads, r.floors))
+                scale = spreads + floors
+                found = [np.diag(spreads**2)] + [_symmetric(x, r.rows) * np.outer(scale, scale) for x in (r.plain, r.bounded)]
+                fits += [_fit(r.peers, k, centre, spread, floors) for k, spread in enumerate(found)]
+            yield _frame(fits)
+
+    quarters = F.array(*(F.percentile_approx(n, [0.25, 0.5, 0.75], 2000) for n in _NAMES))
+    shape = "peers string, medians array<double>, spreads array<double>, floors array<double>"
+    about = written(rows.groupBy("peers").agg(quarters.alias("quarters")).mapInPandas(from_quarters, shape))
+    scaled = [(F.col(n) - F.get("medians", F.lit(k))) / (F.get("spreads", F.lit(k)) + F.get("floors", F.lit(k))) for k, n in enumerate(_NAMES)]
+    met = rows.select("peers", *_NAMES).join(about, "peers").select(
+        "peers", *(u.alias(f"u{k}") for k, u in enumerate(scaled)), *(F.tanh(u).alias(f"t{k}") for k, u in enumerate(scaled))
+    )
+    products = [F.array(*(F.sum(F.col(f"{c}{i}") * F.col(f"{c}{j}")) for i, j in _PAIRS)).alias(n) for c, n in (("u", "plain"), ("t", "bounded"))]
+    made = met.groupBy("peers").agg(F.count("*").alias("rows"), *products)
+    return written(made.join(about, "peers").mapInPandas(from_products, FITTED))
+
+
+def refitted(chosen: DataFrame, share: float) -> DataFrame:
+    """Mean and covariance of the chosen rows of each group and start, made consistent for the nearest share of normal rows."""
+    factor = consistency(share, len(_NAMES))
 
     def from_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            fits = []
             for r in frame.itertuples(index=False):
-                centre, products = np.array(r.sums) / r.rows, np.zeros((p, p))
-                for (i, j), value in zip(upper, r.products, strict=True):
-                    products[i, j] = products[j, i] = value / r.rows
-                out.append(packed(r.peers, centre, (products - np.outer(centre, centre)) * consistency(nearest, p)))
-            yield pd.DataFrame(out, columns=["peers", "centre", "inverse"])
-
-    quarters = F.array(*(F.percentile_approx(n, [0.25, 0.5, 0.75], 2000) for n in names))
-    now = written(rows.groupBy("peers").agg(quarters.alias("quarters")).mapInPandas(from_medians, schema))
-    for _ in range(steps):
-        near = with_distance(rows, now).withColumn("bin", F.floor(32 * F.log2(F.col("distance") + 1e-6)).cast("int"))
-        bins = near.groupBy("peers", "bin").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("peers").orderBy("bin")
-        counted = bins.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("peers")))
-        limits = counted.where(F.col("below") < nearest * F.col("all")).groupBy("peers").agg(F.max("bin").alias("last"))
-        chosen = near.join(limits, "peers").where("bin <= last")
-        sums = [F.sum(n) for n in names]
-        products = [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in upper]
-        made = chosen.groupBy("peers").agg(F.count("*").alias("rows"), F.array(*sums).alias("sums"), F.array(*products).alias("products"))
-        now = written(made.mapInPandas(from_sums, schema))
-    return now
+                centre = np.array(r.sums) / r.rows
+                spread = (_symmetric(r.products, r.rows) - np.outer(centre, centre)) * factor
+                fits.append(_fit(r.peers, int(r.start), centre, spread, np.array(list(r.floors))))
+            yield _frame(fits)
+
+    sums = F.array(*(F.sum(n) for n in _NAMES)).alias("sums")
+    products = F.array(*(F.sum(F.col(_NAMES[i]) * F.col(_NAMES[j])) for i, j in _PAIRS)).alias("products")
+    made = chosen.groupBy("peers", "start").agg(F.count("*").alias("rows"), sums, products, F.first("floors").alias("floors"))
+    return written(made.mapInPandas(from_sums, FITTED))
+
+
+def concentrated(rows: DataFrame, fitted: DataFrame, nearest: float) -> DataFrame:
+    """The next estimates, of the nearest share of each group's rows under the fitted ones (whole bins of distance)."""
+    near = with_distance(rows, fitted).withColumn("bin", F.floor(32 * F.log2(F.col("distance") + 1e-6)).cast("int"))
+    bins = near.groupBy("peers", "start", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("peers", "start").orderBy("bin")
+    counted = bins.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("peers", "start")))
+    limits = counted.where(F.col("below") < nearest * F.col("all")).groupBy("peers", "start").agg(F.max("bin").alias("last"))
+    return refitted(near.join(limits, ["peers", "start"]).where("bin <= last"), nearest)
+
+
+def estimates(rows: DataFrame, nearest: float = NEAREST) -> DataFrame:
+    """FITTED: centre and inverse (upper triangle of the inverse covariance, row by row) of each group of rows."""
+    now = starts(rows)
+    for _ in range(FIRST_STEPS):
+        now = concentrated(rows, now, nearest)
+    place = Window.partitionBy("peers").orderBy("log_det", "start")
+    now = written(now.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place"))
+    for _ in range(MORE_STEPS):
+        then, now = now.select("peers", F.col("log_det").alias("before")), concentrated(rows, now, nearest)
+        if now.join(then, "peers").where(F.col("before") - F.col("log_det") > LEAST_FALL).isEmpty():
+            break
+    inliers = with_distance(rows, now).where(F.col("distance") <= chi_square(REWEIGHTED, len(_NAMES)))
+    return refitted(inliers, REWEIGHTED)
 
 
 def with_distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """rows with `distance`, the squared Mahalanobis distance from their group's centre."""
-    names = [f"x_{n}" for n in FEATURES]
-    away = [F.col(n) - F.get("centre", F.lit(k)) for k, n in enumerate(names)]
-    terms, k = [], 0
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            terms.append((1 if i == j else 2) * F.get("inverse", F.lit(k)) * F.col(f"_d{i}") * F.col(f"_d{j}"))
-            k += 1
-    met = rows.join(fitted, "peers", "left").withColumns({f"_d{k}": a for k, a in enumerate(away)})
-    return met.withColumn("distance", reduce(lambda a, b: a + b, terms)).drop("centre", "inverse", *(f"_d{k}" for k in range(len(names))))
+    """rows with start, floors and `distance`, the squared Mahalanobis distance from their group's centre, short texts' rates drawn in."""
+    known = F.sqrt(F.col("n_words") / (F.col("n_words") + PRIOR_WORDS))
+    away = [(F.col(n) - F.get("centre", F.lit(k))) * (F.lit(1.0) if n == "x_length" else known) for k, n in enumerate(_NAMES)]
+    terms = [
+        (1 if i == j else 2) * F.get("inverse", F.lit(k)) * F.col(f"_d{i}") * F.col(f"_d{j}") for k, (i, j) in enumerate(_PAIRS)
+    ]
+    met = rows.join(fitted.drop("log_det"), "peers", "left").withColumns({f"_d{k}": a for k, a in enumerate(away)})
+    return met.withColumn("distance", reduce(lambda a, b: a + b, terms)).drop("centre", "inverse", *(f"_d{k}" for k in range(len(_NAMES))))
 
 
 def judged(docs: DataFrame, least_rows: int = LEAST_ROWS, tail: float = TAIL) -> DataFrame:
