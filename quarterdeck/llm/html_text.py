@@ -210,24 +210,34 @@ def _contents(root: Element) -> list[Element]:
     return found or [root]
 
 
+def deletable(root: Element, contents: list[Element]) -> dict[int, Element]:
+    """The elements of the main text, by identity, that a template can delete: all but the text blocks inside an article."""
+    found: dict[int, Element] = {}
+    whole, todo = contents[0] is root, list(contents)
+    while todo:
+        element = todo.pop()
+        if element.dropped or element.tag in ("title", "head"):
+            continue
+        if element is not root and element.tag not in ("html", "body", "article", "main"):
+            if whole or element.tag not in _TEXT_BLOCKS and element.tag not in _INLINE:
+                found[id(element)] = element
+        todo += [x for x in element.items if isinstance(x, Element)]
+    return found
+
+
+def open_subtrees(root: Element, subtrees: dict[int, list[Element]]) -> list[int]:
+    """The hashes of subtrees whose deletion changes the page's main text."""
+    able = deletable(root, _contents(root))
+    return [value for value, elements in subtrees.items() if any(id(e) in able for e in elements)] if able else []
+
+
 def main_text(root: Element, template: set[int]) -> str:
     """Blocks of the main text of a parsed page, one a line; template: subtree hashes to delete."""
     contents = _contents(root)
     deleted: set[int] = set()
     if template:
-        inside: set[int] = set()
-        if contents[0] is not root:
-            todo = list(contents)
-            while todo:
-                element = todo.pop()
-                inside.add(id(element))
-                todo += [x for x in element.items if isinstance(x, Element)]
-        for value, elements in subtree_hashes(root).items():
-            if value in template:
-                deleted |= {
-                    id(e) for e in elements if e.tag not in ("html", "body", "article", "main")
-                    and not (id(e) in inside and (e.tag in _TEXT_BLOCKS or e.tag in _INLINE))
-                }
+        able = deletable(root, contents)
+        deleted = {id(e) for value, elements in subtree_hashes(root).items() if value in template for e in elements if id(e) in able}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -258,69 +268,75 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def page_subtrees(own: DataFrame) -> DataFrame:
-    """key, site, content, subtrees, members: one row for each different page of a host, a written table.
+_PARSED = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("key", pa.int64()), ("site", pa.int64()), ("content", pa.int64()),
+    ("subtrees", pa.list_(pa.int64())), ("open", pa.list_(pa.int64())), ("text", pa.string()), ("html", pa.string()),
+])
+
 
-    own: host, html, key (the hash of both). content is the hash of the page's text with nothing deleted yet, subtrees the
-    hashes of its elements, members the number of rows that are this page.
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Every page parsed once, as a written table: page_id, url, key (hash of host and html), site, text with nothing deleted yet,
+    content (hash of that text), subtrees (hashes of all elements with text) and open (those whose deletion changes the text).
+
+    Only pages with open subtrees keep their html; the text of the others is final.
     """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sites = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: dict[int, list] = {}
-            for k, key in enumerate(keys):
-                if key in rows:
-                    rows[key][4] += 1
-                    continue
-                root = parse(batch.column(2)[k].as_py() or "")
-                text = main_text(root, set()).encode("utf-8", "replace")
-                content = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                rows[key] = [key, sites[k], content, list(subtree_hashes(root)), 1]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows.values()), fields)], fields)
-
-    fields = pa.schema([("key", pa.int64()), ("site", pa.int64()), ("content", pa.int64()), ("subtrees", pa.list_(pa.int64())), ("members", pa.int64())])
-    each = own.select("key", F.xxhash64("host").alias("site"), "html").mapInArrow(hashed, "key long, site long, content long, subtrees array<long>, members long")
-    firsts = [F.first(c).alias(c) for c in ("site", "content", "subtrees")]
-    return written(each.groupBy("key").agg(*firsts, F.sum("members").alias("members")))
-
-
-def page_templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """key, template: the hashes of the subtrees of a page that stand on least_pages different pages of its host.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                rows = []
+                for html in batch.column(4).to_pylist():
+                    root = parse(html or "")
+                    text, subtrees = main_text(root, set()), subtree_hashes(root)
+                    content = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                    able = open_subtrees(root, subtrees)
+                    rows.append((content, list(subtrees), able, text, html if able else None))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(_PARSED)[4:], strict=True)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:4] + columns, _PARSED)
+
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url")).alias("host"))
+    keyed = own.select("page_id", "url", F.xxhash64("host", "html").alias("key"), F.xxhash64("host").alias("site"), "html")
+    shape = "page_id long, url string, key long, site long, content long, subtrees array<long>, open array<long>, text string, html string"
+    return written(keyed.mapInArrow(read, shape))
+
+
+def page_templates(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """key, members, template: of each page with open subtrees that stand on least_pages different pages of its host, these
+    subtrees and the number of rows that are this page; a written table.
 
     Pages are counted by (host, subtree) after repeated contents are gone, combined before the shuffle. What is template goes
     back to the pages that have it, subtree by subtree; one that stands on very many pages leaves their rows where they are.
     """
-    value = F.explode("subtrees").alias("value")
-    met = subtrees.select("key", "site", "content", value).withColumn("id", F.xxhash64("site", "value"))
-    pages = met.select("id", "content").distinct().groupBy("id").agg(F.count("*").alias("pages"))
-    rows = met.groupBy("id").agg(F.count("*").alias("members"))
-    templates = written(pages.where(F.col("pages") >= least_pages).join(rows, "id").select("id", "members"))
-    found = joined_on_groups(met.select("key", "value", "id"), templates, "id")
-    return found.groupBy("key").agg(F.collect_list("value").alias("template"))
+    value = F.xxhash64("site", "value").alias("id")
+    every = parsed.select("site", "content", F.explode("subtrees").alias("value")).select(value, "content").distinct()
+    counted = every.groupBy("id").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    pages = parsed.where(F.size("open") > 0).groupBy("key").agg(F.first("site").alias("site"), F.first("open").alias("open"), F.count("*").alias("copies"))
+    able = written(pages.select("key", "site", "copies", F.explode("open").alias("value")).withColumn("id", F.xxhash64("site", "value")))
+    templates = written(counted.join(able.groupBy("id").agg(F.count("*").alias("members")), "id").select("id", "members"))
+    found = joined_on_groups(able, templates, "id")
+    return written(found.groupBy("key").agg(F.first("copies").alias("members"), F.collect_list("value").alias("template")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row: whole main text, blocks joined by line feeds, empty if there is none.
 
     Character references are decoded, white space within a block is one space. Null html is empty; pages without a host
-    share one template. Pages meet their templates by the hash of host and html; a page with very many copies leaves them
-    where they are, and no task reads a whole host.
+    share one template. Only pages whose text a template could change meet theirs, by the hash of host and html; a page with
+    very many copies leaves them where they are, no other page's html is shuffled, and no task reads a whole host.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    own = own.withColumn("key", F.xxhash64("host", "html"))
-    subtrees = page_subtrees(own)
-    groups = written(subtrees.select("key", "members").join(page_templates(subtrees), "key", "left"))
-    met = joined_on_groups(own.drop("host"), groups, "key").select("page_id", "url", "html", "template")
+    parsed = parsed_pages(pages)
+    final = parsed.where(F.size("open") == 0).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    left = parsed.where(F.size("open") > 0).select("key", "page_id", "url", "text", "html")
+    met = joined_on_groups(left, page_templates(parsed), "key", "left").select("page_id", "url", "text", "html", "template")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(parse(html or ""), set(template or ()))
-                for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                main_text(parse(html), set(template)) if template else text
+                for text, html, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
             ]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return met.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return final.unionByName(met.mapInArrow(read, "page_id long, url string, text string, n_chars long"))
