@@ -3,7 +3,7 @@
 Each text gives a vector of statistics, transformed so that ordinary texts lie about symmetrically. For the texts of each
 language and source, the centre and covariance are those of the three quarters of rows whose covariance has the least
 determinant, sought from several starts by concentration steps: distances under the last estimate, the nearest three
-quarters, their mean and covariance. Two steps from every start, then on from the best one until no determinant falls
+quarters, their mean and covariance. Two steps from every start, then up to three more from the best one until no determinant falls
 further, then once more over all rows that are no outliers under that estimate (reweighting). Rows far away by Mahalanobis
 distance are rejected. All steps are aggregates over a table of statistics; the share of nearest rows is taken from counts of
 finely binned distances, so no group is gathered anywhere.
@@ -38,7 +38,7 @@ PRIOR_WORDS = 30
 LEAST_ROWS = 100
 NEAREST = 0.75
 #: Steps from each start, and at most from the best; the steps end when no group's log determinant falls by more than LEAST_FALL.
-FIRST_STEPS, MORE_STEPS, LEAST_FALL = 2, 20, 0.01
+FIRST_STEPS, MORE_STEPS, LEAST_FALL = 2, 3, 0.05
 #: Share of ordinary rows that the reweighting step takes.
 REWEIGHTED = 0.975
 #: Chance of a larger distance for an ordinary row, under normal statistics.
