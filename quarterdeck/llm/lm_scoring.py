@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ CLASSES = SINGLE_CLASSES + SHAPE_CLASSES
 #: So many of the words that follow in frequency have vectors inside their class, which has at most SLOTS - 1 of them; slot 0
 #: is that of all its other words.
 FREQUENT_WORDS, SLOTS = 1024, 32
+#: Head words are looked up by so many leading bits of their hashes first.
+PREFIX_BITS = 18
 #: Inputs: so many single words, then so many by bytes.
 SINGLE_INPUTS, SHAPE_INPUTS = 512, 256
 HIDDEN = 16
@@ -39,13 +42,15 @@ LANES, WINDOW, RATE = 256, 16, 0.02
 #: Documents are laid in lanes in pools of about so many tokens (a few bytes each), so that beside a long one there are many lanes.
 POOL_TOKENS = 2_000_000
 SCORE_LANES, SCORE_WINDOW = 512, 64
+#: Tokens whose softmax over the classes is taken at a time.
+BLOCK = 1024
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 
 
-def shapes(run: Run) -> np.ndarray:
-    """64-bit hash of each word's first and last two bytes."""
-    data, first, last = run.data, run.start, run.end - 1
+def shapes(run: Run, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """64-bit hash of the first and last two bytes of each word, or of some."""
+    data, first, last = run.data, run.start[some], run.end[some] - 1
     before = np.maximum(last - 1, first)
     return mix(_LOWER[data[first]] << np.uint64(16) | _LOWER[data[before]] << np.uint64(8) | _LOWER[data[last]])
 
@@ -65,12 +70,25 @@ class Vocabulary:
     slots: np.ndarray | None = None  # of each head word in its class
     slot_log: np.ndarray | None = None  # logarithm of each slot's share of its class, by class
 
+    @cached_property
+    def _first(self) -> np.ndarray:
+        """Position of the first hash with each value of the leading PREFIX_BITS bits, or of the next hash."""
+        return np.searchsorted(self.hashes, np.arange(1 << PREFIX_BITS, dtype=np.uint64) << np.uint64(64 - PREFIX_BITS)).astype(np.int32)
+
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of head words, -1 for others."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        at, last = self._first[hashes >> np.uint64(64 - PREFIX_BITS)], len(self.hashes) - 1
+        np.minimum(at, last, out=at)
+        met = self.hashes[at]
+        behind = np.flatnonzero(met < hashes)  # few words share their leading bits, so few steps remain
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            met[behind] = self.hashes[at[behind]]
+            behind = behind[met[behind] < hashes[behind]]
+        return np.where(met == hashes, at, -1)
 
     def tokens(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class and slot (class + CLASSES * slot) and input of each word, and its head position."""
@@ -107,80 +125,142 @@ class Network:
         net.d[:] = 0 if slot_log is None else slot_log
         return flat
 
-    def step(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The next state, and what the way back needs."""
-        x, n = self.E[given] + self.b, HIDDEN
-        zr = x[:, : 2 * n] + h @ self.U[:, : 2 * n]
-        zr = 1 / (1 + np.exp(-np.clip(zr, -30, 30)))
-        z, r = zr[:, :n], zr[:, n:]
-        m = np.tanh(x[:, 2 * n :] + (r * h) @ self.U[:, 2 * n :])
-        return h + z * (m - h), (z, r, m, h)
-
-    def inside(self, states: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """For the tokens of shape classes: their positions by class, their states, the logits of the slots of their classes,
-        and (class, first, last) of each class among them."""
+    def states(self, given: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The state before each step of a window (HIDDEN + 1 by time by lane, the last row all ones), that after the window
+        (HIDDEN by lane), and what the way back needs. Lanes come last, so that an operation runs over whole rows of them."""
+        steps, width, n = *given.shape, HIDDEN
+        table = self.E + self.b
+        table[:, : 2 * n] *= -1  # 1 / (1 + exp(-v)), the sign taken once
+        x = np.ascontiguousarray(np.take(table, given.ravel(), axis=0).reshape(steps, width, -1).transpose(0, 2, 1))
+        gates, inner = -self.U[:, : 2 * n].T, np.ascontiguousarray(self.U[:, 2 * n :].T)
+        kept = {k: np.empty((steps, n, width), x.dtype) for k in ("h", "rh", "m")}
+        begins, goes_on = fresh.any(axis=1).tolist(), (~fresh).astype(x.dtype)
+        h, zr_part, m_part = np.array(h, x.dtype, order="C"), np.empty((2 * n, width), x.dtype), np.empty((n, width), x.dtype)
+        with np.errstate(over="ignore"):  # a gate of exactly 0
+            for t in range(steps):
+                h0, rh, m, zr = kept["h"][t], kept["rh"][t], kept["m"][t], x[t, : 2 * n]
+                if begins[t]:
+                    h *= goes_on[t]
+                h0[:] = h
+                zr += np.matmul(gates, h, out=zr_part)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[n:], h, out=rh)
+                np.matmul(inner, rh, out=m_part)
+                np.add(m_part, x[t, 2 * n :], out=m)
+                np.tanh(m, out=m)
+                np.subtract(m, h, out=m_part)
+                m_part *= zr[:n]
+                h += m_part
+        before = np.ones((n + 1, steps, width), x.dtype)
+        before[:n] = kept["h"].transpose(1, 0, 2)
+        return before, h, (x[:, :n], x[:, n : 2 * n], kept)
+
+    def class_weights(self) -> np.ndarray:
+        """W and c as one matrix, for states with a last row of ones."""
+        return np.concatenate([self.W, self.c[None]])
+
+    def slot_weights(self) -> np.ndarray:
+        """S and d as one matrix a class."""
+        return np.concatenate([self.S, self.d[:, None]], axis=1)
+
+    def inside(self, states: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """For the tokens of shape classes: their positions by class, their states (token by HIDDEN + 1), the logits of the slots
+        of their classes, and (class, first, last) of each class among them. weights: slot_weights()."""
         order = np.flatnonzero(classes >= SINGLE_CLASSES)
-        order = order[np.argsort(classes[order], kind="stable")]
-        own = (classes[order] - SINGLE_CLASSES).astype(np.int64)
-        x, q = states[order], np.empty((len(order), SLOTS), np.float32)
-        edges = np.searchsorted(own, np.arange(SHAPE_CLASSES + 1)).tolist()
+        own = classes[order] - SINGLE_CLASSES
+        by_class = np.argsort(own, kind="stable")
+        order = order[by_class]
+        x, q = np.take(states.T, order, axis=0), np.empty((len(order), SLOTS), states.dtype)
+        edges = np.searchsorted(own[by_class], np.arange(SHAPE_CLASSES + 1)).tolist()
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
         for k, a, b in spans:
-            q[a:b] = x[a:b] @ self.S[k] + self.d[k]
-        q -= q.max(axis=1, keepdims=True) if len(q) else 0
+            np.dot(x[a:b], weights[k], out=q[a:b])
+        if not tame(weights):
+            q -= q.max(axis=1, keepdims=True) if len(q) else 0
         return order, x, q, spans
 
     def train_window(self, kinds: np.ndarray, given: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray, grad: "Network") -> np.ndarray:
         """Adds the gradients of a window (time by lane) to grad; the state after it. The window's first state is taken as given."""
-        states, kept, n = [], [], HIDDEN
-        for t in range(len(kinds)):
-            h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-            states.append(h)
-            h, back = self.step(given[t], h)
-            kept.append(back)
-        s = np.concatenate(states)
-        logits = s @ self.W + self.c
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        classes, slots, share = kinds.ravel() % CLASSES, kinds.ravel() // CLASSES, np.float32(1 / max(valid.sum(), 1))
-        p[np.arange(len(p)), classes] -= 1
-        p *= valid.ravel()[:, None] * share
-        grad.W += s.T @ p
-        grad.c += p.sum(axis=0)
-        from_out = p @ self.W.T
-        order, x, q, spans = self.inside(s, np.where(valid.ravel(), classes, 0))
+        n, steps, width = HIDDEN, *kinds.shape
+        before, after, (z, r, kept) = self.states(given, fresh, h.T)
+        s, outer, slot_weights = before.reshape(n + 1, -1), self.class_weights(), self.slot_weights()
+        valid, kinds = valid.ravel(), kinds.ravel()
+        classes, slots, share = kinds % CLASSES, kinds // CLASSES, np.float32(1 / max(valid.sum(), 1))
+        each, plain, across = valid * share, tame(outer), np.ascontiguousarray(outer.T)
+        from_out, to_classes = np.empty((n, len(kinds)), s.dtype), np.zeros_like(across)
+        for first in range(0, len(kinds), BLOCK):  # as much as stays in the processor's cache
+            some = slice(first, first + BLOCK)
+            p = across @ s[:, some]
+            if not plain:
+                p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p *= each[some] / column_sums(p)
+            p[classes[some], np.arange(p.shape[1])] -= each[some]
+            to_classes += p @ s[:, some].T
+            from_out[:, some] = self.W @ p
+        grad.W += to_classes[:, :n].T
+        grad.c += to_classes[:, n]
+        order, x, q, spans = self.inside(s, np.where(valid, classes, 0), slot_weights)
         np.exp(q, out=q)
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(q)), slots[order]] -= 1
-        q *= share
-        back = np.empty_like(x)
+        q *= (share / row_sums(q))[:, None]
+        q[np.arange(len(q)), slots[order]] -= share
+        back, to_slots = np.empty((len(q), n), q.dtype), np.zeros_like(slot_weights)
         for k, a, b in spans:
-            grad.S[k] += x[a:b].T @ q[a:b]
-            grad.d[k] += q[a:b].sum(axis=0)
-            back[a:b] = q[a:b] @ self.S[k].T
-        from_out[order] += back
-        from_out = from_out.reshape(len(kinds), -1, n)
-        dh = np.zeros_like(h)  # of the state after step t
-        inputs = []
-        for t in range(len(kinds) - 1, -1, -1):
-            z, r, m, h0 = kept[t]
-            dz, dm = dh * (m - h0) * z * (1 - z), dh * z * (1 - m * m)
-            drh = dm @ self.U[:, 2 * n :].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            grad.U[:, : 2 * n] += h0.T @ dzr
-            grad.U[:, 2 * n :] += (r * h0).T @ dm
-            dx = np.concatenate([dzr, dm], axis=1)
-            grad.b += dx.sum(axis=0)
-            inputs.append(dx)
-            dh = dh * (1 - z) + drh * r + dzr @ self.U[:, : 2 * n].T + from_out[t]
-            dh = np.where(fresh[t][:, None], 0, dh).astype(np.float32)
-        at, dx = given[::-1].ravel(), np.concatenate(inputs)
+            np.dot(x[a:b].T, q[a:b], out=to_slots[k])
+            np.dot(q[a:b], self.S[k].T, out=back[a:b])
+        grad.S += to_slots[:, :n]
+        grad.d += to_slots[:, n]
+        from_out[:, order] += back.T
+        from_out = from_out.reshape(n, steps, width)
+        h0, rh, m = kept["h"], kept["rh"], kept["m"]
+        # what the way back multiplies by, for all steps at once
+        by_z, by_m, by_r, stays = (m - h0) * z * (1 - z), z * (1 - m * m), h0 * r * (1 - r), 1 - z
+        dx = np.empty((steps, 3 * n, width), s.dtype)
+        dh = np.zeros((n, width), s.dtype)  # of the state after step t
+        gates, inner = np.ascontiguousarray(self.U[:, : 2 * n]), np.ascontiguousarray(self.U[:, 2 * n :])
+        begins, goes_on, drh, part = fresh.any(axis=1).tolist(), (~fresh).astype(s.dtype), np.empty_like(dh), np.empty_like(dh)
+        for t in range(steps - 1, -1, -1):
+            dzr, dm = dx[t, : 2 * n], dx[t, 2 * n :]
+            np.multiply(dh, by_z[t], out=dzr[:n])
+            np.multiply(dh, by_m[t], out=dm)
+            np.matmul(inner, dm, out=drh)
+            np.multiply(drh, by_r[t], out=dzr[n:])
+            dh *= stays[t]
+            drh *= r[t]
+            dh += drh
+            dh += np.matmul(gates, dzr, out=part)
+            dh += from_out[:, t]
+            if begins[t]:
+                dh *= goes_on[t]
+        dx = dx.transpose(0, 2, 1).reshape(-1, 3 * n)
+        to_gates = s @ dx[:, : 2 * n]
+        grad.U[:, : 2 * n] += to_gates[:n]
+        grad.U[:, 2 * n :] += rh.transpose(1, 0, 2).reshape(n, -1) @ dx[:, 2 * n :]
+        grad.b += s[n] @ dx
+        at = given.ravel()
         order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-        grad.E[at[order][first]] += np.add.reduceat(dx[order], first)
-        return h
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        grad.E[at[first]] += np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        return after.T
+
+
+def tame(weights: np.ndarray) -> bool:
+    """Whether exp of the logits that these weights (their last row for the row of ones) give states, all between -1 and 1, can
+    neither overflow nor vanish for all outputs at once, so that a softmax needs no maximum."""
+    inner, middle = weights[..., :-1, :], weights[..., -1, :]
+    reach = inner.shape[-2] * max(inner.max(), -inner.min())
+    return bool(middle.max() + reach < 80 and middle.max(axis=-1).min() - reach > -80)
+
+
+def column_sums(p: np.ndarray) -> np.ndarray:
+    return np.ones(len(p), p.dtype) @ p
+
+
+def row_sums(q: np.ndarray) -> np.ndarray:
+    return q @ np.ones(q.shape[1], q.dtype)
 
 
 def lanes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,18 +292,29 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts hashes; where each value begins in it; the values."""
+    order = np.argsort(hashes)
+    in_order = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]])) if len(order) else order
+    return order, first, in_order[first]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, shape, c of the distinct words of docs (column text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, kinds = [], []
+            found = []  # of each run, which is sorted within the processor's cache
             for run in runs(batch.column(0)):
-                hashes.append(run.words(lower=True))
-                kinds.append((shapes(run) % np.uint64(SHAPE_CLASSES)).astype(np.int32))
-            if hashes:
-                h, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(kinds)[first]), pa.array(n)], ["h", "shape", "c"])
+                order, first, h = distinct(run.words(lower=True))
+                kinds = (shapes(run, order[first]) % np.uint64(SHAPE_CLASSES)).astype(np.int32)
+                found.append((h, kinds, np.diff(np.append(first, len(order)))))
+            if found:
+                hashes, kinds, times = map(np.concatenate, zip(*found, strict=True))
+                order, first, h = distinct(hashes)
+                n = np.add.reduceat(times[order], first) if len(first) else times
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kinds[order[first]]), pa.array(n)], ["h", "shape", "c"])
 
     return docs.select("text").mapInArrow(count, "h long, shape int, c long").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
@@ -272,17 +363,29 @@ def trained(docs: DataFrame, words, class_share: np.ndarray) -> np.ndarray:
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             known, net = words.value, Network(start.value.copy())
             first, second, steps, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
+            grad, move, spread = Network(np.zeros_like(net.flat)), np.empty_like(net.flat), np.empty_like(net.flat)
             for kinds, given, counts in pools(known, batches):
                 place, fresh, _ = lanes(counts, LANES)
                 h = np.zeros((place.shape[1], HIDDEN), np.float32)
                 for t in range(0, len(place), WINDOW):
                     at = place[t : t + WINDOW]
-                    grad = Network(np.zeros_like(net.flat))
+                    grad.flat[:] = 0
                     h = net.train_window(kinds[at], given[at], fresh[t : t + WINDOW], at >= 0, h, grad)
                     steps += 1
-                    first += 0.1 * (grad.flat - first)
-                    second += 0.01 * (grad.flat**2 - second)
-                    net.flat -= RATE / (1 + turn) * first / (1 - 0.9**steps) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+                    # first += 0.1 * (grad - first), second += 0.01 * (grad**2 - second), in place
+                    np.subtract(grad.flat, first, out=move)
+                    move *= 0.1
+                    first += move
+                    np.square(grad.flat, out=spread)
+                    spread -= second
+                    spread *= 0.01
+                    second += spread
+                    np.divide(second, 1 - 0.99**steps, out=spread)
+                    np.sqrt(spread, out=spread)
+                    spread += 1e-6
+                    np.multiply(first, RATE / (1 + turn) / (1 - 0.9**steps), out=move)
+                    move /= spread
+                    net.flat -= move
                 seen += int(counts.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays(
@@ -410,26 +513,27 @@ def scored(docs: DataFrame) -> DataFrame:
 def class_log_likelihood(net: Network, kinds: np.ndarray, given: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 probability of each document's classes and slots; the state runs through all windows of a document."""
     place, fresh, of = lanes(counts, SCORE_LANES)
-    total, h = np.zeros(len(counts)), np.zeros((place.shape[1], HIDDEN), np.float32)
+    total, h = np.zeros(len(counts)), np.zeros((HIDDEN, place.shape[1]), np.float32)
+    outer, slot_weights = net.class_weights(), net.slot_weights()
+    plain, across = tame(outer), np.ascontiguousarray(outer.T)
     for t in range(0, len(place), SCORE_WINDOW):
         at = place[t : t + SCORE_WINDOW]
-        states = np.empty((*at.shape, HIDDEN), np.float32)
-        inputs = given[at]
-        for k in range(len(at)):
-            h = np.where(fresh[t + k][:, None], np.float32(0), h)
-            states[k] = h
-            h, _ = net.step(inputs[k], h)
-        there = at >= 0
-        mine = at[there]
-        reached, classes, slots = states[there], kinds[mine] % CLASSES, kinds[mine] // CLASSES
-        logits = reached @ net.W + net.c
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(mine)), classes]
-        np.exp(logits, out=logits)
-        value = chosen - np.log(logits.sum(axis=1))
-        order, _, q, _ = net.inside(reached, classes)
+        before, h, _ = net.states(given[at], fresh[t : t + SCORE_WINDOW], h)
+        reached, mine, there = before.reshape(HIDDEN + 1, -1), at.ravel(), at.ravel() >= 0
+        if not there.all():
+            reached, mine = reached[:, there], mine[there]
+        classes, slots, value = kinds[mine] % CLASSES, kinds[mine] // CLASSES, np.empty(len(mine), np.float32)
+        for first in range(0, len(mine), BLOCK):  # as much as stays in the processor's cache
+            some = slice(first, first + BLOCK)
+            logits = across @ reached[:, some]
+            if not plain:
+                logits -= logits.max(axis=0)
+            chosen = logits[classes[some], np.arange(logits.shape[1])]
+            np.exp(logits, out=logits)
+            value[some] = chosen - np.log(column_sums(logits))
+        order, _, q, _ = net.inside(reached, classes, slot_weights)
         chosen = q[np.arange(len(q)), slots[order]]
         np.exp(q, out=q)
-        value[order] += chosen - np.log(q.sum(axis=1))
+        value[order] += chosen - np.log(row_sums(q))
         total += np.bincount(of[mine], value, len(counts))
     return total / np.log(10)
